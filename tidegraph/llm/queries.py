@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import mixing, simhash
+from . import mixing, pieces, pii, simhash, toxicity
 
 QUERIES = {
     "op2_simhash_trie": simhash.op2_simhash_trie,
     "op4_mix_sources": mixing.op4_mix_sources,
+    "op5_toxicity_cnn": toxicity.op5_toxicity_cnn,
+    "op7_pieces_viterbi": pieces.op7_pieces_viterbi,
+    "op10_pii_anchors": pii.op10_pii_anchors,
 }
 
 SQL = {"op4_mix_sources": mixing.OP4_SQL}
