@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from . import mixing, pieces, pii, simhash, toxicity
+from . import digests, html, licenses, media, mixing, pieces, pii, simhash, toxicity
 
 QUERIES = {
+    "op1_html_consensus": html.op1_html_consensus,
     "op2_simhash_trie": simhash.op2_simhash_trie,
+    "op3_license_scan": licenses.op3_license_scan,
     "op4_mix_sources": mixing.op4_mix_sources,
     "op5_toxicity_cnn": toxicity.op5_toxicity_cnn,
+    "op6_quartile_digest": digests.op6_quartile_digest,
     "op7_pieces_viterbi": pieces.op7_pieces_viterbi,
+    "op9_media_signatures": media.op9_media_signatures,
     "op10_pii_anchors": pii.op10_pii_anchors,
 }
 
