@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import digests, html, licenses, media, mixing, pieces, pii, simhash, toxicity
+from . import digests, html, licenses, media, mixing, pieces, pii, simhash, suffixes, toxicity
 
 QUERIES = {
     "op1_html_consensus": html.op1_html_consensus,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_toxicity_cnn": toxicity.op5_toxicity_cnn,
     "op6_quartile_digest": digests.op6_quartile_digest,
     "op7_pieces_viterbi": pieces.op7_pieces_viterbi,
+    "op8_suffix_levels": suffixes.op8_suffix_levels,
     "op9_media_signatures": media.op9_media_signatures,
     "op10_pii_anchors": pii.op10_pii_anchors,
 }
