@@ -724,3 +724,106 @@ def impute_mode(c):
 def split_counts(c):
     split = missing.train_test_split(_pairs(c), 0.1, missing.arithmetic())
     return split.where("held_out").groupBy("t").agg(F.count("*").alias("n_test"), F.sum("y").alias("n_edges"))
+
+
+# What SQL can't express: simulators, estimators and the operators of linear algebra. Tests hold them against dense forms.
+
+
+def _scenario(name: str):
+    def run(c):
+        from .plans import simulate
+
+        sim = simulate.simulate(c.spark, name, [1, 2, 3, 4], n=40)
+        return sim.where("part = 'edge'").selectExpr("seed", "t", "i AS src", "j AS dst", "p")
+
+    run.__name__ = f"simulate_{name}"
+    query("seed:i t:i src:i dst:i p:d", "", None)(run)
+
+
+for _name in ("splitting", "merging", "merging_blocks", "static_communities", "homogeneous", "inhomogeneous", "splitting_and_merging", "detection_limit"):
+    _scenario(_name)
+
+
+def _chain(name: str):
+    """Two short chains on the trade network, as posterior link probabilities of the best sample."""
+
+    def run(c):
+        from .plans import models
+
+        kind = {"lsm": models.LSM, "lpcm": models.LPCM, "hdp_lpcm": models.HDPLPCM}[name]
+        net = c.net()
+        first = net.agg(F.min("t").alias("first"))
+        edges = network.symmetrised(net).join(F.broadcast(first), how="cross").select((F.col("t") - F.col("first")).alias("t"), "src", "dst")
+        steps = edges.select("t").distinct()
+        est = kind(c.spark, chains=2, n_components=4, n_iter=20, tune=20, burn=20, thin=2)
+        return est.fit(edges, c.nodes(), steps).probabilities().select("t", "src", "dst", "y", "p")
+
+    run.__name__ = f"fit_{name}"
+    query("t:i src:i dst:i y:i p:d", "", None)(run)
+
+
+for _name in ("lsm", "lpcm", "hdp_lpcm"):
+    _chain(_name)
+
+
+@query("i:i j:i p:d", "", None)
+def forecast_monte_carlo(c):
+    last, trans, clusters, _ = _model(c)
+    first = lambda df: df.where("iter = 0").drop("iter")
+    return forecast.monte_carlo(first(last), first(trans), first(clusters), 1.0, 500)
+
+
+@query("z:d p:d", "", None)
+def geweke_spectral(c):
+    z, p = diagnostics.geweke(c.trace())
+    return c.spark.createDataFrame([(z, p)], "z double, p double")
+
+
+@query("t:i node:i x0:d x1:d", "", None)
+def gmds_positions(c):
+    """One task for the network's dense scaling, whose size is nodes by nodes by steps."""
+    import numpy as np
+    import pandas as pd
+
+    from .plans import initial
+
+    def scaled(rows: pd.DataFrame) -> pd.DataFrame:
+        ts = sorted(rows["t"].unique())
+        y = np.zeros((len(ts), 25, 25))
+        y[np.searchsorted(ts, rows["t"]), rows["src"], rows["dst"]] = 1
+        x = initial.gmds(y, 2, False)
+        return pd.DataFrame([(ts[t], i, *x[t, i]) for t in range(len(ts)) for i in range(25)], columns=["t", "node", "x0", "x1"])
+
+    edges = network.symmetrised(c.net()).withColumn("one", F.lit(1))
+    return edges.groupBy("one").applyInPandas(scaled, "t int, node int, x0 double, x1 double")
+
+
+@query("t:i node:i x0:d x1:d", "", None)
+def procrustes_alignment(c):
+    """Positions turned by a right angle and brought back: the cross-product is summed in Spark, its SVD is the driver's."""
+    import numpy as np
+
+    pos = c.positions().select("t", "node", F.col("x")[0].alias("x0"), F.col("x")[1].alias("x1")).withColumn("u0", -F.col("x1")).withColumn("u1", F.col("x0"))
+    sums = pos.agg(*[F.sum(F.col(f"u{a}") * F.col(f"x{b}")).alias(f"m{a}{b}") for a in range(2) for b in range(2)]).first()
+    m = np.array([[sums[f"m{a}{b}"] for b in range(2)] for a in range(2)])
+    u, _, v = np.linalg.svd(m)
+    r = u @ v
+    turned = [F.col("u0") * F.lit(float(r[0, d])) + F.col("u1") * F.lit(float(r[1, d])) for d in range(2)]
+    return pos.select("t", "node", turned[0].alias("x0"), turned[1].alias("x1"))
+
+
+@query("node:i z:i", "", None)
+def longitudinal_kmeans(c):
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    path = c.positions().groupBy("node").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("t", "x"))), lambda s: s["x"])).alias("x"))
+    whole = path.where(F.size("x") == c.positions().select("t").distinct().count() * 2).select("node", array_to_vector("x").alias("features"))
+    return KMeans(k=4, seed=1).fit(whole).transform(whole).select("node", F.col("prediction").alias("z"))
+
+
+@query("t:i k:i diameter:d", "", None)
+def contours(c):
+    from .operators import plotdata
+
+    return plotdata.normal_contours(clusters_of(c)).select(F.lit(0).alias("t"), "k", "diameter")
