@@ -42,7 +42,7 @@ LOW = np.uint64((1 << 24) - 1)
 SIX = np.uint64((1 << 48) - 1)
 
 
-def anchors(buf: np.ndarray, ends: np.ndarray, chunk: int = 1 << 22):
+def anchors(buf: np.ndarray, ends: np.ndarray, chunk: int = 1 << 19):
     """Stretches of windows that share an anchor: first window, number of windows, anchor's hash, document's number.
 
     buf: the bytes of all documents; ends: where each of them ends. No window reaches over an end.
@@ -135,7 +135,7 @@ class Levels:
             self.levels.append((w, low))
 
 
-def pack(docs: DataFrame, size: int = 1 << 21) -> DataFrame:
+def pack(docs: DataFrame, size: int = 1 << 20) -> DataFrame:
     """batch, ids, ends and data (compressed) of consecutive documents, up to about size bytes together."""
 
     def run(batches):
@@ -340,7 +340,7 @@ def _found(table, together: int):
     return out
 
 
-def repeats(packed: DataFrame, bucket_bytes: int = 6 << 20, bucket_anchors: int = 1 << 20, hot: int = 20_000, together: int = 1 << 18) -> DataFrame:
+def repeats(packed: DataFrame, bucket_bytes: int = 3 << 20, bucket_anchors: int = 1 << 19, hot: int = 20_000, together: int = 1 << 17) -> DataFrame:
     """batch and found: (first window, number of windows) pairs of all windows that start in a document of a smaller id."""
     size = packed.agg(F.sum(F.length("data"))).first()[0] or 0
     buckets = max(1, min(65536, size // (6 * bucket_anchors)))  # a byte in about 18 is an anchor; data are compressed
