@@ -158,7 +158,7 @@ def pack(docs: DataFrame, size: int = 1 << 20) -> DataFrame:
             ids, texts, total = [], [], 0
             return row
 
-        for batch in batches:
+        for batch in (b.slice(k, 500) for b in batches for k in range(0, b.num_rows, 500)):
             for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 ids.append(i)
                 texts.append((t or "").encode("utf-8", "surrogatepass"))
@@ -303,18 +303,8 @@ def _windows(stretches: list[bytes]) -> np.ndarray:
     return np.ascontiguousarray(rows).view(f"V{LENGTH}").reshape(-1).view(f"S{LENGTH}") if len(rows) else np.zeros(0, f"S{LENGTH}")
 
 
-def _found(table, together: int):
-    """Of all records that met in a bucket: lists of (first window, number) by batch."""
-    records = [(i, batch, c, s, own, other) for batch, raw in zip(table.column("batch").to_pylist(), table.column("records").to_pylist()) for c, i, s, own, other in _read_records(raw)]
-    records.sort(key=lambda r: r[0])
-    least: dict[bytes, int] = {}
-    kinds = defaultdict(dict)  # of each anchor its distinct stretches, in order of ids
-    for i, _, c, s, _, _ in records:
-        if s not in least:
-            least[s] = i
-            kinds[c][s] = i
-    order = sorted((i, s) for own in kinds.values() if len(own) > 1 for s, i in own.items())
-    flags: dict[bytes, np.ndarray] = {}
+def _through_levels(order: list[tuple[int, bytes]], together: int, flags: dict[bytes, np.ndarray]) -> None:
+    """Takes stretches in the order of ids through a family of levels; flags gets those with windows of smaller ids."""
     index, at = Levels(), 0
     while at < len(order):
         upto, n = at, 0
@@ -326,8 +316,30 @@ def _found(table, together: int):
         hit = index.add(_windows([s for _, s in part]), np.repeat(np.array([i for i, _ in part]), sizes))
         for (_, s), end, m in zip(part, np.cumsum(sizes).tolist(), sizes.tolist()):
             if hit[end - m : end].any():
-                flags[s] = hit[end - m : end]
+                flags[s] = hit[end - m : end].copy()
         at = upto
+
+
+def _found(table, together: int):
+    """Of all records that met in a bucket: lists of (first window, number) by batch."""
+    records = [(i, batch, c, s, own, other) for batch, raw in zip(table.column("batch").to_pylist(), table.column("records").to_pylist()) for c, i, s, own, other in _read_records(raw)]
+    records.sort(key=lambda r: r[0])
+    least: dict[bytes, int] = {}
+    kinds = defaultdict(dict)  # of each anchor its distinct stretches, in order of ids
+    for i, _, c, s, _, _ in records:
+        if s not in least:
+            least[s] = i
+            kinds[c][s] = i
+    flags: dict[bytes, np.ndarray] = {}
+    waiting, n = [], 0
+    for own in kinds.values():  # windows of different anchors differ, so a family of levels serves some anchors at a time
+        if len(own) > 1:
+            waiting += [(i, s) for s, i in own.items()]
+            n += sum(map(len, own)) - (LENGTH - 1) * len(own)
+            if n >= 2 * together:
+                _through_levels(sorted(waiting), together, flags)
+                waiting, n = [], 0
+    _through_levels(sorted(waiting), together, flags)
     out = defaultdict(list)
     for i, batch, _, s, own, other in records:
         whole = len(s) - LENGTH + 1
@@ -340,7 +352,7 @@ def _found(table, together: int):
     return out
 
 
-def repeats(packed: DataFrame, bucket_bytes: int = 3 << 20, bucket_anchors: int = 1 << 19, hot: int = 20_000, together: int = 1 << 17) -> DataFrame:
+def repeats(packed: DataFrame, bucket_bytes: int = 3 << 20, bucket_anchors: int = 1 << 19, hot: int = 20_000, together: int = 1 << 16) -> DataFrame:
     """batch and found: (first window, number of windows) pairs of all windows that start in a document of a smaller id."""
     size = packed.agg(F.sum(F.length("data"))).first()[0] or 0
     buckets = max(1, min(65536, size // (6 * bucket_anchors)))  # a byte in about 18 is an anchor; data are compressed
