@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidegraph.llm import common, mixing, pieces, pii, simhash, toxicity
+from tidegraph.llm import common, mixing, pieces, pii, shingles, toxicity
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -16,8 +16,8 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: the one of the smallest id."""
-    return simhash.keep_one(docs)
+    """One document of each group of near-duplicates (five-word shingles, Jaccard 0.8) stays: the one of the smallest id."""
+    return shingles.keep_one(docs)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +43,7 @@ STAGES = [
     ("pieces", pieces_stage),
 ]
 
-#: A trained classifier, fingerprints and pieces are beyond SQL; tests hold every stage against brute force.
+#: A trained classifier, shingle sets and pieces are beyond SQL; tests hold every stage against brute force.
 ORACLE_SQL = None
 
 
