@@ -124,13 +124,12 @@ class Scanner:
             n += joined.count(" ", upto, start)
             upto = start
             (base if phrase in BASE else notices).append((n, label))
-        expressions, done = [], 0
+        expressions, done, whole = [], 0, raw.decode("latin-1")
         for last, tag in self.tags.iter(raw.translate(_LOWER).decode("latin-1")):
             if last < done:
                 continue
             done = last + 1
-            line = raw[done : done + 1000].split(b"\n", 1)[0].decode("utf-8", "replace")
-            parts = postfix(line)
+            parts = postfix(whole, done)  # no token goes over the end of a line
             if parts and (found := evaluate(parts))[1] is not None:
                 expressions.append(found)
         return {"n_words": len(words), "base": base, "notices": notices, "expressions": expressions}
