@@ -4,11 +4,11 @@ A page is read once into text blocks, each known by its containers. A container'
 in it (in its paragraphs, not in containers inside), less what links hold; parts that aren't content (menus, headers,
 footers, sidebars, adverts, notices, forms, comments) score nothing. Every page votes for the path of its best
 container, tags with their first classes, digits left out. Votes are summed for each host in Spark; a second pass
-takes from every page the containers of its host's leading path that it has, or its own best one where it has none.
+takes from every page the containers of that of its own paths that has most of its host's votes.
 
-Scale: votes are small rows, summed before they are shuffled; paths with under a hundredth of a host's votes are left
-to the pages' own choice, so a host keeps a hundred at most; the join of pages with hosts leaves the choice between
-broadcast (by measured size) and a shuffled join, of which hot hosts are split, to adaptive execution.
+Scale: the paths of pages are small rows, joined with the summed votes by host and path, of which all are kept; only
+pages that are outvoted, with the path chosen for them, meet the pages again. Both joins leave the choice between
+broadcast (by measured size) and a shuffled join, of which hot paths are split, to adaptive execution.
 
 Defined results: null html and html without text give an empty string; a null or odd url belongs to an empty host;
 repeated pages stay and vote each; pages of any length are read whole; an empty table gives no rows.
@@ -183,48 +183,47 @@ def host_of(url):
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^\s*[A-Za-z][A-Za-z0-9+.-]*://([^/?#\\]*)", 1))
 
 
-def votes(pages: DataFrame) -> DataFrame:
-    """host, path and n, the pages of the host whose best container has the path."""
+def page_paths(pages: DataFrame) -> DataFrame:
+    """page_key, host, path and best (is it the page's own best container's) of every path with text of every page."""
 
     def make():
         def f(batch):
-            best = [Page(h).best() if h else "" for h in batch.column("html").to_pylist()]
-            return pa.RecordBatch.from_arrays([batch.column("host"), pa.array(best, pa.string())], ["host", "path"])
+            rows = []
+            for key, host, html in zip(*(batch.column(c).to_pylist() for c in ("page_key", "host", "html"))):
+                page = Page(html or "")
+                best = page.best()
+                rows += [(key, host, path, path == best) for path in {page.paths[k] for _, _, within in page.blocks for k in within}]
+            kinds = [pa.int64(), pa.string(), pa.string(), pa.bool_()]
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kinds[k]) for k in range(4)], ["page_key", "host", "path", "best"])
 
         return f
 
-    voted = common.map_batches(pages.select("host", "html"), make, "host string, path string").where("path <> ''")
-    return voted.groupBy("host", "path").agg(F.count("*").alias("n"))
+    return common.map_batches(pages.select("page_key", "host", "html"), make, "page_key long, host string, path string, best boolean")
 
 
-def host_paths(pages: DataFrame, least_share: float = 0.01) -> DataFrame:
-    """host and paths, its paths by falling votes."""
-    counted = votes(pages)
-    total = counted.groupBy("host").agg(F.sum("n").alias("total"))
-    kept = counted.join(total, "host").where(F.col("n") >= F.col("total") * least_share)
-    ranked = F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("less"), "path")))
-    return kept.groupBy("host").agg(ranked.alias("r")).select("host", F.col("r.path").alias("paths"))
+def outvoted(paths: DataFrame) -> DataFrame:
+    """page_key and chosen, its host's leading path among the page's own, of the pages whose own best is another one."""
+    votes = paths.where("best").groupBy("host", "path").agg(F.count("*").alias("n"))
+    first = F.min(F.struct((-F.col("n")).alias("less"), "path")).alias("first")
+    leading = paths.join(votes, ["host", "path"]).groupBy("page_key").agg(first, F.max(F.when(F.col("best"), F.col("path"))).alias("own"))
+    return leading.select("page_key", F.col("first.path").alias("chosen"), "own").where("own IS NULL OR own <> chosen").drop("own")
 
 
 def extract(pages: DataFrame, id_column: str = "page_id", url_column: str = "url", html_column: str = "html") -> DataFrame:
     """page_id, url, text and path (of the containers it is from) for every row of pages."""
     pages = pages.select(
         F.col(id_column).cast("long").alias("page_id"), F.col(url_column).cast("string").alias("url"), F.col(html_column).cast("string").alias("html"), host_of(F.col(url_column)).alias("host")
-    )
-    chosen = common.written(host_paths(pages), "host-paths")
-    joined = pages.join(chosen, "host", "left").select("page_id", "url", "html", "paths")
+    ).withColumn("page_key", F.xxhash64("host", "html"))
+    chosen = common.written(outvoted(common.written(page_paths(pages), "page-paths")), "page-chosen")
+    joined = pages.join(chosen, "page_key", "left").select("page_id", "url", "html", "chosen")
 
     def make():
         def f(batch):
             texts, used = [], []
-            for html, paths in zip(batch.column("html").to_pylist(), batch.column("paths").to_pylist()):
+            for html, path in zip(batch.column("html").to_pylist(), batch.column("chosen").to_pylist()):
                 page = Page(html or "")
-                text, path = "", ""
-                for path in paths or []:
-                    if text := page.text(path):
-                        break
-                if not text and (path := page.best()):
-                    text = page.text(path)
+                path = path or page.best()
+                text = page.text(path) if path else ""
                 texts.append(text)
                 used.append(path if text else "")
             return pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(used, pa.string())], ["page_id", "url", "text", "path"])
