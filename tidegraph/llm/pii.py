@@ -2,7 +2,8 @@
 cues, and a parser for each kind of anchor grows it to its borders in the text and checks what it has.
 
 Base kinds: email, ip, card, phone, as the leftmost non-overlapping matches of their patterns, each parsed from its
-anchor and dropped if it fails its check. Kinds of the method: url (from a scheme), iban and ssn (from a cue).
+anchor and dropped if it fails its check. Kinds of the method: url (from a scheme), iban and ssn (from a cue in any case,
+over punctuation and connecting words such as number or is).
 Positions are code points, ends exclusive.
 
 Defined results: a null text is an empty one, without spans; every input row gives one row, repeated rows too; null
@@ -24,6 +25,7 @@ BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "url", "iban", "ssn")
 CUES = {"iban": "iban", "ssn": "ssn", "social security": "ssn"}
 
+LOWER = bytes(range(256)).lower()
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 SCHEME = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+.-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -32,8 +34,10 @@ QUAD = re.compile(r"[0-9]+(?:\.[0-9]+){3}")
 CHAIN = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 REST_OF_URL = re.compile(r"[^\s<>\"'`{}|\\^\x00-\x1f]+")
-IBAN = re.compile(r"[\s:#.=-]{0,8}([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30})")
-SSN = re.compile(r"[\s:#.=-]{0,8}([0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9])")
+#: What may stand between a cue and its number: white space, punctuation and connecting words.
+LEAD = r"""(?:[\s:;,.#=*"'`()\[\]<>/_–—-]++|(?i:numbers?|num|nr|nos?|is|are|was|codes?|card|account)(?![A-Za-z0-9]))*+"""
+IBAN = re.compile(LEAD + r"([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30})")
+SSN = re.compile(LEAD + r"([0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9])")
 
 
 def automaton() -> ahocorasick.Automaton:
@@ -41,12 +45,16 @@ def automaton() -> ahocorasick.Automaton:
     for sign, kind in [("@", "at"), ("+", "plus"), ("://", "scheme"), *((str(d), "digit") for d in range(10))]:
         found.add_word(sign, (kind, len(sign)))
     for cue, kind in CUES.items():
-        for form in (cue, cue.upper(), cue.capitalize()):
-            found.add_word(form, (kind, len(form)))
+        found.add_word(cue, (kind, len(cue)))
     found.make_automaton()
     return found
 
 
+def lowered(text: str) -> str:
+    """The text with A-Z in lower case, at equal length."""
+    return text.encode("utf-8", "surrogatepass").translate(LOWER).decode("utf-8", "surrogatepass")
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for k, c in enumerate(reversed(digits)):
@@ -68,7 +76,7 @@ def spans(text: str, anchors: ahocorasick.Automaton) -> list[tuple[int, int, str
     """(start, kind's place in KINDS, end) of every span of one text, sorted by start, then kind."""
     found = []
     email_end = quad_end = chain_end = run_end = url_end = 0
-    for last, (kind, length) in anchors.iter(text):
+    for last, (kind, length) in anchors.iter(lowered(text)):
         at = last - length + 1
         if kind == "digit":
             if at < run_end:
