@@ -67,3 +67,13 @@ def test_edges(spark):
     rows = [(1, None, "a"), (2, " ", "a"), (5, long, None), (4, long.upper(), "b"), (4, long.upper(), "b"), (None, "quite another text here", "b"), (7, "é", "a")]
     clash = docs_of(spark, rows).selectExpr("*", "1 AS root", "2 AS node", "3 AS class", "4 AS band")
     assert sorted(r["doc_id"] or -1 for r in shingles.keep_one(clash).collect()) == [-1, 1, 4, 7]
+
+
+def test_the_row_that_stays_is_chosen_by_class(spark):
+    rows = [
+        (1, "one clean text of its own", "a"), (1, "quite another text with that id", "a"), (1, "quite another text with that id", "b"),
+        (None, "a copy without an id", "a"), (None, "a copy without an id", "b"), (5, "a copy without an id", "c"),
+        (None, "copies that have no id", "a"), (None, "copies that have no id", "a"), (0, "quite another text with that id", "a"),
+    ]
+    got = sorted((-1 if r["doc_id"] is None else r["doc_id"], r["text"]) for r in shingles.keep_one(docs_of(spark, rows)).collect())
+    assert got == [(-1, "copies that have no id"), (0, "quite another text with that id"), (1, "one clean text of its own"), (5, "a copy without an id")]

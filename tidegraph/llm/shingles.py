@@ -153,8 +153,8 @@ def keep_one(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> DataFr
     rows = rows.join(classes, "text_key", "left").withColumn("class", F.coalesce("class", "text_key"))
     first = F.min(F.struct(F.col("row_id").isNull().alias("late"), "row_id", "text_key", "row_n")).alias("r")
     stay = rows.groupBy("class").agg(first).select(F.col("r.text_key").alias("stay_key"), F.col("r.row_id").alias("row_id"), F.col("r.row_n").alias("row_n"))
+    stay = common.written(stay, "shingle-stay")
     named = keyed.join(stay, (F.col("text_key") == F.col("stay_key")) & F.col("doc_id").eqNullSafe(F.col("row_id")))
-    named = common.written(named, "shingle-stay")
     once = W.partitionBy("text_key", "row_id").orderBy(F.xxhash64(*columns))
     repeated = named.where("row_n > 1").withColumn("repeat", F.row_number().over(once)).where("repeat = 1")
     return named.where("row_n = 1").select(columns).unionByName(repeated.select(columns))
