@@ -1,8 +1,9 @@
 """HTML extraction by consensus host paths.
 
 A page is read once into text blocks, each known by its containers. A container's score is the text that stands right
-in it (in its paragraphs, not in containers inside), less what links hold; parts that aren't content (menus, headers,
-footers, sidebars, adverts, notices, forms, comments) score nothing. Every page votes for the path of its best
+in it (in its paragraphs, not in containers inside), less what links hold; parts that aren't content by their tags or
+roles (menus, headers, footers, sidebars, forms) score nothing, and parts that only words in their classes or ids name
+a notice, advert, menu or the like score little. Every page votes for the path of its best
 container, tags with their first classes, digits left out. Votes are summed for each host in Spark; a second pass
 takes from every page the containers of that of its own paths that has most of its host's votes.
 
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from . import common
 
 TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<tag>[A-Za-z][^\s/>]*)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)""",
+    r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<tag>[A-Za-z][^\s/>]*)(?:(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*+)(?:>|\Z)|(?P<loose>[^>]*+)(?:>|\Z))""",
     re.S,
 )
 NAMES = re.compile(r"""(?:^|[\s"'])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
@@ -37,6 +38,8 @@ CONTAINER = frozenset("html body article main section div td th table tbody tr c
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
 CLOSES_P = frozenset("address article aside blockquote center details dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main menu nav ol p pre section table td th tr ul".split())
 NOT_CONTENT = frozenset("nav header footer aside form menu button dialog head".split())
+#: What text in a part that its words name a notice counts in a score: its container wins where there is hardly another.
+DOUBTED = 0.05
 #: Words in classes and ids of what isn't the article.
 NOTICE_WORDS = frozenset(
     "ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright footer header "
@@ -49,34 +52,39 @@ STOPS = frozenset("ul ol dl table html body article section main div".split())
 
 
 class Page:
-    """blocks: (text, characters in links, containers' numbers) in page order; paths: of the containers."""
+    """blocks: (text, characters in links, containers' numbers, doubt) in page order; paths: of the containers.
+
+    doubt is how far in the innermost part stands whose class or id names it a notice (the number of containers around
+    and with it, and a half more if it is none itself): what is in such a part counts for little when containers are
+    scored, and for nothing in a container that the part stands in.
+    """
 
     def __init__(self, html: str):
-        self.blocks: list[tuple[str, int, tuple[int, ...]]] = []
+        self.blocks: list[tuple[str, int, tuple[int, ...], float]] = []
         self.paths: list[str] = ["page"]
         self._read(html)
 
     def _read(self, html: str) -> None:
-        stack: list[tuple[str, bool, tuple[int, ...]]] = []  # tag, whether it counts, containers around and with it
+        stack: list[tuple[str, bool, tuple[int, ...], float]] = []  # tag, whether it counts, containers around and with it, doubt
         parts, links, linked = [], 0, 0
-        counts, within = True, (0,)
+        counts, within, doubt = True, (0,), 0.0
 
         def flush():
             nonlocal links
             if parts:
                 text = " ".join("".join(parts).split())
                 if text:
-                    self.blocks.append((text, links, within))
+                    self.blocks.append((text, links, within, doubt))
                 parts.clear()
             links = 0
 
         def leave(to: int):
-            nonlocal counts, within, linked
-            if any(tag not in INLINE for tag, _, _ in stack[to:]):
+            nonlocal counts, within, doubt, linked
+            if any(tag not in INLINE for tag, _, _, _ in stack[to:]):
                 flush()
-            linked -= sum(tag == "a" for tag, _, _ in stack[to:])
+            linked -= sum(tag == "a" for tag, _, _, _ in stack[to:])
             del stack[to:]
-            counts, within = (stack[-1][1], stack[-1][2]) if stack else (True, (0,))
+            counts, within, doubt = stack[-1][1:] if stack else (True, (0,), 0.0)
 
         def put(text: str):
             nonlocal links
@@ -134,8 +142,8 @@ class Page:
                     k -= 1
             if tag not in INLINE:
                 flush()
-            attrs = m["attrs"]
-            first, fine = "", tag not in NOT_CONTENT
+            attrs = m["attrs"] if m["attrs"] is not None else m["loose"]  # a quote that never ends doesn't hide the tag's end
+            first, fine, noticed = "", tag not in NOT_CONTENT, False
             if attrs and attrs.strip("/ "):
                 for name, a, b, c in NAMES.findall(attrs):
                     value = (a or b or c).lower()
@@ -143,7 +151,7 @@ class Page:
                     if name == "class" and not first and value.split():
                         first = re.sub(r"\d+", "", value.split()[0])
                     if tag not in ("html", "body", "article", "main") and NOTICE_WORDS.intersection(SPLIT.split(value)):
-                        fine = False
+                        noticed, fine = tag not in INLINE, fine and tag not in INLINE
                     if name == "role" and value in ("navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog"):
                         fine = False
                 fine = fine and not HIDDEN.search(attrs)
@@ -154,29 +162,35 @@ class Page:
                 inner = (*within, len(self.paths) - 1)
             if attrs.endswith("/") and tag not in CONTAINER and tag not in INLINE:
                 continue
-            stack.append((tag, counts and fine, inner))
-            counts, within = stack[-1][1], inner
+            deeper = doubt
+            if noticed:
+                deeper = len(inner) + (0.0 if tag in CONTAINER else 0.5)
+            stack.append((tag, counts and fine, inner, deeper))
+            counts, within, doubt = stack[-1][1:]
             linked += tag == "a"
         flush()
 
     def best(self) -> str:
         """The path of the container that holds most text of its own; a tie goes to the outer, then the first one."""
         scores: dict[str, float] = {}
-        for text, links, within in self.blocks:
+        for text, links, within, doubt in self.blocks:
             holder = within[-1]
             for depth in range(len(within) - 1, -1, -1):  # lists, quotes and table parts count for what is around them
                 holder = within[depth]
                 if self.paths[holder].rsplit(">", 1)[-1].split(".")[0] in ("div", "article", "main", "section", "td", "body", "center", "page"):
                     break
+            if doubt > depth + 1:
+                continue
             path = self.paths[holder]
-            scores[path] = scores.get(path, 0.0) + len(text) - 1.5 * links
+            scores[path] = scores.get(path, 0.0) + (len(text) - 1.5 * links) * (DOUBTED if doubt else 1)
         scores = {p: s for p, s in scores.items() if s > 0}
         return max(scores, key=lambda p: (scores[p], -p.count(">"))) if scores else ""
 
     def text(self, path: str) -> str:
         """The text of all containers of a path, in page order."""
         chosen = {k for k, p in enumerate(self.paths) if p == path}
-        return " ".join(t for t, _, within in self.blocks if chosen.intersection(within))
+        inside = lambda within, doubt: any(k in chosen and doubt <= depth + 1 for depth, k in enumerate(within))
+        return " ".join(t for t, _, within, doubt in self.blocks if inside(within, doubt))
 
 
 def host_of(url):
@@ -192,7 +206,7 @@ def page_paths(pages: DataFrame) -> DataFrame:
             for key, host, html in zip(*(batch.column(c).to_pylist() for c in ("page_key", "host", "html"))):
                 page = Page(html or "")
                 best = page.best()
-                rows += [(key, host, path, path == best) for path in {page.paths[k] for _, _, within in page.blocks for k in within}]
+                rows += [(key, host, path, path == best) for path in {page.paths[k] for _, _, within, _ in page.blocks for k in within}]
             kinds = [pa.int64(), pa.string(), pa.string(), pa.bool_()]
             return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kinds[k]) for k in range(4)], ["page_key", "host", "path", "best"])
 
@@ -222,8 +236,9 @@ def extract(pages: DataFrame, id_column: str = "page_id", url_column: str = "url
             texts, used = [], []
             for html, path in zip(batch.column("html").to_pylist(), batch.column("chosen").to_pylist()):
                 page = Page(html or "")
-                path = path or page.best()
                 text = page.text(path) if path else ""
+                if not text and (path := page.best()):
+                    text = page.text(path)
                 texts.append(text)
                 used.append(path if text else "")
             return pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(used, pa.string())], ["page_id", "url", "text", "path"])
