@@ -7,9 +7,11 @@ windows have equal anchors at equal places; consecutive windows of one anchor fo
 2. Every batch deals its distinct anchors, with counts of documents, over the cluster; those that lie in one document
    only go. What comes back to a batch are its anchors that other documents have too.
 3. Every batch deals the stretches of these, equal ones only once, by anchor. A task takes what it gets in the order
-   of ids through a logarithmic family of suffix arrays: a new batch of windows gets a suffix array (sorted windows,
+   of ids through logarithmic families of suffix arrays: a new batch of strings gets a suffix array (sorted strings,
    each with the smallest id), is merge-scanned against the arrays of all levels for whole matches, and joins them as a
-   new level, levels of like size being merged. Windows are compared byte by byte; hashes only deal and filter.
+   new level, levels of like size being merged. Whole stretches go through a family first, which settles those that
+   others have whole; of the different stretches of an anchor all windows then go through another one. Strings are
+   compared byte by byte; hashes only deal and filter.
 4. The windows found return to their batches, which remove the bytes that they cover.
 
 Scale: a frequent passage gives a batch's record for its inner stretches, however many documents of the batch have it.
@@ -96,26 +98,49 @@ def unsix(raw: bytes) -> np.ndarray:
     return out.reshape(-1).view("<u8")
 
 
+def merged(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Two sorted arrays of distinct strings as one: the strings, where each is from (places of b go on behind those of
+    a), and whether the one before is the same. The stable sort takes the arrays as two runs and merges them in one scan."""
+    both = np.concatenate([a, b])
+    order = np.argsort(both, kind="stable")
+    both = both[order]
+    same = np.zeros(len(both), bool)
+    same[1:] = both[1:] == both[:-1]
+    return both, order, same
+
+
+def few(counts: np.ndarray) -> bytes:
+    """A byte for each count, and behind them all the counts of 255 and more."""
+    return np.minimum(counts, 255).astype(np.uint8).tobytes() + counts[counts >= 255].astype("<u4").tobytes()
+
+
+def unfew(raw: bytes, n: int) -> np.ndarray:
+    counts = np.frombuffer(raw, np.uint8, n).astype(np.int64)
+    counts[counts == 255] = np.frombuffer(raw, "<u4", offset=n)
+    return counts
+
+
 class Levels:
-    """The logarithmic family: suffix arrays as sorted distinct windows, each with the smallest id that has it."""
+    """The logarithmic family: suffix arrays as sorted distinct strings of one width, each with the smallest id that has it."""
 
     def __init__(self):
         self.levels: list[tuple[np.ndarray, np.ndarray]] = []
 
-    def add(self, windows: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        """Indexes a batch of windows (fixed-width bytes); whether each also starts in a smaller id, so far."""
-        order = np.argsort(windows, kind="stable")
-        w, d = windows[order], ids[order]
+    def add(self, strings: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Indexes a batch of strings (fixed-width bytes); whether each also starts in a smaller id, so far."""
+        order = np.argsort(strings, kind="stable")
+        w, d = strings[order], ids[order]
         new = np.ones(len(w), bool)
         new[1:] = w[1:] != w[:-1]
         group = np.cumsum(new) - 1
         least = np.full(group[-1] + 1 if len(w) else 0, NAMELESS)
         np.minimum.at(least, group, d)
         own, smallest = w[new], least.copy()
-        for level, low in self.levels:  # the merge-scan: both sides are sorted
-            at = np.minimum(np.searchsorted(level, own), len(level) - 1)
-            hit = level[at] == own
-            smallest[hit] = np.minimum(smallest[hit], low[at[hit]])
+        for level, low in self.levels:
+            _, of, same = merged(level, own)
+            at = np.flatnonzero(same)
+            mine = of[at] - len(level)
+            smallest[mine] = np.minimum(smallest[mine], low[of[at - 1]])
         found = np.empty(len(w), bool)
         found[order] = d > smallest[group]
         self._push(own, least)
@@ -124,13 +149,11 @@ class Levels:
     def _push(self, w, low):
         while self.levels and len(self.levels[-1][0]) <= 2 * len(w):
             v, other = self.levels.pop()
-            at = np.minimum(np.searchsorted(v, w), len(v) - 1)
-            same = v[at] == w
-            other = other.copy()
-            other[at[same]] = np.minimum(other[at[same]], low[same])
-            fresh, fresh_low = w[~same], low[~same]
-            place = np.searchsorted(v, fresh)
-            w, low = np.insert(v, place, fresh), np.insert(other, place, fresh_low)
+            both, of, same = merged(v, w)
+            low = np.concatenate([other, low])[of]
+            at = np.flatnonzero(same)
+            low[at - 1] = np.minimum(low[at - 1], low[at])
+            w, low = both[~same], low[~same]
         if len(w):
             self.levels.append((w, low))
 
@@ -204,17 +227,17 @@ def shared_anchors(packed: DataFrame, buckets: int, hot: int) -> DataFrame:
         fresh[1:] = (code[1:] != code[:-1]) | (of[1:] != of[:-1]) | (of[1:] == NAMELESS)
         code = code[fresh]
         distinct, count = np.unique(code, return_counts=True)
-        part = ((distinct >> np.uint64(48)).astype(np.int64) * buckets) >> 16
+        part = ((distinct >> np.uint64(32)).astype(np.int64) * buckets) >> 32
         cuts = np.searchsorted(part, np.arange(buckets + 1))
         for b in range(buckets):
             if cuts[b] < cuts[b + 1]:
                 s = slice(cuts[b], cuts[b + 1])
-                yield {"bucket": b, "batch": row["batch"], "codes": six(distinct[s]), "counts": np.minimum(count[s], 255).astype(np.uint8).tobytes()}
+                yield {"bucket": b, "batch": row["batch"], "codes": six(distinct[s]), "counts": few(count[s])}
 
     def meet(key, table):
         batches = table.column("batch").to_pylist()
         codes = [unsix(x) for x in table.column("codes").to_pylist()]
-        counts = np.concatenate([np.frombuffer(x, np.uint8) for x in table.column("counts").to_pylist()]).astype(np.int64)
+        counts = np.concatenate([unfew(x, len(c)) for x, c in zip(table.column("counts").to_pylist(), codes)])
         of = np.repeat(np.arange(len(codes)), [len(c) for c in codes])
         code = np.concatenate(codes)
         distinct, group = np.unique(code, return_inverse=True)
@@ -320,31 +343,45 @@ def _through_levels(order: list[tuple[int, bytes]], together: int, flags: dict[b
         at = upto
 
 
+def _whole(records: list, together: int) -> np.ndarray:
+    """Of each record, whether its whole stretch also starts in a smaller id: stretches, filled up to one width behind
+    their length, go through a family of levels in the order of ids, as windows do."""
+    index, found = Levels(), []
+    widest = max((len(r[3]) for r in records), default=0)
+    for at in range(0, len(records), together):
+        part = records[at : at + together]
+        strings = np.array([len(s).to_bytes(2, "big") + s.ljust(widest) + b"." for _, _, _, s, _, _ in part], f"S{widest + 3}")
+        found.append(index.add(strings, np.array([r[0] for r in part], np.int64)))
+    return np.concatenate(found) if found else np.zeros(0, bool)
+
+
 def _found(table, together: int):
     """Of all records that met in a bucket: lists of (first window, number) by batch."""
     records = [(i, batch, c, s, own, other) for batch, raw in zip(table.column("batch").to_pylist(), table.column("records").to_pylist()) for c, i, s, own, other in _read_records(raw)]
     records.sort(key=lambda r: r[0])
-    least: dict[bytes, int] = {}
-    kinds = defaultdict(dict)  # of each anchor its distinct stretches, in order of ids
+    again = _whole(records, together)
+    kinds = defaultdict(list)  # of each anchor its distinct stretches with the smallest id of each
+    seen: set[bytes] = set()
     for i, _, c, s, _, _ in records:
-        if s not in least:
-            least[s] = i
-            kinds[c][s] = i
+        if s not in seen:
+            seen.add(s)
+            kinds[c].append((i, s))
+    del seen
     flags: dict[bytes, np.ndarray] = {}
     waiting, n = [], 0
     for own in kinds.values():  # windows of different anchors differ, so a family of levels serves some anchors at a time
         if len(own) > 1:
-            waiting += [(i, s) for s, i in own.items()]
-            n += sum(map(len, own)) - (LENGTH - 1) * len(own)
+            waiting += own
+            n += sum(len(s) - LENGTH + 1 for _, s in own)
             if n >= 2 * together:
                 _through_levels(sorted(waiting), together, flags)
                 waiting, n = [], 0
     _through_levels(sorted(waiting), together, flags)
     out = defaultdict(list)
-    for i, batch, _, s, own, other in records:
+    for (i, batch, _, s, own, other), known in zip(records, again.tolist()):
         whole = len(s) - LENGTH + 1
         out[batch] += [(a, whole) for a in other.tolist()]
-        if i > least[s]:
+        if known:
             out[batch] += [(a, whole) for a in own.tolist()]
         elif s in flags:
             edge = np.flatnonzero(np.diff(np.concatenate([[0], flags[s].view(np.int8), [0]])))
@@ -355,7 +392,7 @@ def _found(table, together: int):
 def repeats(packed: DataFrame, bucket_bytes: int = 3 << 20, bucket_anchors: int = 1 << 19, hot: int = 20_000, together: int = 1 << 16) -> DataFrame:
     """batch and found: (first window, number of windows) pairs of all windows that start in a document of a smaller id."""
     size = packed.agg(F.sum(F.length("data"))).first()[0] or 0
-    buckets = max(1, min(65536, size // (6 * bucket_anchors)))  # a byte in about 18 is an anchor; data are compressed
+    buckets = max(1, size // (6 * bucket_anchors))  # a byte in about 18 is an anchor; data are compressed
     back = common.written(shared_anchors(packed, buckets, hot), "suffix-shared")
     stretches = (back.agg(F.sum(F.length("codes"))).first()[0] or 0) // 6
     many = max(1, stretches * (LENGTH + 18) // bucket_bytes)
