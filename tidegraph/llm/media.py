@@ -143,8 +143,10 @@ def sniff(b: bytes, magic: ahocorasick.Automaton) -> list[tuple[str, int, int]]:
     return found
 
 
-def read_back(kind: str, b: bytes) -> bytes:
-    """The samples of a medium as write() stored them."""
+def read_back(kind: str | None, b: bytes) -> bytes | None:
+    """The samples of a medium as write() stored them; None of what isn't one of these formats."""
+    if kind not in STORED or b is None:
+        return None
     if kind == "wav":
         at = 12
         while b[at : at + 4] != b"data":
@@ -171,45 +173,44 @@ def padded(text: str, unit: int = UNIT) -> bytes:
     return raw + b" " * (max(1, -(-len(raw) // unit)) * unit - len(raw))
 
 
+def stored(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """The batch function of store."""
+    texts = common.texts_of(batch, "text")
+    payloads = [padded(t) for t in texts]
+    sums = [zlib.crc32(p) for p in payloads]
+    out = [
+        batch.column("doc_id"),
+        pa.array([len(t.encode("utf-8", "surrogatepass")) for t in texts], pa.int64()),
+        pa.array([STORED[(s >> 8) % len(STORED)] for s in sums], pa.string()),
+        pa.array([write(STORED[s % len(STORED)], p) for s, p in zip(sums, payloads)], pa.binary()),
+    ]
+    return pa.RecordBatch.from_arrays(out, ["doc_id", "n_bytes", "declared", "media"])
+
+
 def store(docs: DataFrame, **columns) -> DataFrame:
     """doc_id, n_bytes, declared (a type, often a wrong one) and media of every row's text; types follow the content."""
+    return common.map_batches(common.id_and_text(docs, **columns), lambda: stored, "doc_id long, n_bytes long, declared string, media binary", 500)
 
-    def make():
-        def f(batch):
-            texts = common.texts_of(batch, "text")
-            payloads = [padded(t) for t in texts]
-            sums = [zlib.crc32(p) for p in payloads]
-            out = [
-                batch.column("doc_id"),
-                pa.array([len(t.encode("utf-8", "surrogatepass")) for t in texts], pa.int64()),
-                pa.array([STORED[(s >> 8) % len(STORED)] for s in sums]),
-                pa.array([write(STORED[s % len(STORED)], p) for s, p in zip(sums, payloads)], pa.binary()),
-            ]
-            return pa.RecordBatch.from_arrays(out, ["doc_id", "n_bytes", "declared", "media"])
 
-        return f
+def inspected(media_column: str = "media"):
+    """The batch function of inspect."""
+    magic = automaton()
+    kind = pa.list_(pa.struct([("type", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
-    return common.map_batches(common.id_and_text(docs, **columns), make, "doc_id long, n_bytes long, declared string, media binary")
+    def f(batch):
+        found = [sniff(b, magic) if b is not None else [] for b in batch.column(media_column).to_pylist()]
+        detected = pa.array([x[0][0] if x and x[0][1] == 0 else None for x in found], pa.string())
+        carved = pa.array([[{"type": k, "start": a, "end": b} for k, a, b in x if a] for x in found], kind)
+        return pa.RecordBatch.from_arrays([*batch.columns, detected, carved], [*batch.schema.names, "detected", "carved"])
+
+    return f
 
 
 def inspect(media: DataFrame, media_column: str = "media") -> DataFrame:
     """media with detected (the type at the start) and carved, an array of (type, start, end) of media inside."""
-    kind = pa.list_(pa.struct([("type", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
     media = media.drop("detected", "carved")
-
-    def make():
-        magic = automaton()
-
-        def f(batch):
-            found = [sniff(b, magic) if b is not None else [] for b in batch.column(media_column).to_pylist()]
-            detected = pa.array([x[0][0] if x and x[0][1] == 0 else None for x in found], pa.string())
-            carved = pa.array([[{"type": k, "start": a, "end": b} for k, a, b in x if a] for x in found], kind)
-            return pa.RecordBatch.from_arrays([*batch.columns, detected, carved], [*batch.schema.names, "detected", "carved"])
-
-        return f
-
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in media.schema.fields)
-    return common.map_batches(media, make, f"{kinds}, detected string, carved array<struct<type: string, start: long, end: long>>")
+    return common.map_batches(media, lambda: inspected(media_column), f"{kinds}, detected string, carved array<struct<type: string, start: long, end: long>>", 500)
 
 
 def feature(kind: str, declared: str, samples: np.ndarray, carved: int) -> str:
@@ -218,11 +219,13 @@ def feature(kind: str, declared: str, samples: np.ndarray, carved: int) -> str:
 
 
 def op9_media_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = inspect(store(common.read(spark, sf_dir, "documents")))
+    docs = common.id_and_text(common.read(spark, sf_dir, "documents"))
 
     def make():
+        inspect_batch = inspected()
+
         def f(batch):
-            rows = []
+            batch, rows = inspect_batch(stored(batch)), []
             for n, declared, media, kind, carved in zip(*(batch.column(c).to_pylist() for c in ("n_bytes", "declared", "media", "detected", "carved"))):
                 payload = read_back(kind, media)
                 rows.append((
@@ -236,5 +239,5 @@ def op9_media_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
         return f
 
     return common.map_batches(
-        found, make, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+        docs, make, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string", 500
     )
