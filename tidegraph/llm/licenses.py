@@ -39,13 +39,14 @@ NOTICES = {
     "all rights reserved": "reserved",
 }
 TAGS = ("spdx-license-identifier:", "license-expression:", "license:", "licence:")
-#: First letters of an identifier, its label, and whether it is permissive.
+#: How an identifier begins, its label, and whether it is permissive. What follows is a version or an addition (REST).
 FAMILIES = (
     ("agpl", "agpl", False), ("lgpl", "lgpl", False), ("gpl", "gpl", False), ("mpl", "mpl", False), ("epl", "epl", False),
     ("mit", "mit", True), ("apache", "apache", True), ("bsd", "bsd", True), ("isc", "isc", True), ("bsl", "bsl", True),
     ("cc0", "public-domain", True), ("unlicense", "public-domain", True), ("cc-by-nc", "cc-by-nc", False),
     ("cc-by-sa", "cc-by-sa", False), ("cc-by", "cc", True), ("zlib", "zlib", True),
 )
+REST = re.compile(r"v?[0-9]|[-.+]|\Z")
 RANK = {"or": 1, "and": 2, "with": 3}
 TOKEN = re.compile(r"[\x20\t]*(?:(\()|(\))|([A-Za-z0-9][A-Za-z0-9.+:-]*))")
 
@@ -99,7 +100,7 @@ def evaluate(parts: list[str]) -> tuple[frozenset[str], bool | None]:
                 stack.append((a | b, (any if part == "or" else all)(known) if known else None))
         else:
             name = part.lower()
-            stack.append(next(((frozenset([label]), ok) for first, label, ok in FAMILIES if name.startswith(first)), (frozenset(), None)))
+            stack.append(next(((frozenset([label]), ok) for first, label, ok in FAMILIES if name.startswith(first) and REST.match(name, len(first))), (frozenset(), None)))
     return stack[0]
 
 
