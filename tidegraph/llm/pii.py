@@ -36,7 +36,7 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 REST_OF_URL = re.compile(r"[^\s<>\"'`{}|\\^\x00-\x1f]+")
 #: What may stand between a cue and its number: white space, punctuation and connecting words.
 LEAD = r"""(?:[\s:;,.#=*"'`()\[\]<>/_–—-]++|(?i:numbers?|num|nr|nos?|is|are|was|codes?|card|account)(?![A-Za-z0-9]))*+"""
-IBAN = re.compile(LEAD + r"([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30})")
+IBAN = re.compile(LEAD + r"([A-Za-z]{2}[0-9]{2}(?:\x20?[A-Za-z0-9]){11,30})")
 SSN = re.compile(LEAD + r"([0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9])")
 
 
@@ -134,21 +134,21 @@ def described(found: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{KINDS[kind]}:{start}:{end}" for start, kind, end in found)
 
 
-def find(docs: DataFrame, **columns) -> DataFrame:
-    """doc_id and spans, an array of (kind, start, end), for every row of docs."""
-    out = "doc_id long, spans array<struct<kind: string, start: long, end: long>>"
+def found_spans():
+    """The batch function of find: doc_id and spans of a batch with doc_id and text."""
+    anchors = automaton()
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
-    def make():
-        anchors = automaton()
+    def f(batch):
+        rows = [[{"kind": KINDS[k], "start": a, "end": b} for a, k, b in spans(t, anchors)] for t in common.texts_of(batch, "text")]
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(rows, kind)], ["doc_id", "spans"])
 
-        def f(batch):
-            rows = [[{"kind": KINDS[k], "start": a, "end": b} for a, k, b in spans(t, anchors)] for t in common.texts_of(batch, "text")]
-            return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(rows, kind)], ["doc_id", "spans"])
+    return f
 
-        return f
 
-    return common.map_batches(common.id_and_text(docs, **columns), make, out)
+def find(docs: DataFrame, **columns) -> DataFrame:
+    """doc_id and spans, an array of (kind, start, end), for every row of docs."""
+    return common.map_batches(common.id_and_text(docs, **columns), found_spans, "doc_id long, spans array<struct<kind: string, start: long, end: long>>")
 
 
 def redacted(text: str, found: list[tuple[int, int, str]]) -> str:
@@ -186,11 +186,13 @@ def redact(docs: DataFrame, text_column: str = "text", length_column: str | None
 
 
 def op10_pii_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = find(common.read(spark, sf_dir, "documents"))
+    docs = common.id_and_text(common.read(spark, sf_dir, "documents"))
 
     def make():
+        found = found_spans()
+
         def f(batch):
-            out = []
+            batch, out = found(batch), []
             for doc_id, rows in zip(batch.column("doc_id").to_pylist(), batch.column("spans").to_pylist()):
                 texts = [(r["kind"], f"{r['kind']}:{r['start']}:{r['end']}") for r in rows]
                 base = ",".join(t for k, t in texts if k in BASE)
@@ -201,4 +203,4 @@ def op10_pii_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
         return f
 
-    return common.map_batches(found, make, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return common.map_batches(docs, make, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
