@@ -23,36 +23,46 @@ _OWN_DIR: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; only where that is unset (tests) a temporary one of this process."""
+    """The folder of ``spark.checkpoint.dir``; only where that is unset and Spark is local (tests) a temporary one of this process."""
     known = spark.conf.get("spark.checkpoint.dir", None)
     if known:
         return known.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all machines share")
     if not _OWN_DIR:
         _OWN_DIR.append("file://" + tempfile.mkdtemp(prefix="tidegraph-"))
     return _OWN_DIR[0]
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts lineage and survives lost executors."""
+def written(df: DataFrame, name: str, gathered: bool = False) -> DataFrame:
+    """df as a Parquet table in the shared folder: cuts lineage and survives lost executors.
+
+    gathered: rows of a few bytes are dealt anew to as many files as their size asks for, in place of one a task.
+    """
     spark = df.sparkSession
+    df = df.hint("rebalance") if gathered else df
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def map_batches(
-    df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch]], schema: str
+    df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch]], schema: str, rows: int = 1000
 ) -> DataFrame:
-    """mapInArrow with a function made once a task by make(); what it returns or yields goes out."""
+    """mapInArrow with a function made once a task by make(); what it returns or yields goes out.
+
+    The function gets at most so many rows at once, so that a task's Python objects stay few whatever Arrow's batches hold.
+    """
 
     def run(batches):
         f = make()
         for batch in batches:
-            out = f(batch)
-            if isinstance(out, pa.RecordBatch):
-                yield out
-            else:
-                yield from out
+            for at in range(0, max(1, batch.num_rows), rows):
+                out = f(batch.slice(at, rows))
+                if isinstance(out, pa.RecordBatch):
+                    yield out
+                else:
+                    yield from out
 
     return df.mapInArrow(run, schema)
 

@@ -23,6 +23,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 GOLDEN = 0.6180339887498949
 CELLS = 4096
 CHUNK = 65536
+#: Names of passing columns beside those of an input that is handed on.
+ROW, TAKEN = "_mix_row_", "_mix_taken_"
 
 
 def sizes(docs: DataFrame, id_column: str = "doc_id", source_column: str = "source", text_column: str = "text", seed: int = 42) -> DataFrame:
@@ -137,30 +139,45 @@ def schedule(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, epochs: int
 
 
 def mix(docs: DataFrame, **parameters) -> DataFrame:
-    """doc_id, size, source_size, target and taken, the words that the mix takes of the document, for each row of docs."""
+    """doc_id, source, size, source_size, target and taken, the words that the mix takes of the document, for each row of docs."""
     pieces, rows = schedule(docs, **parameters)
     taken = pieces.groupBy("rank", "start").agg(F.sum("n_words").alias("taken"))
     full = rows.where("size > 0").join(taken, ["rank", "start"], "left")
     empty = rows.where("size = 0").withColumn("taken", F.lit(0).cast("long"))
-    columns = ["doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")]
+    columns = ["doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")]
     return full.select(*columns).union(empty.select(*columns))
 
 
 def apply_mix(docs: DataFrame, **parameters) -> DataFrame:
-    """docs as mixed: each row as many times as the mix takes it whole (rounded), with all its columns."""
-    per_id = (
+    """docs as mixed: each row as many times as the mix takes it whole (rounded), with all its columns.
+
+    A row is known by its id, source and size. Rows that share these share what the mix takes of them: as many copies
+    each, and one more for the first of them (by a hash of all columns) as long as there are some left.
+    """
+    columns = docs.columns
+    per_row = (
         mix(docs, **parameters)
         .where("size > 0")
-        .groupBy(F.col("doc_id").alias("mix_id"))
-        .agg(F.round(F.sum("taken") / F.sum("size")).cast("int").alias("mix_copies"))
-        .where("mix_copies > 0")
+        .groupBy("doc_id", "source", "size")
+        .agg(F.sum(F.round(F.col("taken") / F.col("size"))).cast("long").alias("copies"), F.count("*").alias("n"))
+        .where("copies > 0")
+        .select(F.struct("doc_id", "source", "size", "copies", "n").alias(TAKEN))
     )
-    joined = docs.join(per_id, F.col("doc_id").cast("long").eqNullSafe(F.col("mix_id"))).where(F.regexp_count("text", F.lit(WORD)) > 0)
-    return joined.withColumn("mix_copies", F.explode(F.sequence(F.lit(1), F.col("mix_copies")))).drop("mix_id", "mix_copies")
+    size = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
+    own = docs.withColumn(ROW, F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size")))
+    same = [F.col(f"{ROW}.{c}").eqNullSafe(F.col(f"{TAKEN}.{c}")) for c in ("doc_id", "source", "size")]
+    joined = own.join(per_row, same[0] & same[1] & same[2])
+    copies, n = F.col(f"{TAKEN}.copies"), F.col(f"{TAKEN}.n")
+    order = W.partitionBy(F.col(TAKEN)).orderBy(F.xxhash64(*columns))
+    rest = F.row_number().over(order) <= copies % n
+    alone = joined.where(n == 1).withColumn(ROW, copies)
+    several = joined.where(n > 1).withColumn(ROW, F.floor(copies / n) + F.when(rest, 1).otherwise(0))
+    taken = alone.select(*columns, ROW).unionByName(several.select(*columns, ROW)).where(F.col(ROW) > 0)
+    return taken.withColumn(ROW, F.explode(F.sequence(F.lit(1).cast("long"), F.col(ROW)))).select(columns)
 
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(common.read(spark, sf_dir, "documents"))
+    return mix(common.read(spark, sf_dir, "documents")).drop("source")
 
 
 OP4_SQL = r"""
