@@ -116,7 +116,7 @@ def near_classes(docs: DataFrame, similarity: float = 0.8, width: int = 5, block
     out = "id long, bits binary"
     prints = common.map_batches(docs, lambda: _of_new_texts(width, simhash.long_fingerprint, ["id", "bits"]), out)
     prints = common.written(prints.groupBy("id").agg(F.first("bits").alias("bits")), "near-prints")
-    candidates = components(common.written(simhash.near_links(prints).distinct(), "near-links", gathered=True))
+    candidates = components(common.written(simhash.contracted(simhash.near_links(prints)), "near-links", gathered=True))
     wanted = docs.join(candidates, docs["text_key"] == candidates["node"]).select("text_key", "text", "root")
     sets = common.map_batches(wanted, lambda: _of_new_texts(width, lambda hashes: hashes.tobytes(), ["text_key", "hashes"], "root"), "text_key long, hashes binary, root long")
     sets = common.written(sets, "near-sets")
@@ -159,6 +159,7 @@ def settled(sets: DataFrame, similarity: float = 0.8, block: int = 2000) -> Data
         return pa.table({"src": keys[tied], "dst": keys[roots[tied]]})
 
     least = sets.where("text_key = root").groupBy("root").agg(F.first("hashes").alias("least"))
+    least = common.written(least, "near-least")  # so both sides of the join are plain shuffles, of which skewed ones are split
     met = common.map_batches(sets.join(least, "root").select("text_key", "root", "hashes", "least"), meet, "text_key long, root long, near boolean")
     met = common.written(met.groupBy("root", "text_key").agg(F.first("near").alias("near")), "near-met")
     sizes = met.groupBy("root").agg(F.count_if("near").alias("n_near"), F.count_if(~F.col("near")).alias("n_far"))

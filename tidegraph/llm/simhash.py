@@ -256,12 +256,25 @@ def forests(dealt: DataFrame, sizes: DataFrame, n: int, words: list[str], behind
             ids = np.concatenate([ids[~second], ids[second]])
             forest = trees(rows[~second], rows[second], budgets[band], total)
         roots = forest.roots(np.arange(len(ids)))
-        tied = roots != np.arange(len(ids))
-        return pa.table({"src": ids[tied], "dst": ids[roots[tied]]})
+        least = ids.copy()  # a tree is told as its ids tied to the least of them, so other tasks tell of it alike
+        np.minimum.at(least, roots, ids)
+        tied = ids != least[roots]
+        return pa.table({"src": ids[tied], "dst": least[roots[tied]]})
 
     return cells.groupBy("band", "cell", "p", "q").applyInArrow(joined, "src long, dst long")
 
 
+def contracted(links: DataFrame) -> DataFrame:
+    """Links of the same components with about one for each src: it is tied to the least dst it has, as are its other dsts.
+
+    A src has a dst for each task that tells of it at most, so no array grows with the data.
+    """
+    of = links.groupBy("src").agg(F.collect_set("dst").alias("dsts")).withColumn("least", F.array_min("dsts"))
+    others = F.transform(F.filter("dsts", lambda d: d > F.col("least")), lambda d: F.struct(d.alias("src"), F.col("least").alias("dst")))
+    ties = F.explode(F.concat(F.array(F.struct("src", F.col("least").alias("dst"))), others))
+    return of.select(ties.alias("tie")).select("tie.src", "tie.dst").distinct()
+
+
 def _turned(lo: int):
     """fp turned left by lo bits."""
     return F.shiftleft("fp", lo).bitwiseOR(F.shiftrightunsigned("fp", 64 - lo)) if lo else F.col("fp")
