@@ -173,7 +173,7 @@ def pack(docs: DataFrame, size: int = 1 << 20) -> DataFrame:
                     pa.array([np.array([NAMELESS if i is None else i for i in ids], "<i8").tobytes()], pa.binary()),
                     pa.array([np.array([i is None for i in ids], bool).tobytes()], pa.binary()),
                     pa.array([np.cumsum([len(t) for t in texts]).astype("<i8").tobytes()], pa.binary()),
-                    pa.array([zstandard.compress(b"".join(texts), 1)], pa.binary()),
+                    pa.array([zstandard.compress(b"".join(texts), 6)], pa.binary()),
                 ],
                 ["batch", "ids", "nameless", "ends", "data"],
             )
@@ -397,10 +397,10 @@ def repeats(packed: DataFrame, bucket_bytes: int = 3 << 20, bucket_anchors: int
     stretches = (back.agg(F.sum(F.length("codes"))).first()[0] or 0) // 6
     many = max(1, stretches * (LENGTH + 18) // bucket_bytes)
     asked = back.groupBy("batch").agg(F.collect_list("codes").alias("codes"), F.collect_list("hot").alias("hot"))
-    joined = packed.join(asked, "batch").select("batch", "ids", "ends", "data", "codes", "hot")
+    joined = packed.join(asked, "batch", "left").select(*packed.columns, "codes", "hot")  # of the same shape as the join in deduplicate
 
     def deal(row):
-        for bucket, records in _records(row, many).items():
+        for bucket, records in (_records(row, many) if row["codes"] else {}).items():
             yield {"bucket": bucket, "batch": row["batch"], "records": _write_records(records)}
 
     def meet(key, table):
@@ -414,8 +414,8 @@ def repeats(packed: DataFrame, bucket_bytes: int = 3 << 20, bucket_anchors: int
 def deduplicate(docs: DataFrame, **parameters) -> DataFrame:
     """doc_id, n_bytes, spans (removed bytes, array of start and end) and kept (the other bytes) for every row of docs."""
     packed = common.written(pack(docs), "suffix-packed")
-    found = common.written(repeats(packed, **parameters), "suffix-found")
-    joined = packed.join(found.groupBy("batch").agg(F.collect_list("found").alias("found")), "batch", "left")
+    found = repeats(packed, **parameters)  # not written in between: both joins read the one shuffle of the batches
+    joined = packed.join(found.groupBy("batch").agg(F.collect_list("found").alias("found")), "batch", "left").select(*packed.columns, "found")
     spans_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     names = ["doc_id", "n_bytes", "spans", "kept"]
 
@@ -448,7 +448,7 @@ def deduplicate(docs: DataFrame, **parameters) -> DataFrame:
                     part = rows[at : at + 500]
                     yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in part], t) for j, t in enumerate((pa.int64(), pa.int64(), spans_type, pa.binary()))], names)
 
-    return joined.select("ids", "nameless", "ends", "data", "found").mapInArrow(run, "doc_id long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary")
+    return joined.mapInArrow(run, "doc_id long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary")
 
 
 def op8_suffix_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
