@@ -25,12 +25,10 @@ VIEWS = {
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey""",
     "cells": "SELECT t, src, dst, count(*) AS w FROM trades GROUP BY t, src, dst",
     "net": "SELECT t, src, dst, w FROM (SELECT *, avg(w) OVER (PARTITION BY t) AS m FROM cells) WHERE w > m AND src <> dst",
-    "sparse": """SELECT t, src, dst, w FROM (SELECT *, row_number() OVER (PARTITION BY t ORDER BY w DESC, src, dst) AS place FROM cells WHERE src <> dst)
-        WHERE place <= 40""",
     "nodes": "SELECT n_nationkey AS node, n_name AS name, n_regionkey AS z FROM nation",
     "twoway": "SELECT DISTINCT t, src, dst FROM (SELECT t, src, dst FROM net UNION ALL SELECT t, dst, src FROM net)",
     "und": "SELECT DISTINCT t, least(src, dst) AS src, greatest(src, dst) AS dst FROM net",
-    "sboth": "SELECT DISTINCT t, src, dst FROM (SELECT t, src, dst FROM sparse UNION ALL SELECT t, dst, src FROM sparse)",
+    "sboth": "SELECT DISTINCT t, src, dst FROM (SELECT t, src, dst FROM net UNION ALL SELECT t, dst, src FROM net)",
     "dlab": """SELECT t, node, ntile(4) OVER (PARTITION BY t ORDER BY volume, node) - 1 AS z
         FROM (SELECT t, src AS node, count(*) AS volume FROM trades GROUP BY t, src)""",
     "pos": """SELECT t, node, coalesce((v - avg(v) OVER y) / nullif(stddev_pop(v) OVER y, 0), 0) AS x0, coalesce((q - avg(q) OVER y) / nullif(stddev_pop(q) OVER y, 0), 0) AS x1
@@ -77,7 +75,7 @@ VIEWS = {
     "emb": "SELECT vec_id AS node, label AS z, embedding::DOUBLE[] AS x FROM embeddings",
 }
 NEEDS = {
-    "cells": "trades", "net": "cells", "sparse": "cells", "twoway": "net", "und": "net", "sboth": "sparse", "dlab": "trades", "pos": "trades", "steps": "pos", "ends": "net",
+    "cells": "trades", "net": "cells", "twoway": "net", "und": "net", "sboth": "net", "dlab": "trades", "pos": "trades", "steps": "pos", "ends": "net",
     "rad": "ends nodes", "dist": "pos", "ddist": "pos", "dyads": "dist und", "ddyads": "ddist net rad", "clusters": "pos dlab", "moves": "dlab", "trans": "ks moves", "final": "pos dlab",
     "ahead": "final trans clusters draws", "next": "ahead", "mean_next": "next", "smp": "evs", "cooc": "smp", "cboth": "cooc", "evi": "cboth smp", "counts": "smp", "auto": "lagged",
 }
@@ -230,12 +228,12 @@ COMPONENT = REACH + ", comp AS (SELECT t, a AS node, min(b) AS component FROM re
 
 @query("t:i node:i component:i", "sboth nodes", COMPONENT + " SELECT * FROM comp")
 def components(c):
-    return network.components(c.sparse(), c.nodes())
+    return network.components(c.net(), c.nodes())
 
 
 @query("t:i node:i", "sboth nodes", COMPONENT + " SELECT t, node FROM comp JOIN (SELECT t, component FROM comp GROUP BY t, component HAVING count(*) > 2) USING (t, component)")
 def connected_nodes(c):
-    return network.connected_nodes(c.sparse(), c.nodes(), 2)
+    return network.connected_nodes(c.net(), c.nodes(), 2)
 
 
 def _peels(rounds: int) -> str:
@@ -249,7 +247,7 @@ def _peels(rounds: int) -> str:
 
 @query("t:i src:i dst:i", "sboth", _peels(25))
 def kcore3(c):
-    return network.k_core(c.sparse(), 3)
+    return network.k_core(c.net(), 3)
 
 
 @query("t:i src:i dst:i d:i", "sboth nodes", """, walk AS (SELECT DISTINCT s.t, n.node AS a, n.node AS b, 0 AS d FROM sboth s CROSS JOIN nodes n
@@ -258,7 +256,7 @@ def kcore3(c):
  SELECT p.t, p.a AS src, p.b AS dst, coalesce(d, far) AS d FROM (SELECT DISTINCT s.t, i.node AS a, j.node AS b FROM sboth s CROSS JOIN nodes i CROSS JOIN nodes j) p
  LEFT JOIN short USING (t, a, b) JOIN (SELECT t, max(d) + 1 AS far FROM short GROUP BY t) USING (t)""")
 def sp_dissimilarity(c):
-    return network.shortest_paths(c.sparse(), c.nodes())
+    return network.shortest_paths(c.net(), c.nodes())
 
 
 @query("node:i r:d", "rad", "SELECT * FROM rad")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.scalar import normal_pdf
+from ..functions.scalar import normal_logpdf
 
 
 def retained(samples: DataFrame, n_burn: int = 0, thin: int = 1) -> DataFrame:
@@ -93,7 +93,8 @@ def bic(chosen: DataFrame, loglik: DataFrame, latent: DataFrame, n_edges: int, n
 
 
 def forward_loglik(positions: DataFrame, init: DataFrame, trans: DataFrame, clusters: DataFrame, lmbda: float, p: int = 2) -> DataFrame:
-    """The marginal log-likelihood of positions over label paths: a scaled forward pass for each node.
+    """The marginal log-likelihood of positions over label paths: a forward pass in logarithms for each node, so that no
+    density, however small, becomes zero.
 
     A node's steps are folded in order as an array, inside the engine. init: k, w; trans: t (or none), k_from, k_to, w;
     clusters: k, mu, sigma. These are a few rows of K and K x K size and become literals of the fold.
@@ -112,7 +113,8 @@ def forward_loglik(positions: DataFrame, init: DataFrame, trans: DataFrame, clus
     mus, sigmas = array([m for _, m, _ in ks]), array([s for _, _, s in ks])
     each = F.sequence(F.lit(0), F.lit(len(ks) - 1))
     at = lambda a, i: F.element_at(a, (i + 1).cast("int"))
-    pdf = lambda x, mean, i: normal_pdf(x, mean, at(sigmas, i), p)
+    logpdf = lambda x, mean, i: normal_logpdf(x, mean, at(sigmas, i), p)
+    log = lambda v: F.when(v > 0, F.log(v)).otherwise(F.lit(float("-inf")))
 
     def step(acc, s):
         first = F.size(acc["w"]) == 0
@@ -121,9 +123,11 @@ def forward_loglik(positions: DataFrame, init: DataFrame, trans: DataFrame, clus
         came = lambda i: F.when(first, at(array(w0), i)).otherwise(
             F.aggregate(each, F.lit(0.0), lambda total, j: total + at(acc["w"], j) * at(at(matrix, j), i))
         )
-        joint = F.transform(each, lambda i: came(i) * pdf(s["x"], mean(i), i))
-        scale = F.aggregate(joint, F.lit(0.0), lambda a, v: a + v)
-        return F.struct(F.transform(joint, lambda v: v / scale).alias("w"), s["x"].alias("x"), (acc["ll"] + F.log(scale)).alias("ll"))
+        joint = F.transform(each, lambda i: log(came(i)) + logpdf(s["x"], mean(i), i))
+        shifted = F.transform(joint, lambda v: F.when(v > float("-inf"), F.exp(v - F.array_max(joint))).otherwise(0.0))
+        scale = F.aggregate(shifted, F.lit(0.0), lambda a, v: a + v)
+        share = F.transform(shifted, lambda v: F.coalesce(F.try_divide(v, scale), F.lit(0.0)))
+        return F.struct(share.alias("w"), s["x"].alias("x"), (acc["ll"] + F.array_max(joint) + log(scale)).alias("ll"))
 
     start = F.struct(F.array().cast("array<double>").alias("w"), F.array().cast("array<double>").alias("x"), F.lit(0.0).alias("ll"))
     paths = positions.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("t", "x"))).alias("path"))

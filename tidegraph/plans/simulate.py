@@ -34,12 +34,12 @@ def staying(centres: np.ndarray, sticky: float) -> np.ndarray:
     return w / w.sum(axis=1, keepdims=True)
 
 
-def crossing(old: np.ndarray, new: np.ndarray) -> np.ndarray:
-    """Moves into other groups; one at the same place weighs as much as the nearest other."""
+def crossing(old: np.ndarray, new: np.ndarray, sticky: float = 1.0) -> np.ndarray:
+    """Moves into other groups; one at the same place weighs sticky times as much as the nearest other."""
     w = inverse_distances(old, new)
     same = ~np.isfinite(w)
     w[same] = 0
-    w = np.where(same, w.max(axis=1, keepdims=True), w)
+    w = np.where(same, sticky * w.max(axis=1, keepdims=True), w)
     return w / np.maximum(w.sum(axis=1, keepdims=True), 1e-300)
 
 
@@ -75,7 +75,7 @@ def evolve(rng, n: int, centres: np.ndarray, spreads: np.ndarray, phases: list[t
                 if moves is not None:
                     z = draw_labels(rng, moves(t)[zs[-1]])
                 else:
-                    w = staying(own, sticky) if k else crossing(centres[before], own)
+                    w = staying(own, sticky) if k else crossing(centres[before], own, sticky if len(groups) < len(before) else 1.0)
                     place = {g: i for i, g in enumerate(groups if k else before)}
                     z = np.array(groups)[draw_labels(rng, w[[place[g] for g in zs[-1]]])]
                 mean = lmbda * centres[z] + (1 - lmbda) * xs[-1]
@@ -86,6 +86,27 @@ def evolve(rng, n: int, centres: np.ndarray, spreads: np.ndarray, phases: list[t
     return np.stack(xs), np.stack(zs)
 
 
+def forecast_map(x: np.ndarray, z: np.ndarray, w: np.ndarray, lmbda: float, centres: np.ndarray, intercept: float) -> np.ndarray:
+    """Link probabilities a step ahead at each node's mean place, over the groups that have nodes now."""
+    now = np.unique(z)
+    share = w[z][:, now]
+    mean = lmbda * share @ centres[now] + (1 - lmbda) * share.sum(axis=1, keepdims=True) * x
+    return 1 / (1 + np.exp(np.linalg.norm(mean[:, None] - mean, axis=2) - intercept))
+
+
+def forecast(rng, x: np.ndarray, z: np.ndarray, w: np.ndarray, lmbda: float, centres: np.ndarray, spreads: np.ndarray, intercept: float, draws: int = 5000) -> np.ndarray:
+    """Link probabilities a step ahead, as the mean over drawn groups and places."""
+    total = np.zeros((len(x), len(x)))
+    for _ in range(draws):
+        to = draw_labels(rng, w[z])
+        place = spreads[to][:, None] * rng.normal(size=x.shape) + lmbda * centres[to] + (1 - lmbda) * x
+        square = (place**2).sum(axis=1)
+        d = np.sqrt(np.maximum(square[:, None] + square - 2 * place @ place.T, 0))
+        total += 1 / (1 + np.exp(d - intercept))
+    np.fill_diagonal(total, 0)
+    return total / draws
+
+
 def _spreads(rng, n: int, shape: float, scale: float) -> np.ndarray:
     return np.sqrt(1 / rng.gamma(shape, scale, n))
 
@@ -110,10 +131,12 @@ def splitting(rng, n=120, steps=9, intercept=1.0, lmbda=0.8, sticky=20.0, shape=
 
 
 def merging(rng, n=120, steps=5, intercept=1.0, lmbda=0.6):
-    """Two groups that empty into one between them."""
+    """Two groups that empty into one between them, which has all nodes from the fourth step on."""
 
     def moves(t):
-        s = min(t / 4, 1.0)
+        if t > 2:
+            return np.array([[0, 0, 1.0]] * 3)
+        s = t / 4
         return np.array([[1 - s, 0, s], [0, 1 - s, s], [0, 0, 1.0]])
 
     x, z = evolve(rng, n, np.array(MERGING), np.ones(3), [([0, 1, 2], steps)], lmbda, 1.0, np.array([0.5, 0.5, 0.0]), moves)
@@ -144,31 +167,33 @@ def static_communities(rng, n=100, steps=5, groups=6, difficulty="easy", interce
 
 def homogeneous(rng, n=120, steps=6, difficulty="easy", lmbda=0.8, intercept=1.0, sticky=20.0):
     """Six groups all along; the step after the last is there too, for forecasts."""
-    x, z = evolve(rng, n, np.array(SIX), _spreads(rng, 6, 3 if difficulty == "hard" else 6, 0.5), [(list(range(6)), steps + 1)], lmbda, sticky, rng.dirichlet([10] * 6))
-    return _network(rng, x, z, intercept, False)
+    centres, spreads = np.array(SIX), _spreads(rng, 6, 3 if difficulty == "hard" else 6, 0.5)
+    x, z = evolve(rng, n, centres, spreads, [(list(range(6)), steps + 1)], lmbda, sticky, rng.dirichlet([10] * 6))
+    return _network(rng, x, z, intercept, False) | {"ahead": forecast(rng, x[-2], z[-2], staying(centres, sticky), lmbda, centres, spreads, intercept)}
 
 
 def inhomogeneous(rng, n=120, difficulty="easy", lmbda=0.9, intercept=1.0, sticky=20.0):
     """Two groups that become six, then four; ten steps."""
     spreads = _spreads(rng, 6, 3 if difficulty == "hard" else 6, 0.5)
-    x, z = evolve(rng, n, np.array(TWO_FIRST), spreads, [([0, 1], 3), (list(range(6)), 3), ([0, 1, 4, 5], 4)], lmbda, sticky)
-    return _network(rng, x, z, intercept, False)
+    x, z = evolve(rng, n, np.array(TWO_FIRST), spreads, [([0, 1], 3), (list(range(6)), 3), ([0, 1, 2, 3], 4)], lmbda, sticky)
+    centres = np.array(TWO_FIRST)[:4]
+    return _network(rng, x, z, intercept, False) | {"ahead": forecast(rng, x[-2], z[-2], staying(centres, sticky), lmbda, centres, spreads, intercept)}
 
 
 def splitting_and_merging(rng, n=120, steps=9, difficulty="easy", lmbda=0.9, intercept=1.0, sticky=20.0, directed=False):
     """Two groups, six, then four, a third of the steps each, and one step more."""
     third, centres = math.ceil(steps / 3), np.array(TWO_FIRST) / (100 if directed else 1)
     spreads = _spreads(rng, 6, *(DIRECTED_SPREAD if directed else (6, 20 if difficulty == "easy" else 0.5)))
-    x, z = evolve(rng, n, centres, spreads, [([0, 1], third), (list(range(6)), third), ([0, 1, 4, 5], third + 1)], lmbda, sticky)
+    x, z = evolve(rng, n, centres, spreads, [([0, 1], third), (list(range(6)), third), ([0, 1, 2, 3], third + 1)], lmbda, sticky)
     return _network(rng, x, z, intercept, directed)
 
 
-def lookup_table(rng, draws=10_000, low=0.1, high=2.5, bins=100, spread=0.5, intercept=1.0) -> np.ndarray:
+def lookup_table(rng, draws=10_000, low=0.1, high=2.5, bins=100, variance=0.5, intercept=1.0) -> np.ndarray:
     """For half distances of two centres: the ratio of link probabilities across and within, and the half distance."""
     expit = lambda v: 1 / (1 + np.exp(-v))
     out = []
     for m in np.linspace(low, high, bins):
-        e = spread * rng.normal(size=(4, draws, 2))
+        e = math.sqrt(variance) * rng.normal(size=(4, draws, 2))
         inside = expit(intercept - np.linalg.norm(e[0] - e[1], axis=1)).mean()
         across = expit(intercept - np.linalg.norm(e[2] - e[3] + [2 * m, 0], axis=1)).mean()
         out.append((across / inside, m))
@@ -177,7 +202,7 @@ def lookup_table(rng, draws=10_000, low=0.1, high=2.5, bins=100, spread=0.5, int
 
 def detection_limit(rng, n=120, steps=4, trans_proba=0.2, lmbda=0.8, ratio=0.5, spread=0.5, intercept=1.0):
     """Two groups just as far apart as a ratio of link probabilities needs."""
-    table = lookup_table(np.random.default_rng(42), draws=2000)
+    table = lookup_table(np.random.default_rng(42))
     m = table[np.abs(table[:, 0] - ratio).argmin(), 1]
     w = np.array([[1 - trans_proba, trans_proba], [trans_proba, 1 - trans_proba]])
     x, z = evolve(rng, n, np.array([[m, 0], [-m, 0]]), np.full(2, spread), [([0, 1], steps)], lmbda, 1.0, None, lambda t: w)
@@ -191,7 +216,10 @@ SCENARIOS = {
 
 
 def simulate(spark: SparkSession, scenario: str, seeds: list[int], **parameters) -> DataFrame:
-    """seed, part ("edge", "label" or "position"), t, i, j, z, x, p: one task for each seed; p is an edge's probability."""
+    """seed, part ("edge", "label", "position" or "ahead"), t, i, j, z, x, p: one task for each seed.
+
+    p is an edge's probability; rows "ahead" have every pair's probability at the last step, forecast from the one before.
+    """
 
     def run(batches):
         for batch in batches:
@@ -199,6 +227,9 @@ def simulate(spark: SparkSession, scenario: str, seeds: list[int], **parameters)
                 s = SCENARIOS[scenario](np.random.default_rng(int(seed)), **parameters)
                 t, i, j = np.nonzero(s["y"])
                 yield pd.DataFrame({"seed": seed, "part": "edge", "t": t, "i": i, "j": j, "z": None, "x": None, "p": s["p"][t, i, j]})
+                if "ahead" in s:
+                    i, j = np.triu_indices(len(s["ahead"]), 1)
+                    yield pd.DataFrame({"seed": seed, "part": "ahead", "t": len(s["z"]) - 1, "i": i, "j": j, "z": None, "x": None, "p": s["ahead"][i, j]})
                 rows = [(seed, part, t, i, None, int(s["z"][t, i]), s["x"][t, i].tolist(), None) for part in ("label", "position") for t in range(len(s["z"])) for i in range(s["z"].shape[1])]
                 yield pd.DataFrame(rows, columns=["seed", "part", "t", "i", "j", "z", "x", "p"])
 

@@ -16,9 +16,13 @@ def edge_lists(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return network.aggregated(named, ["source", "target", "season"])
 
 
-def interactions(spark: SparkSession, paths: str | list[str], seasons: list[int], weight_min: int = 10) -> tuple[DataFrame, DataFrame]:
-    """(edges, nodes): both directions of the seasons' edges of enough weight (t is the season), and names by number."""
-    kept = edge_lists(spark, paths).where(F.col("season").isin(seasons) & (F.col("weight") >= weight_min))
+def interactions(spark: SparkSession, paths: str | list[str], seasons: list[int] | None = None, weight_min: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(edges, nodes): both directions of the edges (t is the season), of some seasons or of enough weight if asked, and names by number."""
+    kept = edge_lists(spark, paths)
+    if seasons is not None:
+        kept = kept.where(F.col("season").isin(seasons))
+    if weight_min is not None:
+        kept = kept.where(F.col("weight") >= weight_min)
     nodes = network.encoded(kept.select(F.col("source").alias("name")).union(kept.select("target")), "name")
     ids = lambda side, code: nodes.select(F.col("name").alias(side), F.col("node").alias(code))
     edges = kept.join(ids("source", "src"), "source").join(ids("target", "dst"), "target").select(F.col("season").alias("t"), "src", "dst")
@@ -53,14 +57,17 @@ def labelled_matrices(spark: SparkSession, paths: list[str], names: str, groups:
     return (edges if directed else network.symmetrised(edges)), nodes
 
 
-def alliances(spark: SparkSession, paths: list[str], names: str, min_degree: int = 1, remove_periphery: bool = True) -> tuple[DataFrame, DataFrame]:
+def alliances(spark: SparkSession, paths: list[str], names: str, min_degree: int = 1, remove_periphery: bool = True, directed: bool = False) -> tuple[DataFrame, DataFrame]:
     """(edges, nodes): both directions of what is left of count matrices' links when each step's nodes outside its
-    3-core and then nodes of a total degree under min_degree are gone; nodes are numbered anew in their order.
+    3-core and then nodes of a total degree under min_degree are gone; nodes are numbered anew in their order. directed
+    keeps the links of those nodes as they stand.
     """
-    edges = network.symmetrised(network.binarised(matrices(spark, paths)).where("src <> dst"))
+    links = network.binarised(matrices(spark, paths)).where("src <> dst").select("t", "src", "dst")
+    edges = network.symmetrised(links)
     if remove_periphery:
         edges = network.symmetrised(network.k_core(edges, 3))
     ends = edges.groupBy(F.col("src").alias("old")).agg((2 * F.count("*")).alias("n")).where(F.col("n") >= min_degree)
+    edges = edges.join(links, ["t", "src", "dst"], "left_semi") if directed else edges
     nodes = network.encoded(ends, "old").join(lines(spark, names, "name", header=True).withColumnRenamed("node", "old"), "old")
     ids = lambda side, code: nodes.select(F.col("old").alias(side), F.col("node").alias(code))
     return edges.join(ids("src", "a"), "src").join(ids("dst", "b"), "dst").select("t", F.col("a").alias("src"), F.col("b").alias("dst")), nodes.select("node", "name")

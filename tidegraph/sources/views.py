@@ -41,11 +41,6 @@ class Tables:
         mean = F.avg("w").over(W.partitionBy("t"))
         return self.cells().withColumn("mean", mean).where("w > mean AND src <> dst").select("t", "src", "dst", "w")
 
-    def sparse(self, top: int = 40) -> DataFrame:
-        """The heaviest cells of each year, without loops."""
-        rank = F.row_number().over(W.partitionBy("t").orderBy(F.desc("w"), "src", "dst"))
-        return self.cells().where("src <> dst").withColumn("place", rank).where(F.col("place") <= top).select("t", "src", "dst", "w")
-
     def nodes(self) -> DataFrame:
         return self.table("nation").select(F.col("n_nationkey").alias("node"), F.col("n_name").alias("name"), F.col("n_regionkey").alias("z"))
 
