@@ -257,8 +257,9 @@ def shared_anchors(packed: DataFrame, buckets: int, hot: int) -> DataFrame:
     return dealt.groupBy("bucket").applyInArrow(meet, "batch long, codes binary, hot binary")
 
 
-def _records(row: dict, buckets: int):
-    """The stretches of a batch that other documents may have, by bucket: each distinct one once."""
+def _records(row: dict, buckets: int, at_once: int = 1 << 15):
+    """The stretches of a batch that other documents may have, by bucket, so many anchors at once (a batch may be one very
+    long document): each distinct one once."""
     ids, ends, data = unpack(row)
     first, count, code, doc = anchors(np.frombuffer(data, np.uint8), ends)
     known = np.sort(np.concatenate([unsix(x) for x in row["codes"]]))
@@ -268,8 +269,13 @@ def _records(row: dict, buckets: int):
     kept = np.flatnonzero(among(known))
     is_hot = among(warm)
     kept = kept[np.lexsort((first[kept], ids[doc[kept]]))]
+    for part in np.split(kept, range(at_once, len(kept), at_once)):
+        yield from _dealt(data, buckets, zip(first[part].tolist(), count[part].tolist(), code[part].tolist(), ids[doc[part]].tolist(), is_hot[part].tolist())).items()
+
+
+def _dealt(data: bytes, buckets: int, stretches) -> dict[int, list]:
     met: dict[tuple[int, bytes], list] = {}
-    for a, m, c, i, h in zip(first[kept].tolist(), count[kept].tolist(), code[kept].tolist(), ids[doc[kept]].tolist(), is_hot[kept].tolist()):
+    for a, m, c, i, h in stretches:
         cuts = [(k, data[k : k + LENGTH], None) for k in range(a, a + m)] if h else [(a, data[a : a + m + LENGTH - 1], c)]
         for at, s, key in cuts:
             if key is None:
@@ -400,7 +406,7 @@ def repeats(packed: DataFrame, bucket_bytes: int = 3 << 20, bucket_anchors: int
     joined = packed.join(asked, "batch", "left").select(*packed.columns, "codes", "hot")  # of the same shape as the join in deduplicate
 
     def deal(row):
-        for bucket, records in (_records(row, many) if row["codes"] else {}).items():
+        for bucket, records in _records(row, many) if row["codes"] else ():
             yield {"bucket": bucket, "batch": row["batch"], "records": _write_records(records)}
 
     def meet(key, table):
