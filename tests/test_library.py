@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tidegraph.functions import scalar
-from tidegraph.operators import diagnostics, likelihood, metrics, missing, network, plotdata, posterior
+from tidegraph.operators import diagnostics, forecast, likelihood, metrics, missing, network, plotdata, posterior
 from tidegraph.plans import initial, kernel, simulate
 from tidegraph.sources import loaders
 from tidegraph.streaming import snapshots
@@ -93,6 +93,27 @@ def test_auc_against_all_pairs(spark):
     assert metrics.auc(spark.createDataFrame([(1, 0.5)], "y int, p double")).first()[0] is None
 
 
+def test_auc_of_any_scores(spark):
+    """Scores of every size and sign, ties, infinities, NaN and null, by a group that may be null."""
+    rng = np.random.default_rng(8)
+    nan, inf = math.nan, math.inf
+    p = np.concatenate([rng.normal(size=60), 10.0 ** rng.integers(-300, 300, 30), -(10.0 ** rng.integers(-300, 300, 20)), [0.0, -0.0, 5e-324, inf, -inf, nan, nan], rng.integers(-2, 3, 30)])
+    y = rng.integers(0, 2, len(p))
+    rank = [(2, 0.0) if math.isnan(v) else (1, v) for v in p.tolist()]
+    won = [1.0 if a > b else 0.5 if a == b else 0.0 for a, u in zip(rank, y) if u for b, v in zip(rank, y) if not v]
+    rows = [(g, int(u), float(v)) for g in ("a", None) for u, v in zip(y, p)]
+    got = metrics.auc(spark.createDataFrame(rows, "g string, y int, p double"), ["g"]).collect()
+    assert {r["g"] for r in got} == {"a", None} and all(r["auc"] == pytest.approx(sum(won) / len(won)) for r in got)
+    low = spark.createDataFrame([(1, None), (0, -inf), (0, 3.0)], "y int, p double")
+    assert metrics.auc(low).first()[0] == 0.0
+
+
+def test_pairs_meet_once(spark):
+    nodes = spark.createDataFrame([(s, k, [float(k), float(s)]) for s in range(2) for k in range(20)], "iter int, node int, x array<double>")
+    got = [tuple(r) for r in forecast.pairs(nodes, ["iter"]).select("iter", "i", "j", "d").collect()]
+    assert sorted(got) == [(s, i, j, float(j - i)) for s in range(2) for i in range(20) for j in range(i + 1, 20)]
+
+
 @settings(max_examples=5, deadline=None)
 @given(a=st.lists(st.integers(0, 3), min_size=4, max_size=12), seed=st.integers(0, 99))
 def test_partition_scores(spark, a, seed):

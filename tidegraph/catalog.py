@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .functions.scalar import distance, expit
+from .functions.scalar import dirichlet_logpdf, distance, expit, multivariate_t_logpdf
 from .operators import diagnostics, forecast, likelihood, metrics, missing, network, posterior
 from .sources.views import Tables
 
@@ -724,6 +724,41 @@ def split_counts(c):
     return split.where("held_out").groupBy("t").agg(F.count("*").alias("n_test"), F.sum("y").alias("n_edges"))
 
 
+# Densities, and the moves of the simulators' groups.
+
+
+@query("k_from:i value:d", "trans", """SELECT k_from, lgamma(sum(1.0::DOUBLE + k_to)) - sum(lgamma(1.0::DOUBLE + k_to)) + sum(k_to * ln(w)) AS value FROM trans GROUP BY k_from""")
+def dirichlet_density(c):
+    rows = trans_of(c).groupBy("k_from").agg(F.sort_array(F.collect_list(F.struct("k_to", "w"))).alias("s"))  # four by four
+    alphas = F.transform("s", lambda v: F.lit(1.0) + v["k_to"])
+    return rows.select("k_from", dirichlet_logpdf(F.transform("s", lambda v: v["w"]), alphas).alias("value"))
+
+
+@query("t:i node:i value:d", "pos", "SELECT t, node, lgamma(2.5::DOUBLE) - lgamma(1.5::DOUBLE) - ln(3 * pi() * 1.5::DOUBLE) - 2.5::DOUBLE * ln(1 + ((x0 - 0.5::DOUBLE) ** 2 + (x1 + 0.5::DOUBLE) ** 2) / (1.5::DOUBLE * 3)) AS value FROM pos")
+def t_density(c):
+    mean = F.array(F.lit(0.5), F.lit(-0.5))
+    return c.positions().select("t", "node", multivariate_t_logpdf(F.col("x"), F.lit(3.0), mean, F.lit(1.5)).alias("value"))
+
+
+@query("phase:i k_from:i k_to:i w:d", "", """WITH six AS (SELECT * FROM (VALUES (0, -4, 0), (1, 4, 0), (2, -2, 0), (3, 2, 0), (4, 0, 5), (5, 0, -5)) v(k, x, y)),
+ split AS (SELECT * FROM (VALUES (0, -2, 0), (1, 2, 0), (2, -4, 0), (3, 4, 0), (4, 0, 5), (5, 0, -5)) v(k, x, y)),
+ pairs AS (SELECT 0 AS phase, 20 AS sticky, a.k AS k_from, b.k AS k_to, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS d FROM six a CROSS JOIN six b
+ UNION ALL SELECT 1, 1, a.k, b.k, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) FROM split a CROSS JOIN split b WHERE a.k < 2
+ UNION ALL SELECT 2, 20, a.k, b.k, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) FROM split a CROSS JOIN split b WHERE b.k < 4),
+ weights AS (SELECT *, CASE WHEN d = 0 THEN sticky * max(1 / nullif(d, 0)) OVER (PARTITION BY phase, k_from) ELSE 1 / d END AS v FROM pairs)
+ SELECT phase, k_from, k_to, v / sum(v) OVER (PARTITION BY phase, k_from) AS w FROM weights""")
+def scenario_moves(c):
+    """The chances of moving between six groups, from two groups into six, and from six into four."""
+    import numpy as np
+
+    from .plans import simulate
+
+    split = np.array(simulate.TWO_FIRST)
+    phases = [simulate.staying(np.array(simulate.SIX), 20.0), simulate.crossing(split[:2], split), simulate.crossing(split, split[:4], 20.0)]
+    rows = [(phase, a, b, float(v)) for phase, w in enumerate(phases) for a, row in enumerate(w) for b, v in enumerate(row)]
+    return c.spark.createDataFrame(rows, "phase int, k_from int, k_to int, w double")
+
+
 # What SQL can't express: simulators, estimators and the operators of linear algebra. Tests hold them against dense forms.
 
 
@@ -731,7 +766,7 @@ def _scenario(name: str):
     def run(c):
         from .plans import simulate
 
-        sim = simulate.simulate(c.spark, name, [1, 2, 3, 4], n=40)
+        sim = simulate.simulate(c.spark, name, [1, 2, 3, 4])
         return sim.where("part = 'edge'").selectExpr("seed", "t", "i AS src", "j AS dst", "p")
 
     run.__name__ = f"simulate_{name}"
@@ -743,7 +778,7 @@ for _name in ("splitting", "merging", "merging_blocks", "static_communities", "h
 
 
 def _chain(name: str):
-    """Two short chains on the trade network, as posterior link probabilities of the best sample."""
+    """Two chains on the trade network, tuned twice, as posterior link probabilities of the best sample."""
 
     def run(c):
         from .plans import models
@@ -753,7 +788,7 @@ def _chain(name: str):
         first = net.agg(F.min("t").alias("first"))
         edges = network.symmetrised(net).join(F.broadcast(first), how="cross").select((F.col("t") - F.col("first")).alias("t"), "src", "dst")
         steps = edges.select("t").distinct()
-        est = kind(c.spark, chains=2, n_components=4, n_iter=20, tune=20, burn=20, thin=2)
+        est = kind(c.spark, chains=2, n_components=4, n_iter=200, tune=200, burn=100, thin=2)
         return est.fit(edges, c.nodes(), steps).probabilities().select("t", "src", "dst", "y", "p")
 
     run.__name__ = f"fit_{name}"
@@ -768,7 +803,7 @@ for _name in ("lsm", "lpcm", "hdp_lpcm"):
 def forecast_monte_carlo(c):
     last, trans, clusters, _ = _model(c)
     first = lambda df: df.where("iter = 0").drop("iter")
-    return forecast.monte_carlo(first(last), first(trans), first(clusters), 1.0, 500)
+    return forecast.monte_carlo(first(last), first(trans), first(clusters), 1.0)
 
 
 @query("z:d p:d", "", None)

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.scalar import distance, expit, normal_pdf
+from ..functions.scalar import expit, normal_pdf
+from .likelihood import pairs_of
 
 
 def next_positions(last: DataFrame, trans: DataFrame, clusters: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -24,13 +25,8 @@ def next_positions(last: DataFrame, trans: DataFrame, clusters: DataFrame, keys:
 
 
 def pairs(positions: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    keys = keys or []
-    a = positions.select(*keys, F.col("node").alias("i"), F.col("x").alias("xi"))
-    b = positions.select(*[F.col(c).alias(f"{c}_b") for c in keys], F.col("node").alias("j"), F.col("x").alias("xj"))
-    on = F.col("i") < F.col("j")
-    for c in keys:
-        on = on & (F.col(c) == F.col(f"{c}_b"))
-    return a.join(b, on).select(*keys, "i", "j", distance("xi", "xj").alias("d"))
+    """keys, i, j, d of all pairs of nodes, met by blocks."""
+    return pairs_of(positions, keys or []).withColumnsRenamed({"src": "i", "dst": "j"})
 
 
 def plug_in(positions: DataFrame, intercept: float) -> DataFrame:
@@ -55,8 +51,7 @@ def marginal(target: DataFrame, last: DataFrame, trans: DataFrame, clusters: Dat
     mean = F.zip_with("mu", "x", lambda m, x: F.col("lmbda") * m + (F.lit(1.0) - F.col("lmbda")) * x)
     density = joined.groupBy(last["iter"], "node").agg(F.sum(F.col("w") * normal_pdf("at", mean, "sigma", p)).alias("f"))
     side = lambda n, f: density.select("iter", F.col("node").alias(n), F.col("f").alias(f))
-    linked = pairs(target).select("i", "j", "d")
-    weighed = side("i", "fi").join(side("j", "fj"), "iter").where("i < j").join(linked, ["i", "j"]).join(intercepts.select("iter", "b"), "iter")
+    weighed = pairs(target).join(side("i", "fi"), "i").join(side("j", "fj"), ["iter", "j"]).join(intercepts.select("iter", "b"), "iter")
     w = F.col("fi") * F.col("fj")
     return weighed.groupBy("i", "j").agg(F.try_divide(F.sum(w * expit(F.col("b") - F.col("d"))), F.sum(w)).alias("p"))
 

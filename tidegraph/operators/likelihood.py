@@ -14,20 +14,27 @@ from pyspark.sql import functions as F
 from ..functions.scalar import distance, expit, normal_logpdf, softplus, squared_distance
 
 
-def distances(positions: DataFrame, directed: bool = False, squared: bool = False, blocks: int = 8) -> DataFrame:
-    """t, src, dst, d of all pairs of a step: each once, or in both directions.
+def pairs_of(positions: DataFrame, keys: list[str], directed: bool = False, squared: bool = False, blocks: int = 8) -> DataFrame:
+    """keys, src, dst, d of all pairs of nodes (node, x) that agree in keys: each once, or in both directions.
 
-    Nodes are dealt to blocks, and the pairs of two blocks meet by themselves, so that a step's pairs are the work of
-    blocks x blocks groups; a position is sent once for each block.
+    Nodes are dealt to blocks, and the pairs of two blocks meet by themselves, so that the pairs of a step or a sample
+    are the work of blocks x blocks groups; a position is sent once for each block.
     """
     block = F.pmod(F.xxhash64("node"), F.lit(blocks))
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
-    a = positions.select("t", F.col("node").alias("src"), F.col("x").alias("xs"), block.alias("a_block"), every.alias("a_other"))
-    b = positions.select(F.col("t").alias("u"), F.col("node").alias("dst"), F.col("x").alias("xd"), block.alias("b_block"), every.alias("b_other"))
+    a = positions.select(*keys, F.col("node").alias("src"), F.col("x").alias("xs"), block.alias("a_block"), every.alias("a_other"))
+    b = positions.select(*[F.col(c).alias(f"{c}_b") for c in keys], F.col("node").alias("dst"), F.col("x").alias("xd"), block.alias("b_block"), every.alias("b_other"))
+    meet = (F.col("a_block") == F.col("b_other")) & (F.col("a_other") == F.col("b_block"))
+    for c in keys:
+        meet = meet & (F.col(c) == F.col(f"{c}_b"))
     pair = (F.col("src") != F.col("dst")) if directed else (F.col("src") < F.col("dst"))
-    meet = (F.col("t") == F.col("u")) & (F.col("a_block") == F.col("b_other")) & (F.col("a_other") == F.col("b_block"))
     of = squared_distance if squared else distance
-    return a.join(b, meet & pair).select("t", "src", "dst", of("xs", "xd").alias("d"))
+    return a.join(b, meet & pair).select(*keys, "src", "dst", of("xs", "xd").alias("d"))
+
+
+def distances(positions: DataFrame, directed: bool = False, squared: bool = False, blocks: int = 8) -> DataFrame:
+    """t, src, dst, d of all pairs of a step: each once, or in both directions."""
+    return pairs_of(positions, ["t"], directed, squared, blocks)
 
 
 def dyads(positions: DataFrame, edges: DataFrame, directed: bool = False, radii: DataFrame | None = None, missing: DataFrame | None = None) -> DataFrame:

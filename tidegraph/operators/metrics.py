@@ -2,20 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+def _stretch(score: Column) -> Column:
+    """A number that never falls as the score rises: 4096 stretches to every factor of e, on either side of 0."""
+    size = F.floor(F.lit(4096.0) * F.least(F.log(F.abs(score)), F.lit(1e4))) + F.lit(4_000_000)
+    signed = F.when(score > 0, size).when(score < 0, -size).otherwise(F.lit(0))
+    return F.when(score.isNull(), F.lit(-(1 << 40))).when(F.isnan(score), F.lit(1 << 40)).otherwise(signed)
+
+
 def auc(scored: DataFrame, by: list[str] | None = None, y: str = "y", p: str = "p") -> DataFrame:
-    """Area under the ROC curve, ties counting half; null where only one class is seen. Rows with a null y are left out.
+    """Area under the ROC curve, ties counting half; null where only one class is seen. Rows with a null y are left out,
+    a null score is the lowest and NaN the highest.
 
-    Equal scores are summed up first, so the ordered pass holds a row for each distinct score.
+    Equal scores are summed up first. Scores are ranked within stretches of their range, which are tasks of their own;
+    the ordered pass over all of them holds a row for each stretch.
     """
     by = by or []
     at = scored.where(F.col(y).isNotNull()).groupBy(*by, F.col(p).alias("score")).agg(F.sum(F.col(y).cast("double")).alias("ones"), F.sum(F.lit(1.0) - F.col(y)).alias("zeros"))
-    below = F.sum("zeros").over(W.partitionBy(*by).orderBy("score")) - F.col("zeros")
-    ranked = at.withColumn("won", F.col("ones") * (below + F.col("zeros") * F.lit(0.5)))
+    at = at.withColumn("stretch", _stretch(F.col("score").cast("double")))
+    before = lambda *keys: F.sum("zeros").over(W.partitionBy(*by, *keys[:-1]).orderBy(keys[-1])) - F.col("zeros")
+    inside = at.withColumn("won", F.col("ones") * (before("stretch", "score") + F.col("zeros") * F.lit(0.5)))
+    summed = inside.groupBy(*by, "stretch").agg(*[F.sum(c).alias(c) for c in ("won", "ones", "zeros")])
+    ranked = summed.withColumn("won", F.col("won") + F.col("ones") * before("stretch"))
     out = ranked.groupBy(*by) if by else ranked
     return out.agg(F.try_divide(F.sum("won"), F.sum("ones") * F.sum("zeros")).alias("auc"))
 

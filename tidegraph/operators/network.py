@@ -171,10 +171,10 @@ def initial_radii(edges: DataFrame, nodes: DataFrame, reg: float = 1e-5) -> Data
     """node, r: half of a node's ends among all edges; where a node has none all get reg and are scaled to 1."""
     ends = edges.select(F.col("src").alias("node")).union(edges.select("dst")).groupBy("node").agg(F.count("*").alias("n"))
     all_nodes = nodes.select("node").join(ends, "node", "left").select("node", F.coalesce("n", F.lit(0)).alias("n"))
-    whole = W.partitionBy()
-    r = F.col("n") / (F.lit(1.0) * F.sum("n").over(whole))
-    lonely = F.min("n").over(whole) == 0
-    return all_nodes.select("node", F.when(lonely, (r + reg) / (F.lit(1.0) + reg * F.count("*").over(whole))).otherwise(r).alias("r"))
+    whole = all_nodes.agg(F.sum("n").alias("ends"), F.min("n").alias("least"), F.count("*").alias("nodes"))
+    r = F.col("n") / (F.lit(1.0) * F.col("ends"))
+    shared = F.when(F.col("least") == 0, (r + reg) / (F.lit(1.0) + reg * F.col("nodes"))).otherwise(r)
+    return all_nodes.join(F.broadcast(whole), how="cross").select("node", shared.alias("r"))  # a single row
 
 
 def window_snapshots(events: DataFrame, width: str, time: str = "ts") -> DataFrame:
