@@ -778,7 +778,7 @@ for _name in ("splitting", "merging", "merging_blocks", "static_communities", "h
 
 
 def _chain(name: str):
-    """Two chains on the trade network, tuned twice, as posterior link probabilities of the best sample."""
+    """Two chains on the trade network, tuned once, as posterior link probabilities of the best sample."""
 
     def run(c):
         from .plans import models
@@ -788,7 +788,7 @@ def _chain(name: str):
         first = net.agg(F.min("t").alias("first"))
         edges = network.symmetrised(net).join(F.broadcast(first), how="cross").select((F.col("t") - F.col("first")).alias("t"), "src", "dst")
         steps = edges.select("t").distinct()
-        est = kind(c.spark, chains=2, n_components=4, n_iter=200, tune=200, burn=100, thin=2)
+        est = kind(c.spark, chains=2, n_components=4, n_iter=100, tune=100, burn=50, thin=2, start_iter=100, start_tune=100, start_burn=50)
         return est.fit(edges, c.nodes(), steps).probabilities().select("t", "src", "dst", "y", "p")
 
     run.__name__ = f"fit_{name}"
