@@ -323,3 +323,50 @@ def test_plot_data(net):
     box = plotdata.latent_panels(net["positions"], net["labels"]).first()
     assert box["max0"] == net["x"][:, :, 0].max()
     assert plotdata.network_view(net["edges"], net["nodes"]).count() == net["edges"].count()
+
+
+def test_drawn_controls_against_dense_forms(net):
+    y, x, r = net["y"], net["x"], net["r"]
+    drawn = likelihood.drawn_controls(net["positions"], net["edges"], 6).cache()
+    rows = [tuple(c) for c in drawn.select("t", "src", "dst").collect()]
+    assert len(set(rows)) == len(rows) and rows and all(i != j and not y[t, i, j] for t, i, j in rows)
+    again = likelihood.drawn_controls(net["positions"].repartition(5), net["edges"], 6)
+    assert drawn.exceptAll(again).count() == again.exceptAll(drawn).count() == 0
+    eta = likelihood.eta_directed(0.8, 0.3)
+    d = np.sqrt(((x[:, :, None] - x[:, None]) ** 2).sum(axis=3))
+    e = 0.8 * (1 - d / r[None, None]) + 0.3 * (1 - d / r[None, :, None])
+    value = y * e - np.logaddexp(0, e)
+    want = np.zeros(3)
+    for t in range(3):
+        for i in range(9):
+            own = [j for a, b, j in rows if (a, b) == (t, i)]
+            want[t] += value[t, i, y[t, i] == 1].sum() + (8 - y[t, i].sum()) * (value[t, i, own].mean() if own else 0)
+    got = {c["t"]: c["loglik"] for c in likelihood.sampled_loglikelihood(net["positions"], net["edges"], drawn, eta, net["radii"]).collect()}
+    assert all(got[t] == pytest.approx(want[t]) for t in range(3))
+    whole = likelihood.dyads(net["positions"], net["edges"], True).where("y = 0").select("t", "src", "dst")
+    full = likelihood.sampled_loglikelihood(net["positions"], net["edges"], whole, eta, net["radii"]).agg(F.sum("loglik")).first()[0]
+    assert full == pytest.approx(value[:, ~np.eye(9, dtype=bool)].sum())
+
+
+def test_predictive_draws_follow_their_model(spark):
+    """Shares of the groups drawn, and means and spreads of their places, over many samples of one node."""
+    one = lambda rows, schema: spark.createDataFrame(rows, schema)
+    n = 4000
+    iters = spark.range(n).selectExpr("cast(id AS int) AS iter")
+    last = iters.selectExpr("iter", "7 AS node", "array(2.0D, 0.0D) AS x", "0 AS z", "0.5D AS lmbda")
+    trans = iters.join(one([(0, 0, 0.2), (0, 1, 0.5), (0, 2, 0.3), (1, 0, 1.0)], "k_from int, k_to int, w double"), how="cross")
+    clusters = iters.join(one([(0, [0.0, 0.0], 1.0), (1, [10.0, 0.0], 4.0), (2, [0.0, 10.0], 0.25)], "k int, mu array<double>, sigma double"), how="cross")
+    drawn = forecast.drawn_positions(last, trans, clusters).toPandas()
+    assert len(drawn) == n
+    for k, w, mu, var in ((0, 0.2, (1, 0), 1.0), (1, 0.5, (6, 0), 4.0), (2, 0.3, (1, 5), 0.25)):
+        x = np.stack(drawn["x"][drawn["z"] == k].to_list())
+        assert abs(len(x) / n - w) < 0.03
+        assert np.abs(x.mean(axis=0) - mu).max() < 5 * math.sqrt(var / len(x)) and x.var(axis=0) == pytest.approx(var, rel=0.2)
+    active = forecast.among_active(last.where("iter < 2"), trans, ["iter"]).collect()
+    assert [(r["k_from"], r["k_to"], r["w"]) for r in active] == [(0, 0, 1.0)] * 2
+
+
+def test_running_map(spark):
+    trace = spark.createDataFrame([(0, 0, 1.0), (0, 1, 3.0), (0, 2, 2.0), (0, 3, 3.0), (1, 0, -5.0), (1, 1, -6.0)], "chain int, iter int, logp double")
+    got = sorted((r["chain"], r["iter"], r["best_iter"], r["best"]) for r in posterior.running_map(trace, ["chain"]).collect())
+    assert got == [(0, 0, 0, 1.0), (0, 1, 1, 3.0), (0, 2, 1, 3.0), (0, 3, 1, 3.0), (1, 0, 0, -5.0), (1, 1, 0, -5.0)]

@@ -360,6 +360,41 @@ def ll_case_control(c):
     return likelihood.case_control_loglikelihood(_pairs(c, True), likelihood.eta_directed(B_IN, B_OUT), missing.arithmetic() < 400)
 
 
+PICKED = "(src * 7 + t * 3 + k * 11) % 25"
+
+
+def _controls(c, edges):
+    return likelihood.drawn_controls(c.positions(), edges, 8, F.pmod(F.col("src") * 7 + F.col("t") * 3 + F.col("k") * 11, F.col("n")))
+
+
+DRAWS = f"SELECT DISTINCT t, src, {PICKED} AS dst FROM (SELECT t, node AS src FROM pos) CROSS JOIN (SELECT range AS k FROM range(8)) WHERE src <> {PICKED}"
+
+
+@query("t:i src:i dst:i", "net pos", f"SELECT * FROM ({DRAWS}) ANTI JOIN net USING (t, src, dst)")
+def control_nodes(c):
+    return _controls(c, c.net())
+
+
+@query("t:i loglik:d", "ddyads", f"""SELECT t, sum(e + CASE WHEN m > 0 THEN n / m * cs ELSE 0 END) AS loglik FROM (SELECT t, src, sum(CASE WHEN y = 1 THEN v ELSE 0 END) AS e,
+ sum(CASE WHEN y = 0 AND h THEN v ELSE 0 END) AS cs, sum((y = 0)::INT)::DOUBLE AS n, sum((y = 0 AND h)::INT)::DOUBLE AS m
+ FROM (SELECT ddyads.*, {TERM} AS v, p.src IS NOT NULL AS h FROM ddyads LEFT JOIN ({DRAWS}) p USING (t, src, dst)) GROUP BY t, src) GROUP BY t""")
+def ll_case_control_drawn(c):
+    eta = likelihood.eta_directed(B_IN, B_OUT)
+    return likelihood.sampled_loglikelihood(c.positions(), c.net(), _controls(c, c.net()), eta, network.initial_radii(c.net(), c.nodes()))
+
+
+@query("t:i loglik:d", "dyads", f"""SELECT t, sum(y * eta) - 24 * avg(CASE WHEN p.dst IS NOT NULL THEN greatest(eta, 0) + ln(1 + exp(-abs(eta))) END) AS loglik
+ FROM (SELECT t, CASE WHEN src = 3 THEN dst ELSE src END AS dst, y, eta FROM dyads WHERE src = 3 OR dst = 3) LEFT JOIN (SELECT t, dst FROM ({DRAWS}) WHERE src = 3) p USING (t, dst) GROUP BY t""")
+def ll_partial_case_control(c):
+    both = network.symmetrised(c.net())
+    return likelihood.sampled_partial_loglikelihood(c.positions(), both, _controls(c, both.limit(0)), likelihood.eta_undirected(B0), 3)
+
+
+@query("t:i node:i ss:d", "pos", "SELECT t, node, (x0 - lead(x0) OVER n) ** 2 + (x1 - lead(x1) OVER n) ** 2 AS ss FROM pos WINDOW n AS (PARTITION BY node ORDER BY t)")
+def lead_displacement(c):
+    return likelihood.onward(c.positions())
+
+
 @query("logprior:d", "steps", "SELECT -0.5::DOUBLE * sum(CASE WHEN b0 IS NULL THEN (x0 ** 2 + x1 ** 2) / 2.0::DOUBLE ELSE ((x0 - b0) ** 2 + (x1 - b1) ** 2) / 0.1::DOUBLE END) AS logprior FROM steps")
 def prior_random_walk(c):
     return likelihood.random_walk_prior(c.positions(), TAU_SQ, SIGMA_SQ)
@@ -578,6 +613,11 @@ def map_per_k(c):
     return posterior.map_per_k(c.samples(), _logp(c))
 
 
+@query("iter:i logp:d best_iter:i best:d", "logp", """SELECT l.iter, l.logp, arg_max(b.iter, (b.logp, -b.iter)) AS best_iter, max(b.logp) AS best FROM logp l JOIN logp b ON b.iter <= l.iter GROUP BY l.iter, l.logp""")
+def running_map(c):
+    return posterior.running_map(_logp(c))
+
+
 @query("n_groups:i bic:d loglik:d iter:i", "counts logp und", f"""SELECT n_groups, -2 * logp + ln((SELECT count(*) FROM und)) - 2 * (logp / 2)
  + (3 * n_groups + 2 * (n_groups - 1) + 6 * n_groups * (n_groups - 1)) * ln(175) AS bic, logp AS loglik, iter FROM ({BEST})""")
 def bic_table(c):
@@ -707,6 +747,36 @@ def forecast_marginal(c):
     return forecast.marginal(target, last, trans, clusters, intercepts)
 
 
+@query("k_from:i k_to:i iter:i w:d", "trans final draws", """, used AS (SELECT DISTINCT z FROM final)
+ SELECT k_from, k_to, iter, w / sum(w) OVER (PARTITION BY iter, k_from) AS w FROM trans CROSS JOIN draws WHERE k_from IN (FROM used) AND k_to IN (FROM used)""")
+def last_step_weights(c):
+    last, trans, _, _ = _model(c)
+    return forecast.among_active(last, trans, ["iter"])
+
+
+def _uniform(k: int):
+    """Numbers that SQL can repeat."""
+    return (F.pmod(F.col("iter") * 7919 + F.col("node") * 104729 + F.lit(k) * 1299709, F.lit(997)) + F.lit(0.5)) / F.lit(997.0)
+
+
+DRAWN = "((iter * 7919 + node * 104729 + {} * 1299709) % 997 + 0.5::DOUBLE) / 997.0::DOUBLE"
+AHEAD = f""", onward AS (SELECT iter, node, x0, x1, lam, b, shift, k_to, sum(w) OVER (PARTITION BY iter, node ORDER BY k_to) AS upto, sum(w) OVER (PARTITION BY iter, node) AS whole
+ FROM final JOIN trans ON k_from = z CROSS JOIN draws), taken AS (SELECT iter, node, x0, x1, lam, b, shift, min(k_to) AS z FROM onward WHERE upto >= {DRAWN.format(0)} * whole GROUP BY ALL),
+ drawn AS (SELECT iter, node, b, z, lam * (m0 + shift) + (1 - lam) * x0 + r * cos(a) AS x0, lam * (m1 + shift) + (1 - lam) * x1 + r * sin(a) AS x1
+ FROM (SELECT taken.*, m0, m1, sqrt(-2 * ln({DRAWN.format(1)}) * sigma * (1 + shift)) AS r, 2 * pi() * {DRAWN.format(2)} AS a FROM taken JOIN clusters ON k = z))"""
+
+
+@query("iter:i node:i z:i x0:d x1:d", "final trans clusters draws", AHEAD + " SELECT iter, node, z, x0, x1 FROM drawn")
+def forecast_draws(c):
+    last, trans, clusters, _ = _model(c)
+    return forecast.drawn_positions(last, trans, clusters, _uniform).select("iter", "node", "z", F.col("x")[0].alias("x0"), F.col("x")[1].alias("x1"))
+
+
+@query("i:i j:i p:d", "final trans clusters draws", AHEAD + f" SELECT a.node AS i, b.node AS j, avg(1 / (1 + exp({DIST} - a.b))) AS p FROM drawn a JOIN drawn b ON a.iter = b.iter AND a.node < b.node GROUP BY ALL")
+def forecast_posterior_predictive(c):
+    return forecast.posterior_predictive(*_model(c), _uniform)
+
+
 # Missing dyads.
 
 

@@ -112,11 +112,73 @@ def case_control_loglikelihood(pairs: DataFrame, eta: Column, chosen: Column) ->
     return by_node.groupBy("t").agg(F.sum(F.col("edges") + scaled).alias("loglik"))
 
 
+def drawn_controls(positions: DataFrame, edges: DataFrame, n_control: int, pick: Column | None = None, seed: int = 123) -> DataFrame:
+    """t, src, dst: for every node of a step up to n_control others that it has no edge to.
+
+    Nodes are numbered 0 to n-1. pick is the number of the k-th control of src at t, of the columns t, src, k and n (how
+    many nodes the step has); by default a hash. Repeated picks count once, and src itself and its edges are taken out,
+    so that the work grows with nodes and edges, not with pairs.
+    """
+    pick = F.pmod(F.xxhash64(F.lit(seed), "t", "src", "k"), F.col("n")) if pick is None else pick
+    sizes = positions.groupBy("t").agg(F.count("*").alias("n"))
+    slots = positions.select("t", F.col("node").alias("src")).join(F.broadcast(sizes), "t").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(n_control - 1))))
+    drawn = slots.select("t", "src", pick.cast("int").alias("dst")).where("src <> dst").distinct()
+    return drawn.join(edges.select("t", "src", "dst"), ["t", "src", "dst"], "left_anti")
+
+
+def _placed(links: DataFrame, positions: DataFrame, radii: DataFrame | None = None) -> DataFrame:
+    """links (t, src, dst and more) with the distance d, and the radii of both ends."""
+    a = positions.select("t", F.col("node").alias("src"), F.col("x").alias("xs"))
+    b = positions.select("t", F.col("node").alias("dst"), F.col("x").alias("xd"))
+    out = links.join(a, ["t", "src"]).join(b, ["t", "dst"]).withColumn("d", distance("xs", "xd")).drop("xs", "xd")
+    if radii is not None:
+        for side in ("src", "dst"):
+            out = out.join(radii.select(F.col("node").alias(side), F.col("r").alias(f"r_{side}")), side)
+    return out
+
+
+def sampled_loglikelihood(positions: DataFrame, edges: DataFrame, controls: DataFrame, eta: Column, radii: DataFrame | None = None) -> DataFrame:
+    """t, loglik as case_control_loglikelihood has it, from the edges and drawn controls (t, src, dst) alone.
+
+    A node's non-edges are counted from its degree, and its controls are weighed up to them.
+    """
+    links = edges.where("src <> dst").select("t", "src", "dst").distinct().withColumn("y", F.lit(1)).union(controls.select("t", "src", "dst", F.lit(0)))
+    value = term(eta)
+    one = F.col("y") == 1
+    by_node = _placed(links, positions, radii).groupBy("t", "src").agg(
+        F.sum(F.when(one, value).otherwise(0.0)).alias("edges"),
+        F.sum(F.when(~one, value).otherwise(0.0)).alias("controls"),
+        F.sum(F.when(one, 1.0).otherwise(0.0)).alias("degree"),
+        F.sum(F.when(~one, 1.0).otherwise(0.0)).alias("m"),
+    )
+    sizes = positions.groupBy("t").agg(F.count("*").alias("n"))
+    rest = F.col("n") - F.lit(1.0) - F.col("degree")
+    scaled = F.coalesce(F.try_divide(rest, F.col("m")) * F.col("controls"), F.lit(0.0))
+    return by_node.join(F.broadcast(sizes), "t").groupBy("t").agg(F.sum(F.col("edges") + scaled).alias("loglik"))
+
+
+def sampled_partial_loglikelihood(positions: DataFrame, edges: DataFrame, controls: DataFrame, eta: Column, node: int) -> DataFrame:
+    """t, loglik of one node of an undirected network: its edges' own terms, less the mean over its controls of
+    log(1 + exp(eta)) for all others. edges hold both directions; controls (t, src, dst) may have edges among them.
+    """
+    own = lambda df, y: df.where((F.col("src") == node) & (F.col("dst") != node)).select("t", "src", "dst").distinct().withColumn("y", F.lit(y))
+    placed = _placed(own(edges, 1).union(own(controls, 0)), positions)
+    one = F.col("y") == 1
+    sums = placed.groupBy("t").agg(F.sum(F.when(one, eta).otherwise(0.0)).alias("edges"), F.avg(F.when(~one, softplus(eta))).alias("control"))
+    sizes = positions.groupBy("t").agg(F.count("*").alias("n"))
+    return sums.join(F.broadcast(sizes), "t").select("t", (F.col("edges") - (F.col("n") - F.lit(1.0)) * F.coalesce("control", F.lit(0.0))).alias("loglik"))
+
+
 def displacements(positions: DataFrame) -> DataFrame:
     """t, node, ss: the squared step from the node's position before; null at its first."""
     return positions.select("t", "node", squared_distance("x", F.lag("x").over(W.partitionBy("node").orderBy("t"))).alias("ss"))
 
 
+def onward(positions: DataFrame) -> DataFrame:
+    """t, node, ss: the squared step to the node's position after; null at its last."""
+    return positions.select("t", "node", squared_distance("x", F.lead("x").over(W.partitionBy("node").orderBy("t"))).alias("ss"))
+
+
 def random_walk_prior(positions: DataFrame, tau_sq: float, sigma_sq: float) -> DataFrame:
     step = W.partitionBy("node").orderBy("t")
     origin = F.transform("x", lambda v: F.lit(0.0))

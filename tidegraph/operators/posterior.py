@@ -82,6 +82,13 @@ def map_per_k(labels: DataFrame, scalars: DataFrame) -> DataFrame:
     return joined.groupBy("n_groups").agg(F.min(F.struct(-F.col("logp"), F.col("iter"))).alias("best")).select("n_groups", F.col("best.iter").alias("iter"), (-F.col("best.col1")).alias("logp"))
 
 
+def running_map(scalars: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """iter, logp, best_iter, best: the highest logp up to each sample, the first among equals; by: the chain."""
+    upto = W.partitionBy(*(by or [])).orderBy("iter").rowsBetween(W.unboundedPreceding, W.currentRow)
+    best = F.min(F.struct((-F.col("logp")).alias("low"), F.col("iter").alias("at"))).over(upto)
+    return scalars.select(*(by or []), "iter", "logp", best.alias("b")).select(*(by or []), "iter", "logp", F.col("b.at").alias("best_iter"), (-F.col("b.low")).alias("best"))
+
+
 def bic(chosen: DataFrame, loglik: DataFrame, latent: DataFrame, n_edges: int, n: int, steps: int, p: int = 2, directed: bool = False) -> DataFrame:
     """n_groups, bic, loglik, iter of chosen (n_groups, iter). loglik and latent: iter with the two log-likelihoods."""
     pen1 = (2 + n if directed else 1) * math.log(n_edges)

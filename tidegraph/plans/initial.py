@@ -42,8 +42,11 @@ def gmds(y: np.ndarray, p: int, directed: bool, lmbda: float = 10.0) -> np.ndarr
     return out / n if directed else out
 
 
-def kmeans_labels(x: np.ndarray, k: int, rng, rounds: int = 50, var_reg: float = 1e-3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Groups of whole trajectories (T, n, p): labels, centres averaged over steps, variances averaged over all axes."""
+def kmeans_labels(x: np.ndarray, k: int, rng, rounds: int = 50, var_reg: float = 1e-3, fixed_clusters: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Groups of whole trajectories (T, n, p): labels, centres averaged over steps, variances averaged over all axes.
+
+    Without fixed_clusters each step has its own centres (T, k, p).
+    """
     steps, n, p = x.shape
     flat = x.transpose(1, 0, 2).reshape(n, -1)
     k_used = min(k, n)
@@ -67,6 +70,10 @@ def kmeans_labels(x: np.ndarray, k: int, rng, rounds: int = 50, var_reg: float =
         if (labels == g).any():
             v = x[:, labels == g].var(axis=1).mean()
             sigma[g] = v if v > 0 else var_reg
+    if not fixed_clusters:
+        moving = np.tile(mu, (steps, 1, 1))
+        moving[:, :k_used] = centres.reshape(k_used, steps, p).transpose(1, 0, 2)
+        return labels, moving, sigma
     return labels, mu, sigma
 
 

@@ -13,9 +13,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalar import distance, expit
+from ..functions.scalar import expit
 from ..operators import metrics, posterior
-from ..storage import written
+from ..storage import removed, written
 from .initial import average_linkage
 from .kernel import Chain, Config
 
@@ -81,7 +81,7 @@ CONFIG_TYPES = {int: "bigint", float: "double", bool: "boolean", str: "string"}
 
 def _config_column(config: Config):
     literal = lambda v, kind: F.lit(v).cast(kind)
-    kinds = {k: "string" if k == "kind" else "boolean" if isinstance(v, bool) else "bigint" if isinstance(v, int) or k == "n_control" else "double" for k, v in asdict(config).items()}
+    kinds = {k: "string" if k == "kind" else "boolean" if isinstance(v, bool) else "bigint" if isinstance(v, int) and k != "n_control" else "double" for k, v in asdict(config).items()}
     return F.struct(*[literal(v, kinds[k]).alias(k) for k, v in asdict(config).items()])
 
 
@@ -90,6 +90,7 @@ class Fit:
 
     def __init__(self, rows: DataFrame, edges: DataFrame, missing: DataFrame | None, nodes: DataFrame, steps: DataFrame, config: Config):
         self.rows, self.edges, self.missing, self.nodes, self.steps, self.config = rows, edges, missing, nodes, steps, config
+        self.best: tuple[int, int] | None = None
 
     def scalars(self) -> DataFrame:
         names = [*SCALARS, "b0", "b1"]
@@ -122,7 +123,9 @@ class Fit:
         return posterior.missing_means(drawn)
 
     def select(self, by: str = "map") -> tuple[int, int]:
-        """(chain, iter) of the selected sample: by "map", "bic" (mixtures) or "vi" (mixtures, within the first chain)."""
+        """(chain, iter) of the selected sample: by "map" or, for mixtures, within the first chain by "bic", "vi" or "mode",
+        the sample of the highest logp among those with the commonest number of groups.
+        """
         if by == "map":
             best = self.scalars().orderBy(F.desc("logp"), "chain", "iter").first()
             return best["chain"], best["iter"]
@@ -133,8 +136,20 @@ class Fit:
             return 0, found["iter"]
         if by == "bic":
             return 0, self.bic_table().orderBy("bic").first()["iter"]
+        if by == "mode":
+            chosen = posterior.map_per_k(labels, logp).join(posterior.best_k(labels), "n_groups")
+            return 0, chosen.first()["iter"]
         raise ValueError(by)
 
+    def set_best_model(self, by: str = "map") -> Fit:
+        """Makes the sample selected so the one that probabilities, auc and the forecasts from one sample take."""
+        self.best = self.select(by)
+        return self
+
+    def chosen(self) -> tuple[int, int]:
+        """The sample of set_best_model, else the MAP one."""
+        return self.best or self.select()
+
     def bic_table(self) -> DataFrame:
         """A row for each number of groups seen by the first chain: its best sample and BIC."""
         first = F.col("chain") == 0
@@ -172,8 +187,8 @@ class Fit:
         return likelihood.loglikelihood(pairs, eta).first()["loglik"]
 
     def probabilities(self, at: tuple[int, int] | None = None) -> DataFrame:
-        """t, src, dst, d, y, p at a sample, the MAP one unless another is named; y is null where the dyad is missing."""
-        pairs, eta = self._pairs(at or self.select())
+        """t, src, dst, d, y, p at a sample, the chosen one unless another is named; y is null where the dyad is missing."""
+        pairs, eta = self._pairs(at or self.chosen())
         return pairs.withColumn("p", expit(eta)).select("t", "src", "dst", "d", "y", "p")
 
     def auc(self, at: tuple[int, int] | None = None) -> float:
@@ -193,32 +208,42 @@ class Fit:
         z = average_linkage(far, threshold)
         return self.rows.sparkSession.createDataFrame([(i, int(z[place[i]])) for i in ids], "node int, z int")
 
-    def forecast(self, kind: str = "map", n_samples: int = 5000) -> DataFrame:
-        """i, j, p of the step after the last, for undirected mixtures: "map", "plugin", "marginal" or "monte_carlo"."""
+    def forecast(self, kind: str = "map", n_samples: int = 5000, renormalise: bool = False) -> DataFrame:
+        """i, j, p of the step after the last, for undirected mixtures: "map", "plugin", "marginal", "monte_carlo" or
+        "posterior_predictive", a draw from every sample. "map" and "monte_carlo" take one sample, set_best_model's or the
+        first chain's MAP one; the others those of the first chain. renormalise keeps to the groups with nodes at the last step.
+        """
         from ..operators import forecast
 
         end = self.steps.agg(F.max("t")).first()[0]
-        scalars = self.scalars().where("chain = 0").select("iter", "lambda", "b_in")
+        chain = self.best[0] if self.best and kind in ("map", "monte_carlo") else 0
+        scalars = self.scalars().where(F.col("chain") == chain).select("iter", "lambda", "b_in")
         last = (
-            self.positions().where((F.col("chain") == 0) & (F.col("t") == end)).join(self.labels().where("chain = 0"), ["chain", "iter", "t", "node"])
+            self.positions().where((F.col("chain") == chain) & (F.col("t") == end)).join(self.labels(), ["chain", "iter", "t", "node"])
             .join(scalars, "iter").select("iter", "node", "x", "z", F.col("lambda").alias("lmbda"))
         )
-        trans = self.transitions().where((F.col("chain") == 0) & (F.col("t") == end)).select("iter", "k_from", "k_to", "w")
-        clusters = self.clusters().where("chain = 0").drop("chain")
+        trans = self.transitions().where((F.col("chain") == chain) & (F.col("t") == end)).select("iter", "k_from", "k_to", "w")
+        if renormalise:
+            trans = forecast.among_active(last, trans, ["iter"])
+        clusters = self.clusters().where(F.col("chain") == chain).drop("chain")
         if kind in ("map", "monte_carlo"):
-            at = self.scalars().where("chain = 0").orderBy(F.desc("logp"), "iter").first()
+            own = self.scalars().where(F.col("chain") == chain)
+            at = (own.where(F.col("iter") == self.best[1]) if self.best else own.orderBy(F.desc("logp"), "iter")).first()
             one = lambda df: df.where(F.col("iter") == at["iter"]).drop("iter")
             if kind == "map":
                 return forecast.plug_in(forecast.next_positions(one(last), one(trans), one(clusters)), at["b_in"])
             return forecast.monte_carlo(one(last), one(trans), one(clusters), at["b_in"], n_samples)
+        if kind == "posterior_predictive":
+            return forecast.posterior_predictive(last, trans, clusters, scalars.select("iter", F.col("b_in").alias("b")))
         target = forecast.mean_positions(forecast.next_positions(last, trans, clusters, ["iter"]))
         if kind == "plugin":
             return forecast.plug_in(target, scalars.agg(F.avg("b_in")).first()[0])
         return forecast.marginal(target, last, trans, clusters, scalars.select("iter", F.col("b_in").alias("b")), self.config.p)
 
     def delete_traces(self) -> None:
-        """Forgets the samples; their table goes with the shared folder's run."""
-        self.rows = self.rows.limit(0)
+        """Deletes the table of samples; what was read off them before and isn't stored elsewhere is lost too."""
+        removed(self.rows, f"samples-{self.config.kind}")
+        self.rows = self.rows.sparkSession.createDataFrame([], self.rows.schema)
 
 
 class Estimator:
@@ -253,10 +278,3 @@ class LPCM(Estimator):
 
 class HDPLPCM(Estimator):
     kind = "hdp"
-
-
-def expected_distances(fit: Fit, at: tuple[int, int]) -> DataFrame:
-    """t, src, dst, d at a sample."""
-    a = fit._at(fit.positions(), at).select("t", F.col("node").alias("src"), F.col("x").alias("xs"))
-    b = fit._at(fit.positions(), at).select(F.col("t").alias("u"), F.col("node").alias("dst"), F.col("x").alias("xd"))
-    return a.join(b, (F.col("t") == F.col("u")) & (F.col("src") < F.col("dst"))).select("t", "src", "dst", distance("xs", "xd").alias("d"))

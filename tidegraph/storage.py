@@ -22,6 +22,17 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN_DIR[0]
 
 
+def removed(df: DataFrame, name: str) -> None:
+    """Deletes the tables that written made under a name and that df reads; nothing else is touched."""
+    spark = df.sparkSession
+    to_path = spark._jvm.org.apache.hadoop.fs.Path
+    base = to_path(shared_dir(spark)).toUri().getPath()
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = to_path(folder)
+        if path.getParent().toUri().getPath() == base and path.getName().startswith(f"{name}-"):
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
