@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import digests, html, licenses, media, mixing, pieces, pii, simhash, suffixes, toxicity
+from . import clicks, digests, html, licenses, media, mixing, pieces, pii, simhash, suffixes, toxicity
 
 QUERIES = {
     "op1_html_consensus": html.op1_html_consensus,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_suffix_levels": suffixes.op8_suffix_levels,
     "op9_media_signatures": media.op9_media_signatures,
     "op10_pii_anchors": pii.op10_pii_anchors,
+    "op12_click_windows": clicks.op12_click_windows,
 }
 
 SQL = {"op4_mix_sources": mixing.OP4_SQL}
