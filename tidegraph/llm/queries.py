@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import clicks, digests, html, licenses, media, mixing, pieces, pii, simhash, suffixes, toxicity
+from . import clicks, digests, html, licenses, media, mixing, pieces, pii, simhash, suffixes, toxicity, vectors
 
 QUERIES = {
     "op1_html_consensus": html.op1_html_consensus,
@@ -15,7 +15,8 @@ QUERIES = {
     "op8_suffix_levels": suffixes.op8_suffix_levels,
     "op9_media_signatures": media.op9_media_signatures,
     "op10_pii_anchors": pii.op10_pii_anchors,
+    "op11_vector_codes": vectors.op11_vector_codes,
     "op12_click_windows": clicks.op12_click_windows,
 }
 
-SQL = {"op4_mix_sources": mixing.OP4_SQL}
+SQL = {"op4_mix_sources": mixing.OP4_SQL, "op11_vector_codes": vectors.OP11_SQL}
