@@ -21,7 +21,6 @@ import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -41,6 +40,7 @@ SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # many small stores: nothing is reserved ahead
     "spark.sql.streaming.noDataMicroBatches.enabled": "true",
 }
 #: The bucket of the marker that ends a stream.
@@ -168,19 +168,6 @@ def _texts(*columns) -> Column:
     return F.concat_ws("|", *texts)
 
 
-@contextmanager
-def _settings(spark: SparkSession, **values: str):
-    """Settings of the session for a while; a streaming query takes them over as it starts."""
-    before = {k: spark.conf.get(k, None) for k in values}
-    for k, v in values.items():
-        spark.conf.set(k, v)
-    try:
-        yield
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-
-
 def _moved(spark: SparkSession, source: str, target: str) -> None:
     """Renames a folder of the shared store; a folder that isn't there is an empty batch."""
     source, target = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (source, target))
@@ -211,7 +198,7 @@ def windows(clicks: DataFrame, batches: int = 8, span: int = 24, lateness: int =
     """
     spark = clicks.sparkSession
     root = f"{common.shared_dir(spark)}/click-windows-{uuid.uuid4().hex}"
-    with _settings(spark, **SETTINGS):
+    with common.settings(spark, **SETTINGS):
         every = copies(clicks)
         low, high, n, first, last = every.agg(F.min("late"), F.max("late"), F.count("*"), F.min("hour"), F.max("hour")).first()
         if not n:
