@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import clicks, digests, html, licenses, media, mixing, pieces, pii, simhash, suffixes, toxicity, vectors
+from . import clicks, credentials, digests, html, licenses, media, mixing, pieces, pii, simhash, suffixes, toxicity, vectors
 
 QUERIES = {
     "op1_html_consensus": html.op1_html_consensus,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_pii_anchors": pii.op10_pii_anchors,
     "op11_vector_codes": vectors.op11_vector_codes,
     "op12_click_windows": clicks.op12_click_windows,
+    "op13_secret_network": credentials.op13_secret_network,
 }
 
 SQL = {"op4_mix_sources": mixing.OP4_SQL, "op11_vector_codes": vectors.OP11_SQL}
