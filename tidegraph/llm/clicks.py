@@ -21,6 +21,7 @@ import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -29,8 +30,10 @@ from pyspark.sql.streaming import StatefulProcessor
 from . import common
 
 HOUR_MS = 3_600_000
-FED = "bucket long, click_id long, hour long, hash binary, event_time timestamp"
-CLOSED = "click_id long, start_hour long, n_repeats long, n_conflicts long, conflict_crc long, hash binary"
+#: Copies of one bucket and hour come in one row, windows that close together go out in one: rows of arrays pass Python faster.
+FED = "bucket long, hour long, click_ids array<long>, hashes array<binary>, event_time timestamp"
+CLOSED = "click_id array<long>, start_hour array<long>, n_repeats array<long>, n_conflicts array<long>, conflict_crc array<long>, hash array<binary>"
+TOLD = 2000
 RESULT = "click_id long, start_hour long, closed_batch long, n_repeats long, n_conflicts long, conflict_crc long, hash string"
 RESULT_COLUMNS = [c.split()[0] for c in RESULT.split(", ")]
 WINDOW = "start_hour long, n_repeats long, n_conflicts long, conflict_crc long, hash binary"
@@ -66,9 +69,14 @@ class Windows(StatefulProcessor):
         pass
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        seen = Counter((r.click_id is not None, r.click_id or 0, r.hour, r.hash) for r in rows)
-        if key[0] == MARKER:
-            return
+        seen: Counter = Counter()
+        for row in rows:
+            hour = row["hour"]
+            seen.update((i is not None, i or 0, hour, digest) for i, digest in zip(row["click_ids"], row["hashes"]))
+        if key[0] != MARKER:
+            yield from _told(self._folded(seen))
+
+    def _folded(self, seen: Counter) -> Iterator[tuple]:
         held = self._held()
         open_now: dict = {}
         newest = self.base
@@ -79,7 +87,7 @@ class Windows(StatefulProcessor):
             window = open_now.get(click_id) or held.get(click_id)
             if window is None or hour > window[0] + self.span:
                 if window is not None:
-                    yield _closed(click_id, window)
+                    yield click_id, *window
                 window = (hour, 0, 0, 0, digest)
                 n -= 1
             start, repeats, conflicts, crc, first = window
@@ -93,7 +101,7 @@ class Windows(StatefulProcessor):
         for click_id, window in open_now.items():
             was = held.get(click_id)
             if window[0] + self.span < bound:
-                yield _closed(click_id, window)
+                yield click_id, *window
                 if was:
                     self.windows.removeKey((click_id,))
             else:
@@ -108,13 +116,16 @@ class Windows(StatefulProcessor):
         self._set_timer(wheel)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        yield from _told(self._drained(timerValues, expiredTimerInfo))
+
+    def _drained(self, timerValues, expiredTimerInfo) -> Iterator[tuple]:
         bound = (timerValues.getCurrentWatermarkInMs() + 1) // HOUR_MS + self.base  # the first hour that is not behind the watermark
         held = self._held()
         wheel = {hour: ids for (hour,), (ids,) in self.wheel.iterator()} if self.wheel.exists() else {}
         due = [hour for hour in wheel if hour < bound]
         over = {click_id for hour in due for click_id in wheel[hour] if click_id in held and held[click_id][0] + self.span == hour}
         for click_id in over:
-            yield _closed(click_id, held[click_id])
+            yield click_id, *held[click_id]
         if len(over) == len(held):
             self.windows.clear()
             self.wheel.clear()
@@ -142,8 +153,10 @@ class Windows(StatefulProcessor):
                 self.handle.deleteTimer(t)
 
 
-def _closed(click_id: int | None, window: tuple) -> Row:
-    return _closed_row(click_id, *window)
+def _told(closed: Iterator[tuple]) -> Iterator[Row]:
+    """Windows as rows of arrays, so many to a row."""
+    while some := list(islice(closed, TOLD)):
+        yield _closed_row(*map(list, zip(*some)))
 
 
 def copies(clicks: DataFrame, hours: int = 6, turns: int = 10, delays: int = 200) -> DataFrame:
@@ -183,7 +196,8 @@ def _started(spark: SparkSession, root: str, batch: int, processor: Windows) ->
     closed = stream.groupBy("bucket").transformWithState(processor, CLOSED, "append", "eventTime")
 
     def store(rows: DataFrame, epoch: int) -> None:
-        rows.withColumn("closed_batch", F.lit(batch).cast("long")).write.mode("overwrite").parquet(f"{root}/closed/{batch}-{epoch}")
+        each = rows.select(F.inline(F.arrays_zip(*rows.columns)))
+        each.withColumn("closed_batch", F.lit(batch).cast("long")).write.mode("overwrite").parquet(f"{root}/closed/{batch}-{epoch}")
 
     query = closed.writeStream.foreachBatch(store).outputMode("append").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
@@ -206,19 +220,20 @@ def windows(clicks: DataFrame, batches: int = 8, span: int = 24, lateness: int =
         base = first - lateness - 1  # event times count from here, so that none is before a watermark's beginning
         place = F.floor((F.col("late") - low) * batches / F.lit(float(high - low + 1)))
         bucket = F.pmod(F.xxhash64("click_id"), F.lit(max(8, n // rows_per_bucket)))
-        timed = lambda hour: F.timestamp_millis((hour - base) * HOUR_MS)
-        fed = every.select(bucket.alias("bucket"), "click_id", "hour", "hash", timed(F.col("hour")).alias("event_time"), place.alias("batch"))
-        fed.write.partitionBy("batch").parquet(f"{root}/dealt")
-        marker = every.limit(0).select(F.lit(0).cast("long").alias("bucket"), "click_id", "hour", "hash", timed(F.col("hour")).alias("event_time"))
-        marker.write.parquet(f"{root}/fed/none")  # the folder is there, whichever batches are empty
-        end = F.lit(last + span + lateness + 2).cast("long")
-        of_end = [F.lit(MARKER).cast("long"), F.lit(None).cast("long"), end, F.lit(None).cast("binary"), timed(end)]
-        spark.range(1).select(*of_end).toDF(*marker.columns).write.parquet(f"{root}/dealt/batch={batches}")
+        timed = F.timestamp_millis((F.col("hour") - base) * HOUR_MS).alias("event_time")
+        dealt = every.select(place.alias("batch"), bucket.alias("bucket"), "hour", F.struct("click_id", "hash").alias("copy"), F.spark_partition_id().alias("task"))
+        packed = dealt.groupBy("batch", "bucket", "hour", "task").agg(F.collect_list("copy").alias("copies"))  # a list is never longer than a task's rows
+        rows = [F.col("copies.click_id").alias("click_ids"), F.col("copies.hash").alias("hashes")]
+        packed.select("batch", "bucket", "hour", *rows, timed).write.partitionBy("batch").parquet(f"{root}/dealt")
+        spark.createDataFrame([], FED).write.parquet(f"{root}/fed/none")  # the folder is there, whichever batches are empty
+        end = spark.createDataFrame([(MARKER, last + span + lateness + 2, [], [])], FED.rsplit(", ", 1)[0])
+        end.select("*", timed).write.parquet(f"{root}/dealt/batch={batches}")
         processor = Windows(span, lateness, base)
         for k in range(batches + 1):
             _moved(spark, f"{root}/dealt/batch={k}", f"{root}/fed/{k}")
             _started(spark, root, min(k, batches - 1), processor)
-    closed = spark.read.schema(f"{CLOSED}, closed_batch long").option("recursiveFileLookup", "true").parquet(f"{root}/closed")
+    kinds = RESULT.replace("hash string", "hash binary")
+    closed = spark.read.schema(kinds).option("recursiveFileLookup", "true").parquet(f"{root}/closed")
     return closed.select(*RESULT_COLUMNS[:-1], F.lower(F.hex("hash")).alias("hash"))
 
 

@@ -76,6 +76,8 @@ class Tree:
         nodes, alive = np.zeros(1, dtype=np.int64), np.ones((1, k), dtype=bool)
         for level in range(self.depth + 1):
             edges, at = edges_of(n, level), (1 << level) - 1 + nodes
+            if not len(nodes):
+                break
             alive = unbeaten(entries, self.low[at], self.high[at], alive)
             sole = alive.sum(axis=1) == 1
             winner = alive[sole].argmax(axis=1)
