@@ -930,3 +930,6 @@ def contours(c):
     from .operators import plotdata
 
     return plotdata.normal_contours(clusters_of(c)).select(F.lit(0).alias("t"), "k", "diameter")
+
+
+from . import catalog_models  # noqa: E402, F401  (registers its queries)

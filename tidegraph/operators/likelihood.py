@@ -1,8 +1,8 @@
 """Link probabilities, log-likelihoods, gradients and priors as joins and sums over dyads.
 
 A dyad table has t, src, dst, y, distance d and, for directed networks, radii. It is the likelihood's own domain (every
-pair of nodes of a step), made by an equi-join of positions on t; nothing wider than positions is in it, so sums over it
-are aggregated on the map side and shuffle one row for each step and task.
+pair of nodes of a step), made by an equi-join of positions on the step and a pair of node blocks; nothing wider than
+positions is in it, so sums over it are aggregated on the map side and shuffle one row for each step and task.
 """
 
 from __future__ import annotations
@@ -14,22 +14,25 @@ from pyspark.sql import functions as F
 from ..functions.scalar import distance, expit, normal_logpdf, softplus, squared_distance
 
 
-def pairs_of(positions: DataFrame, keys: list[str], directed: bool = False, squared: bool = False, blocks: int = 8) -> DataFrame:
+def pairs_of(positions: DataFrame, keys: list[str], directed: bool = False, squared: bool = False, blocks: int = 8, carried: tuple[str, ...] = ()) -> DataFrame:
     """keys, src, dst, d of all pairs of nodes (node, x) that agree in keys: each once, or in both directions.
 
+    carried: more columns of positions, which come out for both ends, with _src and _dst behind their names.
+
     Nodes are dealt to blocks, and the pairs of two blocks meet by themselves, so that the pairs of a step or a sample
     are the work of blocks x blocks groups; a position is sent once for each block.
     """
     block = F.pmod(F.xxhash64("node"), F.lit(blocks))
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
-    a = positions.select(*keys, F.col("node").alias("src"), F.col("x").alias("xs"), block.alias("a_block"), every.alias("a_other"))
-    b = positions.select(*[F.col(c).alias(f"{c}_b") for c in keys], F.col("node").alias("dst"), F.col("x").alias("xd"), block.alias("b_block"), every.alias("b_other"))
+    a = positions.select(*keys, F.col("node").alias("src"), F.col("x").alias("xs"), *[F.col(c).alias(f"{c}_src") for c in carried], block.alias("a_block"), every.alias("a_other"))
+    b = positions.select(*[F.col(c).alias(f"{c}_b") for c in keys], F.col("node").alias("dst"), F.col("x").alias("xd"), *[F.col(c).alias(f"{c}_dst") for c in carried], block.alias("b_block"), every.alias("b_other"))
     meet = (F.col("a_block") == F.col("b_other")) & (F.col("a_other") == F.col("b_block"))
     for c in keys:
         meet = meet & (F.col(c) == F.col(f"{c}_b"))
     pair = (F.col("src") != F.col("dst")) if directed else (F.col("src") < F.col("dst"))
     of = squared_distance if squared else distance
-    return a.join(b, meet & pair).select(*keys, "src", "dst", of("xs", "xd").alias("d"))
+    ends = [f"{c}_{side}" for c in carried for side in ("src", "dst")]
+    return a.join(b, meet & pair).select(*keys, "src", "dst", of("xs", "xd").alias("d"), *ends)
 
 
 def distances(positions: DataFrame, directed: bool = False, squared: bool = False, blocks: int = 8) -> DataFrame:
