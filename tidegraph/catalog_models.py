@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .catalog import query
-from .operators import draws, maximum, network
+from .catalog import EVERY, LAMBDA, LOGPDF, clusters_of, query, trans_of
+from .operators import draws, labelling, maximum, network
 
 
 # Maximum likelihood. The SQL takes the same Newton steps; these data need no halved ones.
@@ -69,3 +69,43 @@ def control_nodes_exact(c):
  SELECT src, dst, connected FROM others JOIN drawn USING (src, connected, rank)""")
 def control_nodes_stratified(c):
     return draws.stratified_controls(c.nodes(), c.net(), 8, _residue)
+
+
+# Label paths. The SQL lists all paths of every node.
+
+
+RATED = f"SELECT t, node, k, {LOGPDF} AS value FROM ({EVERY})"
+ALL_PATHS = f""", rated AS MATERIALIZED (SELECT *, dense_rank() OVER (PARTITION BY node ORDER BY t) AS s FROM ({RATED})),
+ walks AS (SELECT node, s, k, [k] AS ks, value + ln(0.25::DOUBLE) AS lp FROM rated WHERE s = 1
+ UNION ALL SELECT r.node, r.s, r.k, list_append(w.ks, r.k), w.lp + ln(m.w) + r.value FROM walks w JOIN rated r ON r.node = w.node AND r.s = w.s + 1 JOIN trans m ON m.k_from = w.k AND m.k_to = r.k),
+ whole AS MATERIALIZED (SELECT node, ks, lp, max(lp) OVER (PARTITION BY node) AS top FROM walks JOIN (SELECT node, max(s) AS s FROM rated GROUP BY node) USING (node, s)),
+ seen AS (SELECT DISTINCT t, node, s FROM rated)"""
+
+
+def _chain_parts(c):
+    init = c.spark.range(4).select(F.col("id").cast("int").alias("k"), F.lit(0.25).alias("w"))
+    return c.positions(), init, trans_of(c), clusters_of(c), LAMBDA
+
+
+@query("t:i node:i k:i p:d", "steps clusters trans", ALL_PATHS + """ SELECT t, node, k, sum(coalesce(e, 0)) / any_value(total) AS p FROM rated
+ LEFT JOIN (SELECT node, unnest(range(1, len(ks) + 1)) AS s, unnest(ks) AS k, exp(lp - top) AS e FROM whole) USING (node, s, k)
+ JOIN (SELECT node, sum(exp(lp - top)) AS total FROM whole GROUP BY node) USING (node) GROUP BY t, node, k""")
+def label_marginals(c):
+    return labelling.marginals(*_chain_parts(c))
+
+
+@query("t:i node:i z:i", "steps clusters trans", ALL_PATHS + " SELECT t, node, best[s] AS z FROM (SELECT node, arg_max(ks, lp) AS best FROM whole GROUP BY node) JOIN seen USING (node)")
+def label_path(c):
+    return labelling.best_path(*_chain_parts(c))
+
+
+#: A draw goes on from the paths that begin with what is drawn so far: of their chances by the next label it takes the first that, cumulated, reaches the number.
+DRAWS = ", chosen AS (SELECT node, 0 AS s, []::INT[] AS got FROM nodes UNION ALL SELECT node, s, list_append(got, min(k)::INT) FROM (" + """
+ SELECT node, s, got, k, sum(e) OVER (PARTITION BY node ORDER BY k) AS upto, sum(e) OVER (PARTITION BY node) * ((((node * 7919 + t * 104729) % 9973) + 0.5::DOUBLE) / 9973.0::DOUBLE) AS aim FROM (
+ SELECT c.node, c.s + 1 AS s, c.got, w.ks[c.s + 1] AS k, any_value(n.t) AS t, sum(exp(w.lp - w.top)) AS e FROM chosen c JOIN whole w ON w.node = c.node AND w.ks[1 : c.s] = c.got JOIN seen n ON n.node = c.node AND n.s = c.s + 1 GROUP BY ALL))
+ WHERE upto >= aim GROUP BY node, s, got)"""
+
+
+@query("t:i node:i z:i", "steps clusters trans nodes", ALL_PATHS + DRAWS + " SELECT t, node, got[s] AS z FROM seen JOIN (SELECT node, arg_max(got, s) AS got FROM chosen GROUP BY node) USING (node)")
+def label_draw(c):
+    return labelling.drawn_path(*_chain_parts(c), _residue)
