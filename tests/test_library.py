@@ -297,9 +297,11 @@ def test_densities(spark):
 
 
 def test_average_linkage():
+    from .test_inference import average_linkage
+
     far = np.array([[0, 0.1, 0.9, 0.9], [0.1, 0, 0.8, 0.9], [0.9, 0.8, 0, 0.2], [0.9, 0.9, 0.2, 0]])
-    assert initial.average_linkage(far, 0.5).tolist() == [0, 0, 1, 1]
-    assert initial.average_linkage(far, 1.0).tolist() == [0, 0, 0, 0]
+    assert average_linkage(far, 0.5).tolist() == [0, 0, 1, 1]
+    assert average_linkage(far, 1.0).tolist() == [0, 0, 0, 0]
 
 
 def test_stream_equals_batch(spark, sf_dir, tmp_path):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .catalog import EVERY, LAMBDA, LOGPDF, clusters_of, query, trans_of
-from .operators import draws, labelling, maximum, network
+from .operators import draws, labelling, linkage, maximum, network, posterior
 
 
 # Maximum likelihood. The SQL takes the same Newton steps; these data need no halved ones.
@@ -109,3 +109,47 @@ DRAWS = ", chosen AS (SELECT node, 0 AS s, []::INT[] AS got FROM nodes UNION ALL
 @query("t:i node:i z:i", "steps clusters trans nodes", ALL_PATHS + DRAWS + " SELECT t, node, got[s] AS z FROM seen JOIN (SELECT node, arg_max(got, s) AS got FROM chosen GROUP BY node) USING (node)")
 def label_draw(c):
     return labelling.drawn_path(*_chain_parts(c), _residue)
+
+
+# Average linkage. The SQL merges one nearest pair of a step at a time.
+
+
+def _merged(rounds: int) -> str:
+    """Likeness as whole numbers of samples, for all pairs; 25 nodes need 24 merges."""
+    out = """, whole AS MATERIALIZED (SELECT t, count(DISTINCT iter) AS s FROM smp GROUP BY t), members AS MATERIALIZED (SELECT DISTINCT t, node FROM smp),
+ counted AS (SELECT a.t, a.node AS i, b.node AS j, count(*) AS c FROM smp a JOIN smp b ON a.iter = b.iter AND a.t = b.t AND a.z = b.z AND a.node < b.node GROUP BY a.t, a.node, b.node),
+ l0 AS MATERIALIZED (SELECT a.t, a.node AS i, b.node AS j, coalesce(c, 0)::BIGINT AS c, 1::BIGINT AS n_i, 1::BIGINT AS n_j FROM members a JOIN members b ON a.t = b.t AND a.node < b.node LEFT JOIN counted k ON k.t = a.t AND k.i = a.node AND k.j = b.node)"""
+    for k in range(rounds):
+        out += f""",
+ b{k} AS MATERIALIZED (SELECT * FROM l{k} QUALIFY row_number() OVER (PARTITION BY t ORDER BY c::DOUBLE / (n_i * n_j) DESC, i, j) = 1),
+ l{k + 1} AS MATERIALIZED (SELECT t, i, j, sum(c)::BIGINT AS c, max(n_i) AS n_i, max(n_j) AS n_j FROM (SELECT l.t, l.c,
+  least(CASE WHEN l.i = b.j THEN b.i ELSE l.i END, CASE WHEN l.j = b.j THEN b.i ELSE l.j END) AS i, greatest(CASE WHEN l.i = b.j THEN b.i ELSE l.i END, CASE WHEN l.j = b.j THEN b.i ELSE l.j END) AS j,
+  CASE WHEN (CASE WHEN l.i = b.j THEN b.i ELSE l.i END) < (CASE WHEN l.j = b.j THEN b.i ELSE l.j END) THEN si ELSE sj END AS n_i, CASE WHEN (CASE WHEN l.i = b.j THEN b.i ELSE l.i END) < (CASE WHEN l.j = b.j THEN b.i ELSE l.j END) THEN sj ELSE si END AS n_j
+  FROM (SELECT l{k}.*, CASE WHEN l{k}.i IN (b{k}.i, b{k}.j) THEN b{k}.n_i + b{k}.n_j ELSE l{k}.n_i END AS si, CASE WHEN l{k}.j IN (b{k}.i, b{k}.j) THEN b{k}.n_i + b{k}.n_j ELSE l{k}.n_j END AS sj FROM l{k} JOIN b{k} USING (t)) l JOIN b{k} b USING (t)
+  WHERE NOT (l.i = b.i AND l.j = b.j)) GROUP BY t, i, j)"""
+    union = " UNION ALL ".join(f"SELECT t, i AS a, j AS b, 1 - c::DOUBLE / (n_i * n_j * s) AS height, n_i AS offset_a, n_i + n_j AS n FROM b{k} JOIN whole USING (t)" for k in range(rounds))
+    return out + f", merges AS MATERIALIZED ({union})"
+
+
+LINKED = _merged(24)
+ORDERED = """, ways AS (SELECT t, node, node AS top, 0::BIGINT AS place, 0 AS hops FROM members UNION ALL SELECT w.t, w.node, m.a, w.place + m.offset_a, hops + 1 FROM ways w JOIN merges m ON m.t = w.t AND m.b = w.top {only})
+ SELECT t, node, {out} FROM (SELECT t, node, arg_max(top, hops) AS top, max(place) AS place FROM ways GROUP BY t, node)"""
+
+
+def _linkage(c):
+    return linkage.average_linkage(c.samples(), posterior.cooccurrence(c.samples()))
+
+
+@query("t:i a:i b:i height:d n:i", "smp", LINKED + " SELECT t, a, b, height, n FROM merges")
+def cooccurrence_linkage(c):
+    return _linkage(c)
+
+
+@query("t:i node:i place:i", "smp", LINKED + ORDERED.format(only="", out="place"))
+def cooccurrence_order(c):
+    return linkage.leaf_order(c.samples(), _linkage(c))
+
+
+@query("t:i node:i z:i", "smp", LINKED + ORDERED.format(only="AND m.height <= 0.75::DOUBLE", out="dense_rank() OVER (PARTITION BY t ORDER BY top) - 1 AS z"))
+def cooccurrence_clusters(c):
+    return linkage.flat_clusters(c.samples(), _linkage(c), 0.75)

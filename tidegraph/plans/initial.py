@@ -106,25 +106,3 @@ def intercept_mle(y: np.ndarray, x: np.ndarray, radii: np.ndarray | None, rounds
     if radii is None:
         return theta[:1], float(np.clip(theta[1], 0.05, 20.0))
     return theta, 1.0
-
-
-def average_linkage(distance: np.ndarray, threshold: float) -> np.ndarray:
-    """Labels of the groups below a height of the average-linkage tree, numbered by their first members."""
-    n = len(distance)
-    d = distance.astype(float).copy()
-    np.fill_diagonal(d, np.inf)
-    groups, sizes = {i: [i] for i in range(n)}, np.ones(n)
-    while len(groups) > 1:
-        a, b = sorted(np.unravel_index(d.argmin(), d.shape))
-        if d[a, b] > threshold:
-            break
-        merged = (sizes[a] * d[a] + sizes[b] * d[b]) / (sizes[a] + sizes[b])
-        d[a] = d[:, a] = merged
-        d[a, a] = np.inf
-        d[b] = d[:, b] = np.inf
-        sizes[a] += sizes[b]
-        groups[a] += groups.pop(b)
-    labels = np.zeros(n, int)
-    for k, members in enumerate(sorted(groups.values(), key=min)):
-        labels[members] = k
-    return labels

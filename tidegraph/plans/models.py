@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from ..functions.scalar import expit
 from ..operators import metrics, posterior
 from ..storage import removed, written
-from .initial import average_linkage
 from .kernel import Chain, Config
 
 ROWS = (
@@ -197,16 +196,26 @@ class Fit:
     def cooccurrence(self, chain: int = 0) -> DataFrame:
         return posterior.cooccurrence(self.labels().where(F.col("chain") == chain).drop("chain"))
 
+    def merges(self, t: int, chain: int = 0) -> DataFrame:
+        """The average-linkage dendrogram of a step's cooccurrence as a table of merges."""
+        from ..operators import linkage
+
+        return linkage.average_linkage(self._members(t), self.cooccurrence(chain).where(F.col("t") == t))
+
     def linkage(self, t: int, threshold: float = 0.5, chain: int = 0) -> DataFrame:
-        """node, z: average linkage of a step's cooccurrence; the driver holds a number for each pair of nodes."""
-        pairs = self.cooccurrence(chain).where(F.col("t") == t).collect()
-        ids = sorted(r["node"] for r in self.nodes.select("node").collect())
-        place = {i: k for k, i in enumerate(ids)}
-        far = np.ones((len(ids), len(ids)))
-        for r in pairs:
-            far[place[r["i"]], place[r["j"]]] = far[place[r["j"]], place[r["i"]]] = 1 - r["p"]
-        z = average_linkage(far, threshold)
-        return self.rows.sparkSession.createDataFrame([(i, int(z[place[i]])) for i in ids], "node int, z int")
+        """node, z: average linkage of a step's cooccurrence, cut at a height."""
+        from ..operators import linkage
+
+        return linkage.flat_clusters(self._members(t), self.merges(t, chain), threshold).select("node", "z")
+
+    def leaf_order(self, t: int, chain: int = 0) -> DataFrame:
+        """node, place: the order of a step's nodes in the dendrogram."""
+        from ..operators import linkage
+
+        return linkage.leaf_order(self._members(t), self.merges(t, chain)).select("node", "place")
+
+    def _members(self, t: int) -> DataFrame:
+        return self.nodes.select(F.lit(t).alias("t"), "node")
 
     def forecast(self, kind: str = "map", n_samples: int = 5000, renormalise: bool = False) -> DataFrame:
         """i, j, p of the step after the last, for undirected mixtures: "map", "plugin", "marginal", "monte_carlo" or
