@@ -5,9 +5,10 @@ timing wheel). One event-time timer a bucket stands at the wheel's first slot; w
 behind the watermark are drained and the timer moves on. The watermark trails the largest hour by the lateness, so that
 Spark drops late rows and fires timers by itself.
 
-Within a batch a bucket's rows are counted by (click_id, hour, hash) and folded in that order. A window that the bucket's
-own rows prove to be behind the next watermark goes out at the end of the batch; only what outlives the batch is put
-into the state. The number of buckets grows with the input, so that a bucket's share of a batch stays small.
+Within a batch a bucket's rows are counted by (click_id, hour, hash) and folded in that order. At its end the wheel is
+drained as far as the bucket's own rows prove the next watermark to be, so that only what outlives the batch is put into
+the state; the timer drains what the watermark alone tells. The number of buckets grows with the input, so that a
+bucket's share of a batch stays small.
 
 Defined results: a null click_id is an id like any other (its copies are j = 0 alone, as are those of negative ids); rows
 without arrived_at have no hour and take no part; nulls in other columns are empty in the hash; repeated rows are
@@ -95,52 +96,37 @@ class Windows(StatefulProcessor):
                 conflicts, crc = conflicts + n, crc + n * zlib.crc32(digest.hex().encode())
             open_now[click_id] = (start, repeats + n, conflicts, crc, first)
 
-        # The next batch's watermark is at least so far: what lies behind it is over with this batch.
-        bound = newest - self.lateness
-        kept: dict = {}
+        # The next batch's watermark is at least as far as the bucket's own rows ask: what lies behind that is over.
+        wheel = self._slots()
+        late = {hour: list(ids) for hour, ids in wheel.items()}
         for click_id, window in open_now.items():
-            was = held.get(click_id)
-            if window[0] + self.span < bound:
-                yield click_id, *window
-                if was:
-                    self.windows.removeKey((click_id,))
-            else:
-                if window != was:
-                    self.windows.updateValue((click_id,), window)
-                if was is None or was[0] != window[0]:
-                    kept.setdefault(window[0] + self.span, []).append(click_id)
-        wheel = {hour: list(ids) for (hour,), (ids,) in self.wheel.iterator()} if self.wheel.exists() else {}
-        for hour, ids in kept.items():
-            wheel[hour] = [*wheel.get(hour, ()), *ids]
-            self.wheel.updateValue((hour,), (wheel[hour],))
-        self._set_timer(wheel)
+            if click_id not in held or held[click_id][0] != window[0]:
+                late.setdefault(window[0] + self.span, []).append(click_id)
+        yield from self._drained(newest - self.lateness, held, held | open_now, wheel, late)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        yield from _told(self._drained(timerValues, expiredTimerInfo))
-
-    def _drained(self, timerValues, expiredTimerInfo) -> Iterator[tuple]:
         bound = (timerValues.getCurrentWatermarkInMs() + 1) // HOUR_MS + self.base  # the first hour that is not behind the watermark
-        held = self._held()
-        wheel = {hour: ids for (hour,), (ids,) in self.wheel.iterator()} if self.wheel.exists() else {}
-        due = [hour for hour in wheel if hour < bound]
-        over = {click_id for hour in due for click_id in wheel[hour] if click_id in held and held[click_id][0] + self.span == hour}
-        for click_id in over:
-            yield click_id, *held[click_id]
-        if len(over) == len(held):
-            self.windows.clear()
-            self.wheel.clear()
-            wheel = {}
-        else:
-            for click_id in over:
-                self.windows.removeKey((click_id,))
-            for hour in due:
-                self.wheel.removeKey((hour,))
-                del wheel[hour]
-        self._set_timer(wheel, expiredTimerInfo.getExpiryTimeInMs())
+        held, wheel = self._held(), self._slots()
+        yield from _told(self._drained(bound, held, held, wheel, wheel, expiredTimerInfo.getExpiryTimeInMs()))
+
+    def _drained(self, bound: int, held: dict, windows: dict, slots: dict, wheel: dict, fired: int | None = None) -> Iterator[tuple]:
+        """Closes the windows of all slots before the bound; the state, as it was held and its slots, becomes what is left."""
+        windows = dict(windows)
+        for hour in [h for h in wheel if h < bound]:
+            for click_id in wheel[hour]:
+                if click_id in windows and windows[click_id][0] + self.span == hour:
+                    yield click_id, *windows.pop(click_id)
+        _replace(self.windows, held, windows)
+        wheel = {hour: ids for hour, ids in wheel.items() if hour >= bound}
+        _replace(self.wheel, {h: (ids,) for h, ids in slots.items()}, {h: (ids,) for h, ids in wheel.items()})
+        self._set_timer(wheel, fired)
 
     def _held(self) -> dict:
         return {click_id: window for (click_id,), window in self.windows.iterator()} if self.windows.exists() else {}
 
+    def _slots(self) -> dict:
+        return {hour: ids for (hour,), (ids,) in self.wheel.iterator()} if self.wheel.exists() else {}
+
     def _set_timer(self, wheel: dict, fired: int | None = None) -> None:
         """The bucket's one timer goes to the first slot, just before the least watermark that leaves the slot's hour behind."""
         at = (min(wheel) + 1 - self.base) * HOUR_MS - 2 if wheel else None
@@ -159,6 +145,19 @@ def _told(closed: Iterator[tuple]) -> Iterator[Row]:
         yield _closed_row(*map(list, zip(*some)))
 
 
+def _replace(state, old: dict, new: dict) -> None:
+    """Makes a map of old entries one of new ones, by as few calls as it takes: each goes through a socket."""
+    gone = [k for k in old if k not in new]
+    changed = [k for k, v in new.items() if old.get(k) != v]
+    if len(gone) > len(new) - len(changed):
+        state.clear()
+        changed, gone = list(new), []
+    for k in gone:
+        state.removeKey((k,))
+    for k in changed:
+        state.updateValue((k,), new[k])
+
+
 def copies(clicks: DataFrame, hours: int = 6, turns: int = 10, delays: int = 200) -> DataFrame:
     """click_id, hour, late (the hour by which a copy is fed) and hash of every copy of every click. The session's zone has to be UTC."""
     micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
@@ -203,7 +202,7 @@ def _started(spark: SparkSession, root: str, batch: int, processor: Windows) ->
     query.awaitTermination()
 
 
-def windows(clicks: DataFrame, batches: int = 8, span: int = 24, lateness: int = 96, rows_per_bucket: int = 40_000) -> DataFrame:
+def windows(clicks: DataFrame, batches: int = 8, span: int = 24, lateness: int = 96, rows_per_bucket: int = 160_000) -> DataFrame:
     """click_id, start_hour, closed_batch, n_repeats, n_conflicts, conflict_crc, hash of every window of the clicks' copies.
 
     The copies are written once, by batch, in the shared folder; each batch is moved into the folder that the stream
