@@ -5,8 +5,8 @@ import numpy as np
 
 import corpus_pipeline
 from tidegraph.llm import common, mixing, pieces, toxicity
-from tests.llm.test_mixing_simhash import plain_components, plain_fingerprint
 from tests.llm.test_pii_pieces_toxicity import plain_base
+from tests.llm.test_shingles import plain_roots, plain_set
 
 
 def test_stages_against_brute_force(spark, sf_dir):
@@ -25,8 +25,9 @@ def test_stages_against_brute_force(spark, sf_dir):
     scorer = toxicity.Scorer(model)
     assert ids("near_duplicates in") == sorted(r["doc_id"] for r in kept["toxicity in"] if scorer.score(r["text"]) < 0.5)
 
-    prints = sorted((r["doc_id"], plain_fingerprint(r["text"])) for r in kept["near_duplicates in"])
-    assert ids("pii in") == sorted({v for v in plain_components(prints).values()})
+    rows = sorted((r["doc_id"], r["text"]) for r in kept["near_duplicates in"])
+    roots = plain_roots([plain_set(t) for _, t in rows])  # five words, Jaccard 0.8, by all pairs
+    assert ids("pii in") == [rows[k][0] for k, r in enumerate(roots) if r == k]
 
     before, after = {r["doc_id"]: r for r in kept["pii in"]}, {r["doc_id"]: r for r in kept["mix in"]}
     assert before.keys() == after.keys()
