@@ -3,8 +3,11 @@
 A page is read once into text blocks, each known by its containers. A container's score is the text that stands right
 in it (in its paragraphs, not in containers inside), less what links hold; parts that aren't content by their tags or
 roles (menus, headers, footers, sidebars, forms) score nothing, and parts that only words in their classes or ids name
-a notice, advert, menu or the like score little. Every page votes for the path of its best
-container, tags with their first classes, digits left out. Votes are summed for each host in Spark; a second pass
+a notice, advert, menu or the like score little. A class or an id names such a part if it has one of those words and
+no others but words of layout (related-posts, but not related-work); those of headings and of words in a line name nothing, a span's or link's
+only itself. The best container passes its score on: to the innermost article around it, and to a parent whose
+text is spread over several of its containers. Every page votes for the path of the container so found, tags with their
+first classes, digits left out. Votes are summed for each host in Spark; a second pass
 takes from every page the containers of that of its own paths that has most of its host's votes.
 
 Scale: the paths of pages are small rows, joined with the summed votes by host and path, of which all are kept; only
@@ -44,13 +47,36 @@ DOUBTED = 0.05
 NOTICE_WORDS = frozenset(
     "ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright footer header "
     "masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo promoted related reply replies share "
-    "sharing sidebar social sponsor sponsored subscribe subscription toolbar widget disqus login signup search".split()
+    "sharing sidebar social sponsor sponsored subscribe subscription toolbar widget disqus login signup search thread discussion respond".split()
 )
+#: Words of layout that may stand beside them; any other word makes a class or an id that of content.
+LAYOUT_WORDS = frozenset(
+    "area bar block body bottom box button buttons col column container content element field fixed float form global group header inline inner item items "
+    "js left links list main menu module more nav outer overlay page pages pane panel post posts right row section site slot sticky tab text title top unit user wrap wrapper".split()
+)
+#: Words in classes and ids of an article's own container.
+ARTICLE_WORDS = frozenset("article articlebody post entry story".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: The share of a parent's score below which a container isn't all of the article.
+SPREAD = 0.75
 SPLIT = re.compile(r"[^a-z]+")
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 STOPS = frozenset("ul ol dl table html body article section main div".split())
 
 
+def names_notice(value: str) -> bool:
+    """Whether one of the names in a class or an id has words of notices and layout alone."""
+    for name in value.split():
+        of = {w for w in SPLIT.split(name) if w}
+        if not NOTICE_WORDS.isdisjoint(of) and of <= NOTICE_WORDS | LAYOUT_WORDS:
+            return True
+    return False
+
+
+def tag_of(path: str) -> str:
+    return path.rsplit(">", 1)[-1].split(".")[0]
+
+
 class Page:
     """blocks: (text, characters in links, containers' numbers, doubt) in page order; paths: of the containers.
 
@@ -62,6 +88,7 @@ class Page:
     def __init__(self, html: str):
         self.blocks: list[tuple[str, int, tuple[int, ...], float]] = []
         self.paths: list[str] = ["page"]
+        self.articles: set[str] = set()
         self._read(html)
 
     def _read(self, html: str) -> None:
@@ -143,15 +170,18 @@ class Page:
             if tag not in INLINE:
                 flush()
             attrs = m["attrs"] if m["attrs"] is not None else m["loose"]  # a quote that never ends doesn't hide the tag's end
-            first, fine, noticed = "", tag not in NOT_CONTENT, False
+            first, fine, noticed, article = "", tag not in NOT_CONTENT, False, tag in ("article", "main")
             if attrs and attrs.strip("/ "):
                 for name, a, b, c in NAMES.findall(attrs):
                     value = (a or b or c).lower()
                     name = name.lower()
                     if name == "class" and not first and value.split():
                         first = re.sub(r"\d+", "", value.split()[0])
-                    if tag not in ("html", "body", "article", "main") and NOTICE_WORDS.intersection(SPLIT.split(value)):
-                        noticed, fine = tag not in INLINE, fine and tag not in INLINE
+                    if tag not in INLINE and tag not in HEADINGS and tag not in ("html", "body", "article", "main"):
+                        noticed = noticed or names_notice(value)
+                    elif tag in ("span", "a") and names_notice(value):  # a mark-up without a meaning of its own: a button or an advert in a line
+                        fine = False
+                    article = article or (name == "role" and value in ("main", "article")) or not ARTICLE_WORDS.isdisjoint(SPLIT.split(value))
                     if name == "role" and value in ("navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog"):
                         fine = False
                 fine = fine and not HIDDEN.search(attrs)
@@ -160,6 +190,8 @@ class Page:
                 step = f"{tag}.{first}" if first else tag
                 self.paths.append(f"{self.paths[within[-1]]}>{step}" if within[-1] else step)
                 inner = (*within, len(self.paths) - 1)
+                if article and not noticed and tag not in ("html", "body"):
+                    self.articles.add(self.paths[-1])
             if attrs.endswith("/") and tag not in CONTAINER and tag not in INLINE:
                 continue
             deeper = doubt
@@ -171,20 +203,37 @@ class Page:
         flush()
 
     def best(self) -> str:
-        """The path of the container that holds most text of its own; a tie goes to the outer, then the first one."""
+        """The path of the container that holds most text of its own (a tie goes to the outer, then the first one), or of
+        the one around it that the article fills."""
         scores: dict[str, float] = {}
+        totals: dict[str, float] = {}
+        named = any(not doubt and self.paths[k] in self.articles for _, _, within, doubt in self.blocks for k in within)
         for text, links, within, doubt in self.blocks:
-            holder = within[-1]
+            holder, in_article = within[-1], any(self.paths[k] in self.articles for k in within)
             for depth in range(len(within) - 1, -1, -1):  # lists, quotes and table parts count for what is around them
                 holder = within[depth]
-                if self.paths[holder].rsplit(">", 1)[-1].split(".")[0] in ("div", "article", "main", "section", "td", "body", "center", "page"):
+                tag = tag_of(self.paths[holder])
+                if tag in ("div", "article", "main", "section", "body", "center", "page") or tag == "td" and not in_article:
                     break
-            if doubt > depth + 1:
+            if doubt > depth + 1 or doubt and named:  # where a page names its article, notices are none
                 continue
-            path = self.paths[holder]
-            scores[path] = scores.get(path, 0.0) + (len(text) - 1.5 * links) * (DOUBTED if doubt else 1)
+            score = (len(text) - 1.5 * links) * (DOUBTED if doubt else 1)
+            scores[self.paths[holder]] = scores.get(self.paths[holder], 0.0) + score
+            for path in {self.paths[k] for k in within[: depth + 1]}:
+                totals[path] = totals.get(path, 0.0) + score
         scores = {p: s for p, s in scores.items() if s > 0}
-        return max(scores, key=lambda p: (scores[p], -p.count(">"))) if scores else ""
+        return self._filled(max(scores, key=lambda p: (scores[p], -p.count(">"))), totals) if scores else ""
+
+    def _filled(self, path: str, totals: dict[str, float]) -> str:
+        while tag_of(path) not in ("article", "main"):
+            around = [path[:k] for k in range(len(path)) if path[k] == ">"]
+            if article := next((p for p in reversed(around) if p in self.articles), None):
+                path = article
+            elif around and path not in self.articles and tag_of(around[-1]) not in ("body", "html", "page") and totals[path] < SPREAD * totals[around[-1]]:
+                path = around[-1]
+            else:
+                break
+        return path
 
     def text(self, path: str) -> str:
         """The text of all containers of a path, in page order."""
