@@ -250,11 +250,14 @@ def kcore3(c):
     return network.k_core(c.net(), 3)
 
 
-@query("t:i src:i dst:i d:i", "sboth nodes", """, walk AS (SELECT DISTINCT s.t, n.node AS a, n.node AS b, 0 AS d FROM sboth s CROSS JOIN nodes n
+PATHS = """, walk AS (SELECT DISTINCT s.t, n.node AS a, n.node AS b, 0 AS d FROM sboth s CROSS JOIN nodes n
  UNION SELECT w.t, w.a, e.dst, w.d + 1 FROM walk w JOIN sboth e ON e.t = w.t AND e.src = w.b WHERE w.d < 25),
  short AS (SELECT t, a, b, min(d) AS d FROM walk GROUP BY t, a, b)
- SELECT p.t, p.a AS src, p.b AS dst, coalesce(d, far) AS d FROM (SELECT DISTINCT s.t, i.node AS a, j.node AS b FROM sboth s CROSS JOIN nodes i CROSS JOIN nodes j) p
- LEFT JOIN short USING (t, a, b) JOIN (SELECT t, max(d) + 1 AS far FROM short GROUP BY t) USING (t)""")
+{0} SELECT p.t, p.a AS src, p.b AS dst, coalesce(d, far) AS d FROM (SELECT DISTINCT s.t, i.node AS a, j.node AS b FROM sboth s CROSS JOIN nodes i CROSS JOIN nodes j) p
+ LEFT JOIN short USING (t, a, b) JOIN (SELECT t, max(d) + 1 AS far FROM short GROUP BY t) USING (t)"""
+
+
+@query("t:i src:i dst:i d:i", "sboth nodes", PATHS.format(""))
 def sp_dissimilarity(c):
     return network.shortest_paths(c.net(), c.nodes())
 
@@ -882,25 +885,6 @@ def geweke_spectral(c):
     return c.spark.createDataFrame([(z, p)], "z double, p double")
 
 
-@query("t:i node:i x0:d x1:d", "", None)
-def gmds_positions(c):
-    """One task for the network's dense scaling, whose size is nodes by nodes by steps."""
-    import numpy as np
-    import pandas as pd
-
-    from .plans import initial
-
-    def scaled(rows: pd.DataFrame) -> pd.DataFrame:
-        ts = sorted(rows["t"].unique())
-        y = np.zeros((len(ts), 25, 25))
-        y[np.searchsorted(ts, rows["t"]), rows["src"], rows["dst"]] = 1
-        x = initial.gmds(y, 2, False)
-        return pd.DataFrame([(ts[t], i, *x[t, i]) for t in range(len(ts)) for i in range(25)], columns=["t", "node", "x0", "x1"])
-
-    edges = network.symmetrised(c.net()).withColumn("one", F.lit(1))
-    return edges.groupBy("one").applyInPandas(scaled, "t int, node int, x0 double, x1 double")
-
-
 @query("t:i node:i x0:d x1:d", "", None)
 def procrustes_alignment(c):
     """Positions turned by a right angle and brought back: the cross-product is summed in Spark, its SVD is the driver's."""

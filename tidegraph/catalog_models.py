@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .catalog import EVERY, LAMBDA, LOGPDF, clusters_of, query, trans_of
-from .operators import draws, labelling, linkage, maximum, network, posterior
+from .catalog import EVERY, LAMBDA, LOGPDF, PATHS, clusters_of, query, trans_of
+from .operators import draws, labelling, linkage, maximum, network, posterior, scaling
+from .storage import written
 
 
 # Maximum likelihood. The SQL takes the same Newton steps; these data need no halved ones.
@@ -153,3 +154,32 @@ def cooccurrence_order(c):
 @query("t:i node:i z:i", "smp", LINKED + ORDERED.format(only="AND m.height <= 0.75::DOUBLE", out="dense_rank() OVER (PARTITION BY t ORDER BY top) - 1 AS z"))
 def cooccurrence_clusters(c):
     return linkage.flat_clusters(c.samples(), _linkage(c), 0.75)
+
+
+# Scaling. The SQL takes the same two rounds of one step.
+
+
+def _guttman(before: str, after: str) -> str:
+    return f"""{after} AS MATERIALIZED (SELECT node, sum(ratio * (x0 - y0)) / 25 AS x0, sum(ratio * (x1 - y1)) / 25 AS x1, sum((apart - d) ** 2) / 2 AS stress FROM (
+ SELECT *, CASE WHEN apart > 0 THEN d / apart ELSE 0 END AS ratio FROM (SELECT a.node, a.x0, a.x1, b.x0 AS y0, b.x1 AS y1, f.d::DOUBLE AS d, sqrt((a.x0 - b.x0) ** 2 + (a.x1 - b.x1) ** 2) AS apart
+ FROM far f JOIN {before} a ON a.node = f.src JOIN {before} b ON b.node = f.dst WHERE f.src <> f.dst)) GROUP BY node)"""
+
+
+FAR = PATHS.format(", far AS MATERIALIZED (SELECT src, dst, d FROM (") + ") WHERE t = (SELECT min(t) FROM pos)), m0 AS (SELECT node, x0, x1 FROM pos WHERE t = (SELECT min(t) FROM pos)), "
+
+
+@query("node:i x0:d x1:d stress:d", "sboth nodes pos", FAR + _guttman("m0", "m1") + ", " + _guttman("m1", "m2") + " SELECT * FROM m2")
+def stress_rounds(c):
+    first = c.positions().agg(F.min("t").alias("first"))
+    at_first = lambda df: df.join(F.broadcast(first), F.col("t") == F.col("first")).drop("t", "first")
+    far, x = written(at_first(network.shortest_paths(c.net(), c.nodes())), "scaling-far"), at_first(c.positions())
+    for _ in range(2):
+        x = scaling.majorised(far, x, 25)
+    return x.select("node", F.col("x")[0].alias("x0"), F.col("x")[1].alias("x1"), "stress")
+
+
+@query("t:i node:i x0:d x1:d", "", None)
+def gmds_positions(c):
+    """Tests hold it against dense algebra."""
+    x = scaling.generalised_mds(c.net(), c.nodes())
+    return x.select("t", "node", F.col("x")[0].alias("x0"), F.col("x")[1].alias("x1"))
