@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .catalog import EVERY, LAMBDA, LOGPDF, PATHS, clusters_of, query, trans_of
-from .operators import draws, labelling, linkage, maximum, network, posterior, scaling
+from .operators import draws, labelling, linkage, maximum, network, posterior, scaling, trajectories
 from .storage import written
 
 
@@ -183,3 +183,32 @@ def gmds_positions(c):
     """Tests hold it against dense algebra."""
     x = scaling.generalised_mds(c.net(), c.nodes())
     return x.select("t", "node", F.col("x")[0].alias("x0"), F.col("x")[1].alias("x1"))
+
+
+# Trajectories. The SQL takes the same rounds, from the paths of the first four nodes.
+
+
+def _lloyd(rounds: int) -> str:
+    out = ", g0 AS (SELECT t, node AS k, x0 AS c0, x1 AS c1 FROM pos WHERE node < 4)"
+    for r in range(rounds + 1):
+        out += f""", n{r} AS MATERIALIZED (SELECT node, arg_min(k, (apart, k)) AS z FROM (SELECT p.node, g.k, avg((x0 - c0) ** 2 + (x1 - c1) ** 2) AS apart FROM pos p JOIN g{r} g USING (t) GROUP BY p.node, g.k) GROUP BY node)"""
+        if r < rounds:
+            out += f""", g{r + 1} AS MATERIALIZED (SELECT t, k, coalesce(m0, c0) AS c0, coalesce(m1, c1) AS c1 FROM g{r} LEFT JOIN (SELECT t, z AS k, avg(x0) AS m0, avg(x1) AS m1 FROM pos JOIN n{r} USING (node) GROUP BY t, z) USING (t, k))"""
+    return out
+
+
+def _trajectories(c):
+    pos = c.positions()
+    first = trajectories.centres_of(trajectories.paths(pos.where("node < 4")), trajectories.means(pos, 2))
+    return pos, trajectories.kmeans(pos, 4, first, rounds=8)
+
+
+@query("node:i z:i", "pos", _lloyd(8) + " SELECT node, z FROM n8")
+def trajectory_kmeans(c):
+    return _trajectories(c)[1].labels
+
+
+@query("k:i m0:d m1:d variance:d", "pos", _lloyd(8) + """ SELECT k, avg(c0) AS m0, avg(c1) AS m1, coalesce(nullif(any_value(v), 0), 0.001::DOUBLE) AS variance FROM g8
+ LEFT JOIN (SELECT z AS k, sum(v) / (SELECT count(DISTINCT t) FROM pos) AS v FROM (SELECT t, z, (var_pop(x0) + var_pop(x1)) / 2 AS v FROM pos JOIN n8 USING (node) GROUP BY t, z) GROUP BY z) USING (k) GROUP BY k""")
+def trajectory_clusters(c):
+    return trajectories.summary(*_trajectories(c)).select("k", F.col("mu")[0].alias("m0"), F.col("mu")[1].alias("m1"), "variance")
