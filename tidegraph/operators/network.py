@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..storage import written
+from .ordered import placed
 
 
 def aggregated(edges: DataFrame, keys: list[str], weight: str = "weight") -> DataFrame:
@@ -43,8 +44,8 @@ def off_diagonal() -> Column:
 
 
 def encoded(values: DataFrame, column: str, code: str = "node") -> DataFrame:
-    """The distinct values of a column, numbered from 0 in their order: the dictionary meets in one task."""
-    return values.select(column).distinct().withColumn(code, (F.dense_rank().over(W.orderBy(column)) - 1).cast("int"))
+    """The distinct values of a column, numbered from 0 in their order (null first), range by range."""
+    return placed(values.select(column).distinct(), [], [column], code).withColumn(code, F.col(code).cast("int"))
 
 
 def is_dynamic(edges: DataFrame) -> bool:
