@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .catalog import EVERY, LAMBDA, LOGPDF, PATHS, clusters_of, query, trans_of
-from .operators import draws, labelling, linkage, maximum, network, posterior, scaling, trajectories
+from .functions import variates
+from .functions.scalar import truncated_normal_logpdf
+from .operators import draws, labelling, linkage, maximum, metrics, network, ordered, posterior, scaling, spectra, trajectories
 from .storage import written
 
 
@@ -212,3 +214,86 @@ def trajectory_kmeans(c):
  LEFT JOIN (SELECT z AS k, sum(v) / (SELECT count(DISTINCT t) FROM pos) AS v FROM (SELECT t, z, (var_pop(x0) + var_pop(x1)) / 2 AS v FROM pos JOIN n8 USING (node) GROUP BY t, z) GROUP BY z) USING (k) GROUP BY k""")
 def trajectory_clusters(c):
     return trajectories.summary(*_trajectories(c)).select("k", F.col("mu")[0].alias("m0"), F.col("mu")[1].alias("m1"), "variance")
+
+
+# Traces side by side. The SQL solves the same equations by recursion.
+
+
+TRACES = """WITH RECURSIVE tr AS (SELECT event_type, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS iter, value AS x FROM events),
+ kept AS (SELECT *, iter - min(iter) OVER (PARTITION BY event_type) AS k, count(*) OVER (PARTITION BY event_type) AS n FROM tr WHERE iter >= 20),
+ parted AS (SELECT event_type, 0 AS part, iter, x FROM kept WHERE k < floor(n * 0.1::DOUBLE) UNION ALL SELECT event_type, 1, iter, x FROM kept WHERE k >= n - floor(n * 0.5::DOUBLE)),
+ sized AS (SELECT *, x - avg(x) OVER g AS e, count(*) OVER g AS n, avg(x) OVER g AS mean FROM parted WINDOW g AS (PARTITION BY event_type, part)),
+ lags AS (SELECT a.event_type, a.part, any_value(a.n) AS n, any_value(a.mean) AS mean, l.range AS lag, sum(a.e * b.e) / any_value(a.n) AS r FROM (SELECT * FROM range(60)) l CROSS JOIN sized a
+  JOIN sized b ON b.event_type = a.event_type AND b.part = a.part AND b.iter = a.iter - l.range WHERE l.range <= least(floor(10 * log10(a.n))::INT, a.n - 1) GROUP BY a.event_type, a.part, l.range),
+ corr AS (SELECT event_type, part, any_value(n)::DOUBLE AS n, any_value(mean) AS mean, list(r ORDER BY lag) AS r FROM lags GROUP BY event_type, part),
+ ar AS (SELECT event_type, part, n, r, 1 AS k, [r[2] / r[1]] AS a, r[1] * (1 - (r[2] / r[1]) ** 2) AS v FROM corr
+  UNION ALL SELECT event_type, part, n, r, k + 1, list_append([s[1] - turn * s[2] for s in list_zip(a, list_reverse(a))], turn), v * (1 - turn ** 2)
+  FROM (SELECT *, (r[k + 2] - list_dot_product(a, list_reverse(r[2 : k + 1]))) / v AS turn FROM ar WHERE k + 1 < len(r))),
+ dens AS (SELECT event_type, part, arg_min(v * n / greatest(1, n - k - 1) / (1 - list_sum(a)) ** 2 / n, n * ln(v) + 2 * k) AS s0 FROM ar GROUP BY event_type, part)"""
+
+
+def _traces(c):
+    ranked = ordered.placed(c.table("events").select("event_type", "event_id", F.col("value").alias("x")), ["event_type"], ["event_id"], "iter")
+    return ranked.select("event_type", "iter", "x")
+
+
+@query("event_type:s z:d", "", TRACES + """ SELECT event_type, (max(CASE WHEN part = 0 THEN mean END) - max(CASE WHEN part = 1 THEN mean END)) / sqrt(sum(s0)) AS z FROM corr JOIN dens USING (event_type, part) GROUP BY event_type""")
+def geweke_by_trace(c):
+    return spectra.geweke(_traces(c), ["event_type"], n_burn=20)
+
+
+@query("event_type:s part:i spectrum0:d", "", TRACES + " SELECT event_type, part, s0 AS spectrum0 FROM dens")
+def spectra_by_trace(c):
+    kept = spectra.retained(_traces(c), 20)
+    sizes = kept.groupBy("event_type").agg(F.count("*").alias("n"))
+    at = F.col("iter") - 20
+    parts = F.filter(F.array(F.when(at < F.floor(F.col("n") * F.lit(0.1)), F.lit(0)), F.when(at >= F.col("n") - F.floor(F.col("n") * F.lit(0.5)), F.lit(1))), lambda v: v.isNotNull())
+    rows = kept.join(sizes, "event_type").select("event_type", F.explode(parts).alias("part"), "iter", "x")
+    return spectra.spectra(rows, ["event_type", "part"])
+
+
+@query("event_type:s parameter:s iter:i x:d", "", """WITH d AS (SELECT event_type, day(ts) AS iter, sum(value) AS logp, count(*)::DOUBLE AS n FROM events GROUP BY ALL)
+ SELECT event_type, 'logp' AS parameter, iter, logp AS x FROM d UNION ALL SELECT event_type, 'n', iter, n FROM d""")
+def trace_table(c):
+    days = c.table("events").groupBy("event_type", F.dayofmonth("ts").alias("iter")).agg(F.sum("value").alias("logp"), F.count("*").alias("n"))
+    return spectra.trace_table(days, ["event_type"], ["logp", "n"])
+
+
+# Variates of counted uniforms, and the density of a cut normal.
+
+
+ERF = "(2 / sqrt(pi()) * list_sum([(CASE WHEN k % 2 = 0 THEN 1 ELSE -1 END) * exp((2 * k + 1) * ln(abs({x})) - lgamma(k + 1)) / (2 * k + 1) for k in range(0, 80)]) * sign({x}))"
+CDF = "(0.5::DOUBLE * (1 + " + ERF.replace("{x}", "(({x}) / sqrt(2::DOUBLE))") + "))"
+
+
+@query("t:i node:i value:d", "pos", f"""SELECT t, node, CASE WHEN x0 BETWEEN -1.5::DOUBLE AND 1.25::DOUBLE THEN -0.5::DOUBLE * ln(2 * pi() * 0.8::DOUBLE) - (x0 - 0.2::DOUBLE) ** 2 / 1.6::DOUBLE
+ - ln({CDF.replace("{x}", "1.05 / sqrt(0.8::DOUBLE)")} - {CDF.replace("{x}", "-1.7 / sqrt(0.8::DOUBLE)")}) END AS value FROM pos""")
+def truncated_density(c):
+    value = truncated_normal_logpdf(F.col("x")[0], F.lit(0.2), F.lit(0.8), F.lit(-1.5), F.lit(1.25))
+    return c.positions().select("t", "node", F.when(value > float("-inf"), value).alias("value"))
+
+
+GAMMA_UNIFORM = "(((k_from * 7919 + k_to * 104729 + ({0}) * 1299709) % 9973 + 0.5::DOUBLE) / 9973.0::DOUBLE)"
+
+
+@query("k_from:i k_to:i w:d", "dlab", f""", grid AS (SELECT node AS k_from, z AS k_to, 0.5::DOUBLE + count(*) AS alpha FROM dlab GROUP BY node, z),
+ made AS (SELECT *, CASE WHEN alpha < 1 THEN alpha + 1 ELSE alpha END - 1 / 3.0::DOUBLE AS d FROM grid),
+ tried AS (SELECT k_from, k_to, alpha, d, i, greatest(1 + x / sqrt(9 * d), 0) ** 3 AS v, x, u FROM (SELECT made.*, r.range AS i, sqrt(-2 * ln({GAMMA_UNIFORM.format("3 * r.range")})) * cos(2 * pi() * {GAMMA_UNIFORM.format("3 * r.range + 1")}) AS x,
+  {GAMMA_UNIFORM.format("3 * r.range + 2")} AS u FROM made CROSS JOIN range(16) r)),
+ got AS (SELECT k_from, k_to, any_value(alpha) AS alpha, arg_min(d * v, i) AS g FROM tried WHERE v > 0 AND ln(u) < 0.5::DOUBLE * x * x + d - d * v + d * ln(v) GROUP BY k_from, k_to),
+ final AS (SELECT k_from, k_to, CASE WHEN alpha < 1 THEN g * {GAMMA_UNIFORM.format("48")} ** (1 / alpha) ELSE g END AS g FROM got) SELECT k_from, k_to, g / sum(g) OVER (PARTITION BY k_from) AS w FROM final""")
+def dirichlet_draws(c):
+    """Each node's shares of the labels it has had, given how often it had them."""
+    had = c.dynamic_labels().groupBy(F.col("node").alias("k_from"), "z").agg(F.count("*").alias("n"))
+    rows = had.groupBy("k_from").agg(F.sort_array(F.collect_list(F.struct("z", "n"))).alias("had"))  # as many as labels
+    alphas = F.transform("had", lambda s: F.lit(0.5) + s["n"])
+    drawn = variates.dirichlet(alphas, lambda i, k: _residue(F.col("k_from"), F.element_at("had", i + 1)["z"], k))
+    return rows.select("k_from", F.explode(F.arrays_zip(F.transform("had", lambda s: s["z"]).alias("k_to"), drawn.alias("w"))).alias("s")).select("k_from", "s.k_to", "s.w")
+
+
+@query("t:i z0:i z1:i m:i", "moves", """SELECT t, z0, z1, sum(((((t * 7919 + (z0 * 4 + z1) * 104729 + i * 1299709) % 9973) + 0.5::DOUBLE) / 9973.0::DOUBLE < mass / (mass + i))::INT) AS m
+ FROM (SELECT t, z0, z1, unnest(range(n)) AS i, 0.5::DOUBLE + 0.25::DOUBLE * z1 + CASE WHEN z0 = z1 THEN 2 ELSE 0 END AS mass FROM moves) GROUP BY t, z0, z1""")
+def table_counts(c):
+    mass = F.lit(0.5) + F.lit(0.25) * F.col("z1") + F.when(F.col("z0") == F.col("z1"), 2.0).otherwise(0.0)
+    opened = variates.tables("n", mass, lambda i: _residue(F.col("t"), F.col("z0") * 4 + F.col("z1"), i))
+    return metrics.transition_counts(c.dynamic_labels()).select("t", "z0", "z1", opened.alias("m"))

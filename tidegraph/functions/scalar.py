@@ -1,14 +1,11 @@
-"""Column expressions of the models; all but the gamma-function ones stay in generated code."""
+"""Column expressions of the models; none leaves the engine."""
 
 from __future__ import annotations
 
 import math
-from statistics import NormalDist
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 TINY = 2.2250738585072014e-308
 
@@ -54,33 +51,94 @@ def normal_pdf(x, mean, variance, p: int) -> Column:
     return F.exp(normal_logpdf(x, mean, variance, p))
 
 
-@F.pandas_udf(DoubleType())
-def dirichlet_logpdf(x: pd.Series, alphas: pd.Series) -> pd.Series:
-    """Of arrays on the simplex; entries of both are raised to the least normal double."""
+#: Lanczos' coefficients of the gamma function for g = 7 and nine terms.
+LANCZOS = (0.99999999999980993, 676.5203681218851, -1259.1392167224028, 771.32342877765313, -176.61502916214059, 12.507343278686905, -0.13857109526572012, 9.9843695780195716e-6, 1.5056327351493116e-7)
 
-    def one(x, a):
-        a = [max(v, TINY) for v in a]
-        return math.lgamma(sum(a)) - sum(map(math.lgamma, a)) + sum((v - 1) * math.log(max(u, TINY)) for u, v in zip(x, a))
 
-    return pd.Series([None if u is None or v is None else one(u, v) for u, v in zip(x, alphas)], dtype="float64")
+def lgamma(x) -> Column:
+    """log of the gamma function of x > 0."""
+    x = _c(x).cast("double")
+    y = F.when(x < 0.5, F.lit(1.0) - x).otherwise(x) - F.lit(1.0)
+    t = y + F.lit(7.5)
+    series = sum((F.lit(c) / (y + F.lit(float(k))) for k, c in enumerate(LANCZOS[1:], 1)), F.lit(LANCZOS[0]))
+    value = F.lit(0.5 * math.log(2 * math.pi)) + (y + F.lit(0.5)) * F.log(t) - t + F.log(series)
+    return F.when(x < 0.5, F.log(F.lit(math.pi) / F.sin(F.lit(math.pi) * x)) - value).otherwise(value)
 
 
-@F.pandas_udf(DoubleType())
-def multivariate_t_logpdf(x: pd.Series, df: pd.Series, mean: pd.Series, scale: pd.Series) -> pd.Series:
-    """Of arrays, with a scale that is the same in all dimensions."""
+def log_erfc(x) -> Column:
+    """log(1 - erf(x)), far into the tail: a series near 0, a continued fraction beyond."""
+    x = _c(x).cast("double")
+    a = F.abs(x)
+    square = x * x
+    terms = F.aggregate(
+        F.sequence(F.lit(1), F.lit(60)), F.struct(F.lit(1.0).alias("t"), F.lit(1.0).alias("s")),
+        lambda acc, k: F.struct((acc["t"] * F.lit(2.0) * square / (F.lit(2.0) * k + F.lit(1.0))).alias("t"), (acc["s"] + acc["t"] * F.lit(2.0) * square / (F.lit(2.0) * k + F.lit(1.0))).alias("s")),
+        lambda acc: acc["s"],
+    )
+    near = F.lit(2 / math.sqrt(math.pi)) * x * F.exp(-square) * terms  # erf
+    fraction = F.aggregate(F.sequence(F.lit(60), F.lit(1), F.lit(-1)), a, lambda acc, k: a + F.lit(0.5) * k / acc)
+    far = -square - F.log(fraction) - F.lit(0.5 * math.log(math.pi))
+    return F.when(a <= 2.0, F.log1p(-near)).when(x > 0, far).otherwise(F.log(F.lit(2.0) - F.exp(far)))
+
+
+def log_normal_cdf(z) -> Column:
+    return log_erfc(-_c(z) / F.lit(math.sqrt(2.0))) - F.lit(math.log(2.0))
+
+
+def normal_cdf(z) -> Column:
+    return F.exp(log_normal_cdf(z))
+
 
-    def one(x, n, m, s):
-        p = len(x)
-        ss = sum((u - v) ** 2 for u, v in zip(x, m)) / s
-        return math.lgamma((n + p) / 2) - math.lgamma(n / 2) - p / 2 * math.log(n * math.pi * s) - (n + p) / 2 * math.log1p(ss / n)
+#: Acklam's rational approximation of the normal quantile.
+QUANTILE_A = (-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02, 1.383577518672690e02, -3.066479806614716e01, 2.506628277459239e00)
+QUANTILE_B = (-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02, 6.680131188771972e01, -1.328068155288572e01)
+QUANTILE_C = (-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e00, -2.549732539343734e00, 4.374664141464968e00, 2.938163982698783e00)
+QUANTILE_D = (7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00, 3.754408661907416e00)
 
-    return pd.Series([one(*r) for r in zip(x, df, mean, scale)], dtype="float64")
 
+def _polynomial(x: Column, coefficients) -> Column:
+    value = F.lit(coefficients[0])
+    for c in coefficients[1:]:
+        value = value * x + F.lit(c)
+    return value
 
-@F.pandas_udf(DoubleType())
-def truncated_normal_logpdf(x: pd.Series, mean: pd.Series, variance: pd.Series, lower: pd.Series, upper: pd.Series) -> pd.Series:
-    def one(x, m, v, a, b):
-        n = NormalDist(m, math.sqrt(v))
-        return -math.inf if not a <= x <= b else -0.5 * math.log(2 * math.pi * v) - (x - m) ** 2 / (2 * v) - math.log(n.cdf(b) - n.cdf(a))
 
-    return pd.Series([one(*r) for r in zip(x, mean, variance, lower, upper)], dtype="float64")
+def normal_quantile(p) -> Column:
+    """The z with normal_cdf(z) = p in (0, 1): an approximation and one step of Halley's method."""
+    p = _c(p).cast("double")
+    low = F.least(p, F.lit(1.0) - p)
+    q = F.sqrt(F.lit(-2.0) * F.log(low))
+    tail = _polynomial(q, QUANTILE_C) / (_polynomial(q, QUANTILE_D) * q + F.lit(1.0))
+    mid = low - F.lit(0.5)
+    centre = mid * _polynomial(mid * mid, QUANTILE_A) / (_polynomial(mid * mid, QUANTILE_B) * mid * mid + F.lit(1.0))
+    z = F.when(low < 0.02425, tail).otherwise(centre)
+    e = (normal_cdf(z) - low) * F.lit(math.sqrt(2 * math.pi)) * F.exp(z * z / F.lit(2.0))
+    z = z - e / (F.lit(1.0) + z * e / F.lit(2.0))
+    return F.when(p <= 0.5, z).otherwise(-z)
+
+
+def dirichlet_logpdf(x, alphas) -> Column:
+    """Of arrays on the simplex; entries of both are raised to the least normal double."""
+    raised = lambda v: F.greatest(v.cast("double"), F.lit(TINY))
+    a = F.transform(_c(alphas), raised)
+    parts = F.zip_with(_c(x), a, lambda u, v: (v - F.lit(1.0)) * F.log(raised(u)) - lgamma(v))
+    return lgamma(total(a)) + total(parts)
+
+
+def multivariate_t_logpdf(x, df, mean, scale) -> Column:
+    """Of arrays, with a scale that is the same in all dimensions."""
+    n, s, p = _c(df).cast("double"), _c(scale).cast("double"), F.size(_c(x)).cast("double")
+    half = (n + p) / F.lit(2.0)
+    return lgamma(half) - lgamma(n / F.lit(2.0)) - p / F.lit(2.0) * F.log(n * F.lit(math.pi) * s) - half * F.log1p(squared_distance(x, mean) / s / n)
+
+
+def truncated_normal_logpdf(x, mean, variance, lower, upper) -> Column:
+    """Of a normal cut to [lower, upper]; minus infinity outside."""
+    x, m, v = (_c(c).cast("double") for c in (x, mean, variance))
+    a, b = ((_c(c).cast("double") - m) / F.sqrt(v) for c in (lower, upper))
+    # both ends are looked at from the side where the normal's tail is small
+    flip = a > 0
+    hi, lo = F.when(flip, log_normal_cdf(-a)).otherwise(log_normal_cdf(b)), F.when(flip, log_normal_cdf(-b)).otherwise(log_normal_cdf(a))
+    mass = hi + F.log1p(-F.exp(lo - hi))
+    inside = F.lit(-0.5) * F.log(F.lit(2 * math.pi) * v) - (x - m) * (x - m) / (F.lit(2.0) * v) - mass
+    return F.when((x >= _c(lower)) & (x <= _c(upper)), inside).otherwise(F.lit(float("-inf")))
