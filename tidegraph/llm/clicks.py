@@ -7,8 +7,10 @@ Spark drops late rows and fires timers by itself.
 
 Within a batch a bucket's rows are counted by (click_id, hour, hash) and folded in that order. At its end the wheel is
 drained as far as the bucket's own rows prove the next watermark to be, so that only what outlives the batch is put into
-the state; the timer drains what the watermark alone tells. The number of buckets grows with the input, so that a
-bucket's share of a batch stays small.
+the state; what the watermark alone tells is drained in the next batch, by the timer where the bucket has no rows, and
+counts for the batch before. The number of buckets grows with the input, so that a
+bucket's share of a batch stays small. Copies come as rows; a stateless pass packs those of a bucket that lie in one Arrow
+batch.
 
 Defined results: a null click_id is an id like any other (its copies are j = 0 alone, as are those of negative ids); rows
 without arrived_at have no hour and take no part; nulls in other columns are empty in the hash; repeated rows are
@@ -24,6 +26,8 @@ from collections import Counter
 from collections.abc import Iterator
 from itertools import islice
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
@@ -31,21 +35,25 @@ from pyspark.sql.streaming import StatefulProcessor
 from . import common
 
 HOUR_MS = 3_600_000
-#: Copies of one bucket and hour come in one row, windows that close together go out in one: rows of arrays pass Python faster.
-FED = "bucket long, hour long, click_ids array<long>, hashes array<binary>, event_time timestamp"
-CLOSED = "click_id array<long>, start_hour array<long>, n_repeats array<long>, n_conflicts array<long>, conflict_crc array<long>, hash array<binary>"
+FED = "bucket long, click_id long, hour long, hash binary"
+#: Copies of one bucket in an Arrow batch come in one row, windows that close together go out in one: rows of arrays pass
+#: the Row-based interface faster. A row's event time is that of its largest hour; the processor drops late copies itself.
+PACKED = "bucket long, click_ids array<long>, hours array<long>, hashes array<binary>, event_time timestamp"
+CLOSED = "click_id array<long>, start_hour array<long>, n_repeats array<long>, n_conflicts array<long>, conflict_crc array<long>, hash array<binary>, before array<boolean>"
 TOLD = 2000
 RESULT = "click_id long, start_hour long, closed_batch long, n_repeats long, n_conflicts long, conflict_crc long, hash string"
 RESULT_COLUMNS = [c.split()[0] for c in RESULT.split(", ")]
 WINDOW = "start_hour long, n_repeats long, n_conflicts long, conflict_crc long, hash binary"
 _closed_row = Row(*(c.split()[0] for c in CLOSED.split(", ")))
-#: Maps and timers need the RocksDB store, which hands changes to the checkpoint; batches without data fire timers.
+#: Maps and timers need the RocksDB store, which hands changes to the checkpoint. A start is one batch: its timers tell
+#: what the batch before left behind.
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # many small stores: nothing is reserved ahead
-    "spark.sql.streaming.noDataMicroBatches.enabled": "true",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "50000",
+    "spark.sql.streaming.noDataMicroBatches.enabled": "false",
 }
 #: The bucket of the marker that ends a stream.
 MARKER = -1
@@ -55,11 +63,15 @@ class Windows(StatefulProcessor):
     """Opens, extends and closes windows of click ids; emits them as they close.
 
     span: a window takes what comes up to so many hours after its start. lateness: the watermark's distance in hours.
-    base: the hour that event times count from.
+    base: the hour that event times count from; last: the largest hour of all.
+
+    What the watermark leaves behind is over since the batch before, which told it; it is drained before a batch's rows are
+    looked at, or by the timer of a bucket without rows. Such windows go out marked. Behind the marker's watermark, which
+    is beyond the last hour, all are over with the last batch itself.
     """
 
-    def __init__(self, span: int, lateness: int, base: int = 0):
-        self.span, self.lateness, self.base = span, lateness, base
+    def __init__(self, span: int, lateness: int, base: int, last: int):
+        self.span, self.lateness, self.base, self.last = span, lateness, base, last
 
     def init(self, handle) -> None:
         self.handle = handle
@@ -71,53 +83,61 @@ class Windows(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         seen: Counter = Counter()
+        bound = self._bound(timerValues)
         for row in rows:
-            hour = row["hour"]
-            seen.update((i is not None, i or 0, hour, digest) for i, digest in zip(row["click_ids"], row["hashes"]))
+            seen.update((i is not None, i or 0, hour, digest) for i, hour, digest in zip(row["click_ids"], row["hours"], row["hashes"]) if hour >= bound)
         if key[0] != MARKER:
-            yield from _told(self._folded(seen))
+            yield from _told(self._folded(seen, bound))
 
-    def _folded(self, seen: Counter) -> Iterator[tuple]:
-        held = self._held()
-        open_now: dict = {}
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        bound, held, slots = self._bound(timerValues), self._held(), self._slots()
+        windows, wheel = dict(held), dict(slots)
+        over = self._drained(bound, windows, wheel)
+        yield from _told((*w, bound <= self.last) for w in over)
+        self._kept(held, windows, slots, wheel, expiredTimerInfo.getExpiryTimeInMs())
+
+    def _folded(self, seen: Counter, bound: int) -> Iterator[tuple]:
+        held, slots = self._held(), self._slots()
+        windows, wheel = dict(held), dict(slots)
+        for window in self._drained(bound, windows, wheel):
+            yield *window, True
+        touched: dict = {}
         newest = self.base
         for known, click_id, hour, digest in sorted(seen):
             n = seen[known, click_id, hour, digest]
             click_id = click_id if known else None
             newest = max(newest, hour)
-            window = open_now.get(click_id) or held.get(click_id)
+            window = windows.get(click_id)
             if window is None or hour > window[0] + self.span:
                 if window is not None:
-                    yield click_id, *window
+                    yield click_id, *window, False
                 window = (hour, 0, 0, 0, digest)
                 n -= 1
+                touched[click_id] = hour
             start, repeats, conflicts, crc, first = window
             if digest != first:
                 conflicts, crc = conflicts + n, crc + n * zlib.crc32(digest.hex().encode())
-            open_now[click_id] = (start, repeats + n, conflicts, crc, first)
-
-        # The next batch's watermark is at least as far as the bucket's own rows ask: what lies behind that is over.
-        wheel = self._slots()
-        late = {hour: list(ids) for hour, ids in wheel.items()}
-        for click_id, window in open_now.items():
-            if click_id not in held or held[click_id][0] != window[0]:
-                late.setdefault(window[0] + self.span, []).append(click_id)
-        yield from self._drained(newest - self.lateness, held, held | open_now, wheel, late)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        bound = (timerValues.getCurrentWatermarkInMs() + 1) // HOUR_MS + self.base  # the first hour that is not behind the watermark
-        held, wheel = self._held(), self._slots()
-        yield from _told(self._drained(bound, held, held, wheel, wheel, expiredTimerInfo.getExpiryTimeInMs()))
-
-    def _drained(self, bound: int, held: dict, windows: dict, slots: dict, wheel: dict, fired: int | None = None) -> Iterator[tuple]:
-        """Closes the windows of all slots before the bound; the state, as it was held and its slots, becomes what is left."""
-        windows = dict(windows)
+            windows[click_id] = (start, repeats + n, conflicts, crc, first)
+        for click_id, start in touched.items():
+            wheel[start + self.span] = [*wheel.get(start + self.span, ()), click_id]
+        # The next watermark is at least as far as the bucket's own rows ask: what lies behind that is over with this batch.
+        for window in self._drained(newest - self.lateness, windows, wheel):
+            yield *window, False
+        self._kept(held, windows, slots, wheel)
+
+    def _bound(self, timerValues) -> int:
+        """The first hour that is not behind the watermark."""
+        return (timerValues.getCurrentWatermarkInMs() + 1) // HOUR_MS + self.base
+
+    def _drained(self, bound: int, windows: dict, wheel: dict) -> Iterator[tuple]:
+        """Takes the slots before the bound off the wheel, and gives their windows; an id that has moved on since stays."""
         for hour in [h for h in wheel if h < bound]:
-            for click_id in wheel[hour]:
+            for click_id in wheel.pop(hour):
                 if click_id in windows and windows[click_id][0] + self.span == hour:
                     yield click_id, *windows.pop(click_id)
+
+    def _kept(self, held: dict, windows: dict, slots: dict, wheel: dict, fired: int | None = None) -> None:
         _replace(self.windows, held, windows)
-        wheel = {hour: ids for hour, ids in wheel.items() if hour >= bound}
         _replace(self.wheel, {h: (ids,) for h, ids in slots.items()}, {h: (ids,) for h, ids in wheel.items()})
         self._set_timer(wheel, fired)
 
@@ -145,6 +165,22 @@ def _told(closed: Iterator[tuple]) -> Iterator[Row]:
         yield _closed_row(*map(list, zip(*some)))
 
 
+def _packed(base: int):
+    """The batch function that packs copies by bucket."""
+
+    def f(batch: pa.RecordBatch) -> pa.RecordBatch:
+        buckets, hours = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("bucket", "hour"))
+        order = np.argsort(buckets, kind="stable")
+        starts = np.flatnonzero(np.diff(buckets[order], prepend=buckets[order][:1] - 1)) if len(order) else order
+        offsets = pa.array(np.append(starts, len(order)), pa.int32())
+        lists = [pa.ListArray.from_arrays(offsets, batch.column(c).take(pa.array(order))) for c in ("click_id", "hour", "hash")]
+        latest = np.maximum.reduceat(hours[order], starts) if len(order) else hours
+        times = pa.array((latest - base) * (HOUR_MS * 1000), pa.int64()).cast(pa.timestamp("us", tz="UTC"))
+        return pa.RecordBatch.from_arrays([pa.array(buckets[order][starts], pa.int64()), *lists, times], [c.split()[0] for c in PACKED.split(", ")])
+
+    return f
+
+
 def _replace(state, old: dict, new: dict) -> None:
     """Makes a map of old entries one of new ones, by as few calls as it takes: each goes through a socket."""
     gone = [k for k in old if k not in new]
@@ -180,23 +216,27 @@ def _texts(*columns) -> Column:
     return F.concat_ws("|", *texts)
 
 
-def _moved(spark: SparkSession, source: str, target: str) -> None:
-    """Renames a folder of the shared store; a folder that isn't there is an empty batch."""
+def _moved(spark: SparkSession, source: str, target: str) -> bool:
+    """Renames a folder of the shared store; one that isn't there is an empty batch."""
     source, target = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (source, target))
     files = source.getFileSystem(spark._jsc.hadoopConfiguration())
     if files.exists(source) and not files.rename(source, target):
         raise OSError(f"{source} could not be moved to {target}")
+    return files.exists(target)
 
 
-def _started(spark: SparkSession, root: str, batch: int, processor: Windows) -> None:
-    """One start of the query: takes what is new in the folder, closes what the watermark then leaves behind, ends."""
+def _started(spark: SparkSession, root: str, batch: int, before: int, processor: Windows) -> None:
+    """One start of the query: takes what is new in the folder, and ends. before: the batch that was fed before this one."""
     delay = processor.lateness * HOUR_MS + 1  # the watermark is just before the first hour that isn't late
-    stream = spark.readStream.schema(FED).option("recursiveFileLookup", "true").parquet(f"{root}/fed").withWatermark("event_time", f"{delay} milliseconds")
+    copies = spark.readStream.schema(FED).option("recursiveFileLookup", "true").parquet(f"{root}/fed")
+    packed = common.map_batches(copies, lambda: _packed(processor.base), PACKED, rows=50_000)
+    stream = packed.withWatermark("event_time", f"{delay} milliseconds")
     closed = stream.groupBy("bucket").transformWithState(processor, CLOSED, "append", "eventTime")
 
     def store(rows: DataFrame, epoch: int) -> None:
         each = rows.select(F.inline(F.arrays_zip(*rows.columns)))
-        each.withColumn("closed_batch", F.lit(batch).cast("long")).write.mode("overwrite").parquet(f"{root}/closed/{batch}-{epoch}")
+        of = F.when(F.col("before"), F.lit(before)).otherwise(F.lit(batch)).cast("long")
+        each.withColumn("closed_batch", of).drop("before").write.mode("overwrite").parquet(f"{root}/closed/{batch}-{epoch}")
 
     query = closed.writeStream.foreachBatch(store).outputMode("append").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
@@ -207,7 +247,7 @@ def windows(clicks: DataFrame, batches: int = 8, span: int = 24, lateness: int =
 
     The copies are written once, by batch, in the shared folder; each batch is moved into the folder that the stream
     reads, and the query is started for it on one checkpoint and ends when it has taken all there is. A marker far ahead
-    ends the stream: it lets the watermark pass every deadline.
+    comes with the last batch: a batch without data follows then, in which the watermark passes every deadline.
     """
     spark = clicks.sparkSession
     root = f"{common.shared_dir(spark)}/click-windows-{uuid.uuid4().hex}"
@@ -219,18 +259,20 @@ def windows(clicks: DataFrame, batches: int = 8, span: int = 24, lateness: int =
         base = first - lateness - 1  # event times count from here, so that none is before a watermark's beginning
         place = F.floor((F.col("late") - low) * batches / F.lit(float(high - low + 1)))
         bucket = F.pmod(F.xxhash64("click_id"), F.lit(max(8, n // rows_per_bucket)))
-        timed = F.timestamp_millis((F.col("hour") - base) * HOUR_MS).alias("event_time")
-        dealt = every.select(place.alias("batch"), bucket.alias("bucket"), "hour", F.struct("click_id", "hash").alias("copy"), F.spark_partition_id().alias("task"))
-        packed = dealt.groupBy("batch", "bucket", "hour", "task").agg(F.collect_list("copy").alias("copies"))  # a list is never longer than a task's rows
-        rows = [F.col("copies.click_id").alias("click_ids"), F.col("copies.hash").alias("hashes")]
-        packed.select("batch", "bucket", "hour", *rows, timed).write.partitionBy("batch").parquet(f"{root}/dealt")
+        every.select(place.alias("batch"), bucket.alias("bucket"), "click_id", "hour", "hash").write.partitionBy("batch").parquet(f"{root}/dealt")
         spark.createDataFrame([], FED).write.parquet(f"{root}/fed/none")  # the folder is there, whichever batches are empty
-        end = spark.createDataFrame([(MARKER, last + span + lateness + 2, [], [])], FED.rsplit(", ", 1)[0])
-        end.select("*", timed).write.parquet(f"{root}/dealt/batch={batches}")
-        processor = Windows(span, lateness, base)
-        for k in range(batches + 1):
-            _moved(spark, f"{root}/dealt/batch={k}", f"{root}/fed/{k}")
-            _started(spark, root, min(k, batches - 1), processor)
+        end = spark.createDataFrame([(MARKER, None, last + span + lateness + 2, None)], FED)
+        end.write.parquet(f"{root}/dealt/batch={batches}")
+        processor, before = Windows(span, lateness, base, last), 0
+        for k in range(batches):
+            filled = _moved(spark, f"{root}/dealt/batch={k}", f"{root}/fed/{k}")
+            if k == batches - 1:
+                _moved(spark, f"{root}/dealt/batch={batches}", f"{root}/fed/end")
+                with common.settings(spark, **{"spark.sql.streaming.noDataMicroBatches.enabled": "true"}):
+                    _started(spark, root, k, before, processor)
+            elif filled:
+                _started(spark, root, k, before, processor)
+                before = k
     kinds = RESULT.replace("hash string", "hash binary")
     closed = spark.read.schema(kinds).option("recursiveFileLookup", "true").parquet(f"{root}/closed")
     return closed.select(*RESULT_COLUMNS[:-1], F.lower(F.hex("hash")).alias("hash"))
