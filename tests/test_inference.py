@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 
 from tidegraph.operators import draws, labelling, linkage, maximum, ordered
+from tidegraph.sources import loaders
 
 
 def average_linkage(distance: np.ndarray, threshold: float) -> np.ndarray:
@@ -181,3 +182,17 @@ def test_labels_far_from_every_cluster(spark):
             for k in range(3):
                 assert abs(got[t, i, 10 * k] - sum(math.exp(v - top) for p, v in paths.items() if p[t] == k) / total) < 1e-9
         assert [best[t, i] // 10 for t in ts] == list(max(paths, key=paths.get))
+
+
+def test_monastery_folder(spark, tmp_path):
+    for name, text in {"sampson_0.npy": "0 1 0\n0 0 1\n0 0 0\n", "sampson_1.npy": "0 0 0\n1 0 0\n0 0 0\n", "sampson_2.npy": "0 0 0\n0 0 0\n1 1 0\n", "sampson.npy": "0 1 1\n0 0 0\n0 0 0\n"}.items():
+        (tmp_path / name).write_text(text)
+    (tmp_path / "sampson_names.txt").write_text("A\nB\nC\n")
+    (tmp_path / "sampson_groups.txt").write_text("Y\nX\nY\n")
+    (tmp_path / "sampson_groups_waverers.txt").write_text("Y\nX\nW\n")
+    edges, nodes = loaders.monastery(spark, str(tmp_path))
+    assert sorted(map(tuple, edges.collect())) == [(0, 0, 1), (0, 1, 2), (1, 1, 0), (2, 2, 0), (2, 2, 1)]
+    assert sorted((r.node, r.name, r.z) for r in nodes.collect()) == [(0, "A", 1), (1, "B", 0), (2, "C", 1)]
+    edges, nodes = loaders.monastery(spark, str(tmp_path), dynamic=False, directed=False, waverers=True)
+    assert sorted(map(tuple, edges.collect())) == [(0, 0, 1), (0, 0, 2), (0, 1, 0), (0, 2, 0)]
+    assert sorted((r.node, r.z) for r in nodes.collect()) == [(0, 2), (1, 1), (2, 0)]

@@ -901,12 +901,10 @@ def procrustes_alignment(c):
 
 @query("node:i z:i", "", None)
 def longitudinal_kmeans(c):
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
+    """From seeded centres; nodes that miss steps keep their place. trajectory_kmeans takes the same rounds from given ones."""
+    from .operators import trajectories
 
-    path = c.positions().groupBy("node").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("t", "x"))), lambda s: s["x"])).alias("x"))
-    whole = path.where(F.size("x") == c.positions().select("t").distinct().count() * 2).select("node", array_to_vector("x").alias("features"))
-    return KMeans(k=4, seed=1).fit(whole).transform(whole).select("node", F.col("prediction").alias("z"))
+    return trajectories.kmeans(c.positions(), 4).labels
 
 
 @query("t:i k:i diameter:d", "", None)

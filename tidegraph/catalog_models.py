@@ -297,3 +297,21 @@ def table_counts(c):
     mass = F.lit(0.5) + F.lit(0.25) * F.col("z1") + F.when(F.col("z0") == F.col("z1"), 2.0).otherwise(0.0)
     opened = variates.tables("n", mass, lambda i: _residue(F.col("t"), F.col("z0") * 4 + F.col("z1"), i))
     return metrics.transition_counts(c.dynamic_labels()).select("t", "z0", "z1", opened.alias("m"))
+
+
+# Weighted paths. The SQL squares the matrix of lengths five times, for paths of up to 32 edges.
+
+
+def _squared_lengths(rounds: int) -> str:
+    out = """, len AS (SELECT t, src, dst, min(w) AS w FROM (SELECT t, src, dst, 100.0::DOUBLE / w AS w FROM net UNION ALL SELECT t, dst, src, 100.0::DOUBLE / w FROM net) GROUP BY ALL),
+ q0 AS MATERIALIZED (SELECT t, src, dst, w AS d FROM len UNION ALL SELECT DISTINCT t, src, src, 0.0::DOUBLE FROM len)"""
+    for k in range(rounds):
+        out += f", q{k + 1} AS MATERIALIZED (SELECT a.t, a.src, b.dst, min(a.d + b.d) AS d FROM q{k} a JOIN q{k} b ON a.t = b.t AND a.dst = b.src GROUP BY a.t, a.src, b.dst)"
+    return out
+
+
+@query("t:i src:i dst:i d:d", "net nodes", _squared_lengths(5) + """ SELECT p.t, p.src, p.dst, CASE WHEN p.src = p.dst THEN 0 ELSE coalesce(d, far) END AS d FROM (SELECT DISTINCT s.t, i.node AS src, j.node AS dst FROM len s CROSS JOIN nodes i CROSS JOIN nodes j) p
+ LEFT JOIN q5 USING (t, src, dst) JOIN (SELECT t, max(d) + 1 AS far FROM q5 GROUP BY t) USING (t)""")
+def sp_weighted(c):
+    edges = c.net().select("t", "src", "dst", (F.lit(100.0) / F.col("w")).alias("w"))
+    return network.weighted_shortest_paths(edges, c.nodes())

@@ -55,9 +55,17 @@ def normal_pdf(x, mean, variance, p: int) -> Column:
 LANCZOS = (0.99999999999980993, 676.5203681218851, -1259.1392167224028, 771.32342877765313, -176.61502916214059, 12.507343278686905, -0.13857109526572012, 9.9843695780195716e-6, 1.5056327351493116e-7)
 
 
+def bound(value, f) -> Column:
+    """f of a value that is computed once, however often f has it: an expression has no names for its parts."""
+    return F.transform(F.array(value), f)[0]
+
+
 def lgamma(x) -> Column:
     """log of the gamma function of x > 0."""
-    x = _c(x).cast("double")
+    return bound(_c(x).cast("double"), _lgamma)
+
+
+def _lgamma(x: Column) -> Column:
     y = F.when(x < 0.5, F.lit(1.0) - x).otherwise(x) - F.lit(1.0)
     t = y + F.lit(7.5)
     series = sum((F.lit(c) / (y + F.lit(float(k))) for k, c in enumerate(LANCZOS[1:], 1)), F.lit(LANCZOS[0]))
@@ -67,7 +75,10 @@ def lgamma(x) -> Column:
 
 def log_erfc(x) -> Column:
     """log(1 - erf(x)), far into the tail: a series near 0, a continued fraction beyond."""
-    x = _c(x).cast("double")
+    return bound(_c(x).cast("double"), _log_erfc)
+
+
+def _log_erfc(x: Column) -> Column:
     a = F.abs(x)
     square = x * x
     terms = F.aggregate(
@@ -105,16 +116,22 @@ def _polynomial(x: Column, coefficients) -> Column:
 
 def normal_quantile(p) -> Column:
     """The z with normal_cdf(z) = p in (0, 1): an approximation and one step of Halley's method."""
-    p = _c(p).cast("double")
-    low = F.least(p, F.lit(1.0) - p)
-    q = F.sqrt(F.lit(-2.0) * F.log(low))
-    tail = _polynomial(q, QUANTILE_C) / (_polynomial(q, QUANTILE_D) * q + F.lit(1.0))
-    mid = low - F.lit(0.5)
-    centre = mid * _polynomial(mid * mid, QUANTILE_A) / (_polynomial(mid * mid, QUANTILE_B) * mid * mid + F.lit(1.0))
-    z = F.when(low < 0.02425, tail).otherwise(centre)
-    e = (normal_cdf(z) - low) * F.lit(math.sqrt(2 * math.pi)) * F.exp(z * z / F.lit(2.0))
-    z = z - e / (F.lit(1.0) + z * e / F.lit(2.0))
-    return F.when(p <= 0.5, z).otherwise(-z)
+
+    def approximated(low: Column) -> Column:
+        tail = bound(F.sqrt(F.lit(-2.0) * F.log(low)), lambda q: _polynomial(q, QUANTILE_C) / (_polynomial(q, QUANTILE_D) * q + F.lit(1.0)))
+        centre = bound(low - F.lit(0.5), lambda mid: mid * _polynomial(mid * mid, QUANTILE_A) / (_polynomial(mid * mid, QUANTILE_B) * mid * mid + F.lit(1.0)))
+        return F.when(low < 0.02425, tail).otherwise(centre)
+
+    def mended(low: Column, z: Column) -> Column:
+        e = (normal_cdf(z) - low) * F.lit(math.sqrt(2 * math.pi)) * F.exp(z * z / F.lit(2.0))
+        return bound(e, lambda off: z - off / (F.lit(1.0) + z * off / F.lit(2.0)))
+
+    def sided(p: Column) -> Column:
+        low = F.least(p, F.lit(1.0) - p)
+        z = bound(low, lambda q: bound(approximated(q), lambda z: mended(q, z)))
+        return bound(z, lambda v: F.when(p <= 0.5, v).otherwise(-v))
+
+    return bound(_c(p).cast("double"), sided)
 
 
 def dirichlet_logpdf(x, alphas) -> Column:
@@ -137,8 +154,8 @@ def truncated_normal_logpdf(x, mean, variance, lower, upper) -> Column:
     x, m, v = (_c(c).cast("double") for c in (x, mean, variance))
     a, b = ((_c(c).cast("double") - m) / F.sqrt(v) for c in (lower, upper))
     # both ends are looked at from the side where the normal's tail is small
-    flip = a > 0
-    hi, lo = F.when(flip, log_normal_cdf(-a)).otherwise(log_normal_cdf(b)), F.when(flip, log_normal_cdf(-b)).otherwise(log_normal_cdf(a))
-    mass = hi + F.log1p(-F.exp(lo - hi))
+    ends = bound(F.struct(a.alias("a"), b.alias("b")), lambda s: F.when(s["a"] > 0, F.struct((-s["b"]).alias("lo"), (-s["a"]).alias("hi"))).otherwise(F.struct(s["a"].alias("lo"), s["b"].alias("hi"))))
+    logs = bound(ends, lambda s: F.struct(log_normal_cdf(s["lo"]).alias("lo"), log_normal_cdf(s["hi"]).alias("hi")))
+    mass = bound(logs, lambda s: s["hi"] + F.log1p(-F.exp(s["lo"] - s["hi"])))
     inside = F.lit(-0.5) * F.log(F.lit(2 * math.pi) * v) - (x - m) * (x - m) / (F.lit(2.0) * v) - mass
     return F.when((x >= _c(lower)) & (x <= _c(upper)), inside).otherwise(F.lit(float("-inf")))

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .scalar import _c, log_normal_cdf, normal_quantile, total
+from .scalar import _c, bound, log_normal_cdf, normal_quantile, total
 
 Uniform = Callable[[Column], Column]
 
@@ -24,37 +24,48 @@ def gamma(shape, uniform: Uniform) -> Column:
 
     Shapes below 1 are drawn one above and brought down by a power of one more uniform.
     """
-    a = _c(shape).cast("double")
-    d = F.when(a < 1, a + F.lit(1.0)).otherwise(a) - F.lit(1 / 3)
-    c = F.lit(1.0) / F.sqrt(F.lit(9.0) * d)
+    return bound(_c(shape).cast("double"), lambda a: _gamma(a, uniform))
 
-    def tried(acc: Column, k: Column) -> Column:
-        first = F.lit(3) * k
-        x = F.sqrt(F.lit(-2.0) * F.log(uniform(first))) * F.cos(F.lit(2 * math.pi) * uniform(first + F.lit(1)))
-        v = F.pow(F.greatest(F.lit(1.0) + c * x, F.lit(0.0)), 3)
-        fine = (v > 0) & (F.log(uniform(first + F.lit(2))) < F.lit(0.5) * x * x + d - d * v + d * F.log(v))
-        return F.when(acc > 0, acc).when(fine, d * v).otherwise(acc)
 
-    value = F.aggregate(F.sequence(F.lit(0), F.lit(TRIES - 1)), F.lit(0.0), tried)
-    value = F.when(value > 0, value).otherwise(d)  # after so many tries: never in practice
-    return F.when(a < 1, value * F.pow(uniform(F.lit(3 * TRIES)), F.lit(1.0) / a)).otherwise(value)
+def _gamma(a: Column, uniform: Uniform) -> Column:
+    raised = F.when(a < 1, a + F.lit(1.0)).otherwise(a) - F.lit(1 / 3)
+
+    def drawn(d: Column) -> Column:
+        def tried(acc: Column, k: Column) -> Column:
+            first = F.lit(3) * k
+            x = F.sqrt(F.lit(-2.0) * F.log(uniform(first))) * F.cos(F.lit(2 * math.pi) * uniform(first + F.lit(1)))
+            return F.when(acc > 0, acc).otherwise(bound(x, lambda x: taken(x, F.greatest(F.lit(1.0) + x / F.sqrt(F.lit(9.0) * d), F.lit(0.0)), uniform(first + F.lit(2)))))
+
+        def taken(x: Column, root: Column, u: Column) -> Column:
+            fine = lambda v: (v > 0) & (F.log(u) < F.lit(0.5) * x * x + d - d * v + d * F.log(v))
+            return bound(F.pow(root, 3), lambda v: F.when(fine(v), d * v).otherwise(F.lit(0.0)))
+
+        found = F.aggregate(F.sequence(F.lit(0), F.lit(TRIES - 1)), F.lit(0.0), tried)
+        return bound(found, lambda g: F.when(g > 0, g).otherwise(d))  # after so many tries: never in practice
+
+    return bound(raised, drawn) * F.when(a < 1, F.pow(uniform(F.lit(3 * TRIES)), F.lit(1.0) / a)).otherwise(F.lit(1.0))
 
 
 def dirichlet(alphas, uniform: Callable[[Column, Column], Column]) -> Column:
     """An array on the simplex: gamma variates by their sum. uniform: of a component's place and a counter."""
     drawn = F.transform(_c(alphas), lambda a, i: gamma(a, lambda k: uniform(i, k)))
-    return F.transform(drawn, lambda g: g / total(drawn))
+    return bound(drawn, lambda gs: bound(total(gs), lambda whole: F.transform(gs, lambda g: g / whole)))
 
 
 def truncated_normal(mean, variance, lower, upper, u) -> Column:
     """A normal cut to [lower, upper], by the quantile of u between their chances, seen from the side of the smaller tail."""
     m, sd = _c(mean), F.sqrt(_c(variance))
-    a, b = (_c(lower) - m) / sd, (_c(upper) - m) / sd
-    flip = a > 0
-    lo, hi = F.when(flip, -b).otherwise(a), F.when(flip, -a).otherwise(b)
-    p_lo, p_hi = F.exp(log_normal_cdf(lo)), F.exp(log_normal_cdf(hi))
-    z = normal_quantile(F.least(F.greatest(p_lo + _c(u) * (p_hi - p_lo), F.lit(1e-300)), F.lit(1.0 - 1e-16)))
-    return F.least(F.greatest(m + sd * F.when(flip, -z).otherwise(z), _c(lower)), _c(upper))
+    ends = F.struct(((_c(lower) - m) / sd).alias("a"), ((_c(upper) - m) / sd).alias("b"))
+
+    def drawn(s: Column) -> Column:
+        flip = s["a"] > 0
+        lo, hi = F.when(flip, -s["b"]).otherwise(s["a"]), F.when(flip, -s["a"]).otherwise(s["b"])
+        chances = F.struct(F.exp(log_normal_cdf(lo)).alias("lo"), F.exp(log_normal_cdf(hi)).alias("hi"))
+        p = bound(chances, lambda c: c["lo"] + _c(u) * (c["hi"] - c["lo"]))
+        z = normal_quantile(F.least(F.greatest(p, F.lit(1e-300)), F.lit(1.0 - 1e-16)))
+        return bound(z, lambda v: F.when(flip, -v).otherwise(v))
+
+    return F.least(F.greatest(m + sd * bound(ends, drawn), _c(lower)), _c(upper))
 
 
 def tables(n, mass, uniform: Uniform) -> Column:

@@ -168,6 +168,47 @@ def shortest_paths(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return pairs.join(found, ["t", "src", "dst"], "left").join(longest, "t").select("t", "src", "dst", F.coalesce("d", "far").alias("d"))
 
 
+def weighted_shortest_paths(edges: DataFrame, nodes: DataFrame, weight: str = "w", delta: float | None = None) -> DataFrame:
+    """t, src, dst, d for all pairs of nodes, by edges' lengths; pairs without a path have a step's longest path plus 1.
+
+    Undirected: an edge is as long as the shorter of its directions and repetitions; lengths that aren't above 0 count as
+    no edge. Delta-stepping: ways are settled by buckets of their length (delta, by default the mean of an edge); within
+    a bucket short edges are followed until nothing in it changes, long ones once when it is settled. Rounds are tables.
+    """
+    lengths = edges.where((F.col("src") != F.col("dst")) & (F.col(weight) > 0)).select("t", "src", "dst", F.col(weight).cast("double").alias("w"))
+    both = lengths.union(lengths.select("t", F.col("dst").alias("src"), F.col("src").alias("dst"), "w")).groupBy("t", "src", "dst").agg(F.min("w").alias("w"))
+    both = written(both, "lengths")
+    step = delta or both.agg(F.avg("w")).first()[0] or 1.0
+    light, heavy = both.where(F.col("w") <= step), both.where(F.col("w") > step)
+    everyone = both.select("t").distinct().join(nodes.select("node"), how="cross")
+    keys = ["t", "src", "dst"]
+    linked = both.select("t", F.col("src").alias("node")).distinct()
+    best = written(linked.select("t", F.col("node").alias("src"), F.col("node").alias("dst"), F.lit(0.0).alias("d"), F.lit(True).alias("fresh")), "ways")
+
+    def relaxed(frontier: DataFrame, by: DataFrame) -> DataFrame:
+        """best with the ways that go on from frontier by one edge; fresh marks those that have become shorter."""
+        on = by.select("t", F.col("src").alias("mid"), F.col("dst").alias("to"), "w")
+        found = frontier.withColumnRenamed("dst", "mid").join(on, ["t", "mid"]).groupBy("t", "src", F.col("to").alias("dst")).agg(F.min(F.col("d") + F.col("w")).alias("new"))
+        met = best.join(found, keys, "full")
+        shorter = F.col("new") < F.coalesce("d", F.lit(float("inf")))
+        return written(met.select(*keys, F.when(shorter, F.col("new")).otherwise(F.col("d")).alias("d"), F.coalesce(shorter, F.lit(False)).alias("fresh")), "ways")
+
+    low: float | None = 0.0
+    while low is not None:
+        end = (low // step + 1) * step
+        inside = (F.col("d") >= low) & (F.col("d") < end)
+        frontier = best.where(inside)
+        while frontier.limit(1).count():
+            best = relaxed(frontier, light)
+            frontier = best.where(inside & F.col("fresh"))
+        best = relaxed(best.where(inside), heavy)
+        low = best.where(F.col("d") >= end).agg(F.min("d")).first()[0]
+    longest = best.groupBy("t").agg((F.max("d") + F.lit(1.0)).alias("far"))
+    pairs = everyone.withColumnRenamed("node", "src").join(nodes.select(F.col("node").alias("dst")), how="cross")
+    known = pairs.join(best.select(*keys, "d"), keys, "left").join(F.broadcast(longest), "t")  # a row a step
+    return known.select("t", "src", "dst", F.when(F.col("src") == F.col("dst"), F.lit(0.0)).otherwise(F.coalesce("d", "far")).alias("d"))
+
+
 def initial_radii(edges: DataFrame, nodes: DataFrame, reg: float = 1e-5) -> DataFrame:
     """node, r: half of a node's ends among all edges; where a node has none all get reg and are scaled to 1."""
     ends = edges.select(F.col("src").alias("node")).union(edges.select("dst")).groupBy("node").agg(F.count("*").alias("n"))

@@ -57,6 +57,17 @@ def labelled_matrices(spark: SparkSession, paths: list[str], names: str, groups:
     return (edges if directed else network.symmetrised(edges)), nodes
 
 
+def monastery(spark: SparkSession, folder: str, dynamic: bool = True, directed: bool = True, waverers: bool = False, encode: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(edges, nodes) of the monastery network in a folder: its three steps, or the one static matrix of dynamic=False.
+
+    waverers: groups by the file that keeps those who waver apart; encode: with the groups' numbers as z.
+    """
+    # fixed values: the data set's own file names
+    steps = [f"{folder}/sampson_{t}.npy" for t in range(3)] if dynamic else [f"{folder}/sampson.npy"]
+    groups = "sampson_groups_waverers.txt" if waverers else "sampson_groups.txt"
+    return labelled_matrices(spark, steps, f"{folder}/sampson_names.txt", f"{folder}/{groups}", directed, encode)
+
+
 def alliances(spark: SparkSession, paths: list[str], names: str, min_degree: int = 1, remove_periphery: bool = True, directed: bool = False) -> tuple[DataFrame, DataFrame]:
     """(edges, nodes): both directions of what is left of count matrices' links when each step's nodes outside its
     3-core and then nodes of a total degree under min_degree are gone; nodes are numbered anew in their order. directed
