@@ -695,12 +695,12 @@ def quantile_ci(c):
     return c.table("events").agg(F.percentile("value", F.array(F.lit(0.025), F.lit(0.975))).alias("q")).select(F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"))
 
 
-@query("t:i k1:d k2:d k3:d k4:d k5:d", "smp", """SELECT t, {} FROM (SELECT iter, t, count(DISTINCT z) AS n_groups FROM smp GROUP BY iter, t) GROUP BY t""".format(", ".join(f"sum((n_groups = {k})::INT)::DOUBLE / count(*) AS k{k}" for k in range(1, 6))))
+@query("t:i k1:d k2:d k3:d k4:d k5:d more:d", "smp", """SELECT t, {}, sum((n_groups > 5)::INT)::DOUBLE / count(*) AS more FROM (SELECT iter, t, count(DISTINCT z) AS n_groups FROM smp GROUP BY iter, t) GROUP BY t""".format(", ".join(f"sum((n_groups = {k})::INT)::DOUBLE / count(*) AS k{k}" for k in range(1, 6))))
 def posterior_prob_pivot(c):
+    """The chances of one to five groups, and of more."""
     n = posterior.group_counts(c.samples(), by_step=True)
-    share = n.withColumn("p", F.col("n") / (F.lit(1.0) * F.sum("n").over(W.partitionBy("t"))))
-    wide = share.groupBy("t").pivot("n_groups", [1, 2, 3, 4, 5]).agg(F.sum("p"))
-    return wide.select("t", *[F.coalesce(F.col(f"`{k}`"), F.lit(0.0)).alias(f"k{k}") for k in range(1, 6)])
+    share = lambda holds: F.sum(F.when(holds, F.col("n")).otherwise(0)) / (F.lit(1.0) * F.sum("n"))
+    return n.groupBy("t").agg(*[share(F.col("n_groups") == k).alias(f"k{k}") for k in range(1, 6)], share(F.col("n_groups") > 5).alias("more"))
 
 
 @query("t:i node:i name:s z:i place:i", "dlab nodes", "SELECT t, dlab.node, name, dlab.z, row_number() OVER (PARTITION BY t ORDER BY dlab.z, dlab.node) - 1 AS place FROM dlab JOIN nodes ON nodes.node = dlab.node")

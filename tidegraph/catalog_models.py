@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from .catalog import EVERY, LAMBDA, LOGPDF, PATHS, clusters_of, query, trans_of
 from .functions import variates
 from .functions.scalar import truncated_normal_logpdf
-from .operators import draws, labelling, linkage, maximum, metrics, network, ordered, posterior, scaling, spectra, trajectories
+from .operators import draws, labelling, likelihood, linkage, maximum, metrics, network, ordered, posterior, scaling, spectra, trajectories
 from .storage import written
 
 
@@ -315,3 +315,19 @@ def _squared_lengths(rounds: int) -> str:
 def sp_weighted(c):
     edges = c.net().select("t", "src", "dst", (F.lit(100.0) / F.col("w")).alias("w"))
     return network.weighted_shortest_paths(edges, c.nodes())
+
+
+# Distances by other metrics.
+
+
+def _metric(name: str, value: str):
+    def run(c):
+        return likelihood.distances(c.positions(), metric=name)
+
+    run.__name__ = f"pairwise_{name}"
+    query("t:i src:i dst:i d:d", "pos", f"SELECT a.t, a.node AS src, b.node AS dst, {value} AS d FROM pos a JOIN pos b ON a.t = b.t AND a.node < b.node")(run)
+
+
+_metric("manhattan", "abs(a.x0 - b.x0) + abs(a.x1 - b.x1)")
+_metric("chebyshev", "greatest(abs(a.x0 - b.x0), abs(a.x1 - b.x1))")
+_metric("cosine", "1 - (a.x0 * b.x0 + a.x1 * b.x1) / nullif(sqrt(a.x0 ** 2 + a.x1 ** 2) * sqrt(b.x0 ** 2 + b.x1 ** 2), 0)")

@@ -36,6 +36,24 @@ def distance(x, y) -> Column:
     return F.sqrt(squared_distance(x, y))
 
 
+def manhattan(x, y) -> Column:
+    return total(F.zip_with(_c(x), _c(y), lambda a, b: F.abs(a - b)))
+
+
+def chebyshev(x, y) -> Column:
+    return F.array_max(F.zip_with(_c(x), _c(y), lambda a, b: F.abs(a - b)))
+
+
+def cosine(x, y) -> Column:
+    """1 - the cosine; null where a vector is zero."""
+    dot = lambda u, v: total(F.zip_with(_c(u), _c(v), lambda a, b: a * b))
+    return F.lit(1.0) - F.try_divide(dot(x, y), F.sqrt(dot(x, x)) * F.sqrt(dot(y, y)))
+
+
+#: Distances by name, as functions of two arrays.
+METRICS = {"euclidean": distance, "sqeuclidean": squared_distance, "manhattan": manhattan, "chebyshev": chebyshev, "cosine": cosine}
+
+
 def combined(a, x, b, y) -> Column:
     """a x + b y of two arrays."""
     return F.zip_with(_c(x), _c(y), lambda u, v: _c(a) * u + _c(b) * v)

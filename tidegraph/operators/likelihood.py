@@ -7,16 +7,19 @@ positions is in it, so sums over it are aggregated on the map side and shuffle o
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.scalar import distance, expit, normal_logpdf, softplus, squared_distance
+from ..functions.scalar import METRICS, distance, expit, normal_logpdf, softplus, squared_distance
 
 
-def pairs_of(positions: DataFrame, keys: list[str], directed: bool = False, squared: bool = False, blocks: int = 8, carried: tuple[str, ...] = ()) -> DataFrame:
+def pairs_of(positions: DataFrame, keys: list[str], directed: bool = False, squared: bool = False, blocks: int = 8, carried: tuple[str, ...] = (), metric: str | Callable[[str, str], Column] = "euclidean") -> DataFrame:
     """keys, src, dst, d of all pairs of nodes (node, x) that agree in keys: each once, or in both directions.
 
+    metric: a name of METRICS, or a function of two array columns; squared goes with the Euclidean one.
     carried: more columns of positions, which come out for both ends, with _src and _dst behind their names.
 
     Nodes are dealt to blocks, and the pairs of two blocks meet by themselves, so that the pairs of a step or a sample
@@ -30,14 +33,14 @@ def pairs_of(positions: DataFrame, keys: list[str], directed: bool = False, squa
     for c in keys:
         meet = meet & (F.col(c) == F.col(f"{c}_b"))
     pair = (F.col("src") != F.col("dst")) if directed else (F.col("src") < F.col("dst"))
-    of = squared_distance if squared else distance
+    of = squared_distance if squared else METRICS[metric] if isinstance(metric, str) else metric
     ends = [f"{c}_{side}" for c in carried for side in ("src", "dst")]
     return a.join(b, meet & pair).select(*keys, "src", "dst", of("xs", "xd").alias("d"), *ends)
 
 
-def distances(positions: DataFrame, directed: bool = False, squared: bool = False, blocks: int = 8) -> DataFrame:
+def distances(positions: DataFrame, directed: bool = False, squared: bool = False, blocks: int = 8, metric: str | Callable[[str, str], Column] = "euclidean") -> DataFrame:
     """t, src, dst, d of all pairs of a step: each once, or in both directions."""
-    return pairs_of(positions, ["t"], directed, squared, blocks)
+    return pairs_of(positions, ["t"], directed, squared, blocks, metric=metric)
 
 
 def dyads(positions: DataFrame, edges: DataFrame, directed: bool = False, radii: DataFrame | None = None, missing: DataFrame | None = None) -> DataFrame:
