@@ -87,3 +87,13 @@ def test_one_row_and_none(spark):
 def test_query_on_whole_table(spark, sf_dir):
     rows = [r.asDict() for r in common.read(spark, sf_dir, "clicks").collect()]
     assert ordered(clicks.op12_click_windows(spark, sf_dir).collect()) == ordered(plain(rows))
+
+
+def test_stores_of_a_start_are_closed_when_it_ends(spark):
+    """Every start opens stores of its own; were those of earlier ones kept, an executor's memory would grow with starts and partitions."""
+    at = datetime.datetime(2024, 1, 1)
+    rows = [dict(click_id=i, ts=at, arrived_at=at + datetime.timedelta(hours=5 * i), client_id=i, kind="a", value=1.0, props="") for i in range(40)]
+    kept = spark._jvm.org.apache.spark.sql.execution.streaming.state.RocksDBMemoryManager.getNumRocksDBInstances
+    before = kept(False)
+    assert clicks.windows(spark.createDataFrame(rows, SCHEMA)).count()
+    assert kept(False) <= before
