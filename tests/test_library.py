@@ -372,3 +372,21 @@ def test_running_map(spark):
     trace = spark.createDataFrame([(0, 0, 1.0), (0, 1, 3.0), (0, 2, 2.0), (0, 3, 3.0), (1, 0, -5.0), (1, 1, -6.0)], "chain int, iter int, logp double")
     got = sorted((r["chain"], r["iter"], r["best_iter"], r["best"]) for r in posterior.running_map(trace, ["chain"]).collect())
     assert got == [(0, 0, 0, 1.0), (0, 1, 1, 3.0), (0, 2, 1, 3.0), (0, 3, 1, 3.0), (1, 0, 0, -5.0), (1, 1, 0, -5.0)]
+
+
+def test_lag_sums_send_a_row_to_its_block_and_count_gaps(spark):
+    from tidegraph.operators import diagnostics, lags, spectra
+
+    x = {i: (i * 37 % 11) - 4.5 for i in range(-300, 700) if i % 9 != 2 and not 100 < i < 160}
+    rows = spark.createDataFrame([("a", i, v) for i, v in x.items()] + [("b", 3, 1.0), ("b", 4, None), ("b", None, 2.0)], "trace string, iter long, x double")
+    asked = rows.withColumn("order", F.lit(40))
+    assert lags.dealt(asked, ["trace"], 256).count() < 1.3 * len(x)  # not one for each lag
+    got = {(r["trace"], r["lag"]): (r["ss"], r["pairs"]) for r in lags.lag_sums(asked, ["trace"], 256).collect()}
+    for k in range(41):
+        both = [x[i] * x[i - k] for i in x if i - k in x]
+        assert got["a", k][1] == len(both) and abs(got["a", k][0] - sum(both)) < 1e-8
+    assert got["b", 0] == (1.0, 2) and got["b", 1] == (0.0, 1) and got["b", 2] == (0.0, 0)
+    sparse = spark.createDataFrame([("a", 2 * i, float(i % 5)) for i in range(50)], "trace string, iter long, x double")
+    r = spectra.autocovariances(sparse, ["trace"]).first()["r"]
+    assert len(r) == 17 and r[1] == 0.0  # lags without a pair keep their places
+    assert [r["lag"] for r in diagnostics.autocovariances(sparse.drop("trace"), 4).orderBy("lag").collect()] == [0, 2, 4]

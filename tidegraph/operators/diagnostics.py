@@ -8,6 +8,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .lags import lag_sums
+
 
 def detrended(trace: DataFrame) -> DataFrame:
     mean = trace.agg(F.avg("x").alias("mean"))
@@ -15,10 +17,8 @@ def detrended(trace: DataFrame) -> DataFrame:
 
 
 def autocovariances(trace: DataFrame, maxlags: int) -> DataFrame:
-    """lag, ss: sums of products at each lag. A row meets those of its lags by an equi-join, in map-side sums."""
-    x = detrended(trace)
-    back = x.select(F.explode(F.sequence(F.lit(0), F.lit(maxlags))).alias("lag"), "iter", "x").select("lag", (F.col("iter") - F.col("lag")).alias("iter"), F.col("x").alias("y"))
-    return back.join(x, "iter").groupBy("lag").agg(F.sum(F.col("x") * F.col("y")).alias("ss"))
+    """lag, ss: sums of products at each lag that some rows have, by blocks of iterations."""
+    return lag_sums(detrended(trace).withColumn("order", F.lit(maxlags)), []).where("pairs > 0").select("lag", "ss")
 
 
 def acf(trace: DataFrame, maxlags: int = 100) -> DataFrame:

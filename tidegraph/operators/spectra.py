@@ -1,6 +1,6 @@
 """Diagnostics of many traces at once: rows (keys, iter, x), a trace for each chain and parameter, iterations consecutive.
 
-Autocovariances are sums by trace and lag; a trace's own (as many as its order asks for, some dozens) are one array, over
+Autocovariances are sums by trace and lag, by blocks of iterations; a trace's own (as many as its order asks for, some dozens) are one array, over
 which the Yule-Walker equations are solved by a fold, an order a step. No trace reaches the driver.
 """
 
@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import normal_cdf
+from ..storage import written
+from .lags import lag_sums
 
 
 def trace_table(scalars: DataFrame, keys: list[str], parameters: list[str]) -> DataFrame:
@@ -27,9 +29,8 @@ def autocovariances(traces: DataFrame, keys: list[str], max_order: int | None =
     sizes = traces.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("x").alias("mean"))
     most = F.lit(max_order) if max_order is not None else F.floor(F.lit(10.0) * F.log10("n")).cast("int")
     sizes = sizes.withColumn("order", F.least(most, F.col("n") - 1).cast("int"))
-    x = traces.join(sizes, keys).select(*keys, "iter", (F.col("x") - F.col("mean")).alias("x"), "n", "order")
-    back = x.withColumn("lag", F.explode(F.sequence(F.lit(0), F.greatest("order", F.lit(0))))).select(*keys, "lag", "n", (F.col("iter") - F.col("lag")).alias("iter"), F.col("x").alias("y"))
-    sums = back.join(x.select(*keys, "iter", "x"), [*keys, "iter"]).groupBy(*keys, "n", "lag").agg((F.sum(F.col("x") * F.col("y")) / F.col("n")).alias("r"))
+    x = traces.join(sizes.withColumn("order", F.greatest("order", F.lit(0))), keys).select(*keys, "iter", (F.col("x") - F.col("mean")).alias("x"), "n", "order")
+    sums = lag_sums(x, [*keys, "n"]).withColumn("r", F.col("ss") / F.col("n"))
     return sums.groupBy(*keys, "n").agg(F.transform(F.sort_array(F.collect_list(F.struct("lag", "r"))), lambda s: s["r"]).alias("r"))
 
 
@@ -70,7 +71,7 @@ def geweke(traces: DataFrame, keys: list[str], first: float = 0.1, last: float =
     bounds = kept.groupBy(*keys).agg(F.min("iter").alias("lo"), F.count("*").alias("n"))
     at, n = F.col("iter") - F.col("lo"), F.col("n")
     parts = F.filter(F.array(F.when(at < F.floor(n * F.lit(first)), F.lit(0)), F.when(at >= n - F.floor(n * F.lit(last)), F.lit(1))), lambda v: v.isNotNull())
-    rows = kept.join(bounds, keys).select(*keys, F.explode(parts).alias("part"), "iter", "x")
+    rows = written(kept.join(bounds, keys).select(*keys, F.explode(parts).alias("part"), "iter", "x"), "trace-parts")  # read three times
     means = rows.groupBy(*keys, "part").agg(F.avg("x").alias("mean"))
     of = means.join(spectra(rows, [*keys, "part"]), [*keys, "part"])
     pick = lambda part, c: F.max(F.when(F.col("part") == part, F.col(c)))
