@@ -248,7 +248,7 @@ def spectra_by_trace(c):
     sizes = kept.groupBy("event_type").agg(F.count("*").alias("n"))
     at = F.col("iter") - 20
     parts = F.filter(F.array(F.when(at < F.floor(F.col("n") * F.lit(0.1)), F.lit(0)), F.when(at >= F.col("n") - F.floor(F.col("n") * F.lit(0.5)), F.lit(1))), lambda v: v.isNotNull())
-    rows = kept.join(sizes, "event_type").select("event_type", F.explode(parts).alias("part"), "iter", "x")
+    rows = written(kept.join(sizes, "event_type").select("event_type", F.explode(parts).alias("part"), "iter", "x"), "trace-parts")
     return spectra.spectra(rows, ["event_type", "part"])
 
 
