@@ -390,3 +390,19 @@ def test_lag_sums_send_a_row_to_its_block_and_count_gaps(spark):
     r = spectra.autocovariances(sparse, ["trace"]).first()["r"]
     assert len(r) == 17 and r[1] == 0.0  # lags without a pair keep their places
     assert [r["lag"] for r in diagnostics.autocovariances(sparse.drop("trace"), 4).orderBy("lag").collect()] == [0, 2, 4]
+
+
+def test_views_join_the_large_tables_once(spark, sf_dir, monkeypatch):
+    from tidegraph.sources.views import Tables
+
+    made, trades = [], Tables.trades
+    monkeypatch.setattr(Tables, "trades", lambda self: made.append(1) or trades(self))
+    c = Tables(spark, sf_dir)
+    read = [c.net(), c.cells(), c.positions(), c.dynamic_labels(), c.positions()]
+    assert len(made) == 1
+    assert not any("lineitem" in f for df in read for f in df.inputFiles())
+    means = {(r["t"], r["src"]): (r["v"], r["q"]) for r in trades(c).groupBy("t", "src").agg(F.avg("value").alias("v"), F.avg("quantity").alias("q")).collect()}
+    first = min(t for t, _ in means)
+    v = np.array([means[k][0] for k in sorted(means) if k[0] == first])
+    x = [r["x"][0] for r in c.positions().where(F.col("t") == first).orderBy("node").collect()]
+    assert np.allclose(x, (v - v.mean()) / v.std())

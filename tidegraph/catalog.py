@@ -714,7 +714,7 @@ def ordered_by_label(c):
 
 def _model(c, samples: bool = False):
     last = c.positions().join(c.dynamic_labels(), ["t", "node"])
-    end = c.trades().agg(F.max("t").alias("end"))
+    end = c.sums().agg(F.max("t").alias("end"))
     last = last.join(F.broadcast(end), F.col("t") == F.col("end")).select("node", "x", "z")
     trans, clusters = trans_of(c), clusters_of(c)
     iters = F.explode(F.sequence(F.lit(0), F.lit(2)))

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import distance, expit, softplus, squared_distance
+from ..storage import written
 from .likelihood import pairs_of
 
 #: Nodes that a block of a step has at most, on average.
@@ -97,7 +98,7 @@ def scale_and_intercept(positions: DataFrame, edges: DataFrame, missing: DataFra
     """
     und = lambda df: df.where("src <> dst").select("t", F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
     z = (-F.col("d"), F.lit(1.0))
-    links = und(edges)
+    links, positions = und(edges), written(positions, "mle-positions")  # every round reads them
     gone = _placed(und(missing), positions, squared) if missing is not None else None
     if missing is not None:
         links = links.join(und(missing), ["t", "src", "dst"], "left_anti")
@@ -111,9 +112,9 @@ def directed_intercepts(positions: DataFrame, edges: DataFrame, radii: DataFrame
     one = F.lit(1.0)
     z = (one - F.col("d") / F.col("r_dst"), one - F.col("d") / F.col("r_src"))
     links = edges.where("src <> dst").select("t", "src", "dst")
-    sized = positions.join(radii.select("node", "r"), "node")
+    sized = written(positions.join(radii.select("node", "r"), "node"), "mle-positions")  # every round reads them
     gone = _placed(missing.where("src <> dst"), sized, squared, ("r",)) if missing is not None else None
     if missing is not None:
         links = links.join(missing, ["t", "src", "dst"], "left_anti")
-    pairs = pairs_of(sized, ["t"], True, squared, _blocks(positions), ("r",))
+    pairs = pairs_of(sized, ["t"], True, squared, _blocks(sized), ("r",))
     return newton(_placed(links, sized, squared, ("r",)), pairs, z, start, gone, tol=tol)

@@ -2,16 +2,29 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..storage import written
+
 
 class Tables:
     """The views over one folder of tables, each built when it is asked for."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
+        self._written: dict[str, DataFrame] = {}
+
+    def _once(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """A small view, written when it is first asked for; each call reads it anew, so that joins of two don't share columns."""
+        if name not in self._written:
+            self._written[name] = written(make(), f"view-{name}")
+        known = self._written[name]
+        files = known.inputFiles()
+        return self.spark.read.schema(known.schema).parquet(*files) if files else known
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
@@ -33,13 +46,22 @@ class Tables:
             .select("t", "src", "dst", "value", "quantity")
         )
 
+    def sums(self) -> DataFrame:
+        """t, src, dst, w, and sums and numbers of value and quantity: a row for a year and two nations.
+
+        The large tables meet once for all views over these sums. What windows by year make of them is written too: without that,
+        modularity_dynamic gave a wrong row and modularity_static an error on unequal partitions (Spark 4.1; probably its unions).
+        """
+        parts = [f(c).alias(f"{name}_{c}") for c in ("value", "quantity") for name, f in (("sum", F.sum), ("n", F.count))]
+        return self._once("sums", lambda: self.trades().groupBy("t", "src", "dst").agg(F.count("*").alias("w"), *parts))
+
     def cells(self) -> DataFrame:
-        return self.trades().groupBy("t", "src", "dst").agg(F.count("*").alias("w"))
+        return self.sums().select("t", "src", "dst", "w")
 
     def net(self) -> DataFrame:
         """Directed edges: cells above their year's mean, without loops."""
         mean = F.avg("w").over(W.partitionBy("t"))
-        return self.cells().withColumn("mean", mean).where("w > mean AND src <> dst").select("t", "src", "dst", "w")
+        return self._once("net", lambda: self.cells().withColumn("mean", mean).where("w > mean AND src <> dst").select("t", "src", "dst", "w"))
 
     def nodes(self) -> DataFrame:
         return self.table("nation").select(F.col("n_nationkey").alias("node"), F.col("n_name").alias("name"), F.col("n_regionkey").alias("z"))
@@ -49,15 +71,16 @@ class Tables:
 
     def dynamic_labels(self) -> DataFrame:
         """t, node, z: a quarter by each year's volume."""
-        volume = self.trades().groupBy("t", F.col("src").alias("node")).agg(F.count("*").alias("volume"))
-        return volume.select("t", "node", (F.ntile(4).over(W.partitionBy("t").orderBy("volume", "node")) - 1).alias("z"))
+        volume = self.sums().groupBy("t", F.col("src").alias("node")).agg(F.sum("w").alias("volume"))
+        return self._once("labels", lambda: volume.select("t", "node", (F.ntile(4).over(W.partitionBy("t").orderBy("volume", "node")) - 1).alias("z")))
 
     def positions(self) -> DataFrame:
         """t, node, x: a nation's mean order value and quantity, standardised within the year."""
-        mean = self.trades().groupBy("t", F.col("src").alias("node")).agg(F.avg("value").alias("v"), F.avg("quantity").alias("q"))
+        avg = lambda c: F.try_divide(F.sum(f"sum_{c}"), F.sum(f"n_{c}"))
+        mean = self.sums().groupBy("t", F.col("src").alias("node")).agg(avg("value").alias("v"), avg("quantity").alias("q"))
         year = W.partitionBy("t")
         score = lambda c: F.coalesce(F.try_divide(F.col(c) - F.avg(c).over(year), F.stddev_pop(c).over(year)), F.lit(0.0))
-        return mean.select("t", "node", F.array(score("v"), score("q")).alias("x"))
+        return self._once("positions", lambda: mean.select("t", "node", F.array(score("v"), score("q")).alias("x")))
 
     def samples(self) -> DataFrame:
         """iter, t, node, z: a pseudo-posterior of labels; the commonest event type (first by name among equals)."""
