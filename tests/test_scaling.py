@@ -5,6 +5,7 @@ import math
 import random
 
 import numpy as np
+from py4j.java_gateway import GatewayClient
 from pyspark.sql import functions as F
 
 from tidegraph.functions import scalar, variates
@@ -41,6 +42,27 @@ def test_leading_eigenvectors_and_stress(spark):
     assert np.allclose(x, u)
 
 
+def test_a_round_is_few_calls_to_the_jvm(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    x0 = rng.normal(0, 1, (9, 2))
+    d = np.sqrt(((x0[:, None] - x0[None]) ** 2).sum(-1)) + 0.1 * (1 - np.eye(9))
+    far, before = _table(spark, d), spark.createDataFrame([(i, x0[i].tolist()) for i in range(9)], "node int, x array<double>")
+    sent, tables, send, write = [0], [0], GatewayClient.send_command, scaling.written
+
+    def counted(self, *args, **how):
+        sent[0] += 1
+        return send(self, *args, **how)
+
+    def kept(df, name):
+        tables[0] += 1
+        return write(df, name)
+
+    monkeypatch.setattr(GatewayClient, "send_command", counted)
+    monkeypatch.setattr(scaling, "written", kept)
+    scaling.leading(far, before, 9, rounds=3, tol=0.0)
+    assert tables[0] == 4 and 0 < sent[0] < 1000 * tables[0]  # sums cell by cell were over ten thousand calls a round
+
+
 def test_weighted_paths(spark):
     rng = random.Random(3)
     rows = [(t, a, b, rng.choice([0.25, 1.0, 2.5, 7.0])) for t in (1, 2) for a, b in itertools.combinations(range(14), 2) if rng.random() < 0.15]

@@ -2,7 +2,9 @@
 
 Dissimilarities are a table of all ordered pairs of nodes; a round joins it with the positions of both ends, which are
 a row a node, and sums by node. Joins leave the choice between broadcast (by measured size) and a shuffle to adaptive
-execution. The driver sees p by p sums. Rounds are tables in the shared folder.
+execution. The driver sees p by p sums. Rounds are tables in the shared folder. Every operation on a column is several
+calls to the JVM: what a round repeats for each cell of a matrix is therefore one expression given as text, and its
+numbers are array literals, so that the code generated for a round serves the next.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ def started(nodes: DataFrame, p: int, seed: int = 1) -> DataFrame:
 
 
 def _ends(far: DataFrame, positions: DataFrame) -> DataFrame:
-    side = lambda s: positions.select(F.col("node").alias(s), F.col("x").alias(f"x_{s}"))
+    side = lambda s: positions.selectExpr(f"node AS {s}", f"x AS x_{s}")
     return far.join(side("src"), "src").join(side("dst"), "dst")
 
 
@@ -34,12 +36,11 @@ def majorised(far: DataFrame, positions: DataFrame, n: int, p: int = 2) -> DataF
 
     far: src, dst, d of all ordered pairs of the n nodes; positions: node, x.
     """
-    apart = distance("x_src", "x_dst")
-    ends = _ends(far.where("src <> dst"), positions).withColumn("apart", apart)
-    pull = F.when(F.col("apart") > 0, F.col("d") / F.col("apart")).otherwise(F.lit(0.0))
-    sums = [F.sum(pull * (F.col("x_src")[k] - F.col("x_dst")[k])).alias(f"s{k}") for k in range(p)]
-    moved = ends.groupBy("src").agg(*sums, (F.sum(F.pow(F.col("apart") - F.col("d"), 2)) / F.lit(2.0)).alias("stress"))
-    return moved.select(F.col("src").alias("node"), F.array(*[F.col(f"s{k}") / F.lit(float(n)) for k in range(p)]).alias("x"), "stress")
+    apart = " + ".join(f"(x_src[{k}] - x_dst[{k}]) * (x_src[{k}] - x_dst[{k}])" for k in range(p))
+    ends = _ends(far.where("src <> dst"), positions).withColumn("apart", F.expr(f"sqrt({apart})"))
+    sums = ", ".join(f"sum(IF(apart > 0, d / apart, 0D) * (x_src[{k}] - x_dst[{k}])) / {float(n)!r}D" for k in range(p))
+    moved = ends.groupBy("src").agg(F.expr(f"array({sums}) AS x"), F.expr("sum(pow(apart - d, 2)) / 2D AS stress"))
+    return moved.withColumnRenamed("src", "node").select("node", "x", "stress")
 
 
 def stress(far: DataFrame, positions: DataFrame) -> DataFrame:
@@ -69,14 +70,17 @@ def smacof(far: DataFrame, nodes: DataFrame, p: int = 2, rounds: int = 300, eps:
 
 def _matrix(rows: DataFrame, left: str, right: str, width: int, other: int | None = None) -> np.ndarray:
     """Sums over nodes of the outer products of two columns of arrays."""
-    other = other or width
-    row = rows.agg(*[F.sum(F.col(left)[a] * F.col(right)[b]) for a in range(width) for b in range(other)]).first()
-    return np.array([v or 0.0 for v in row]).reshape(width, other)
+    cells = rows.select(F.posexplode(left).alias("a", "p"), right).select("a", "p", F.posexplode(right).alias("b", "q"))
+    out = np.zeros((width, other or width))
+    for a, b, v in cells.groupBy("a", "b").agg(F.expr("sum(p * q)")).collect():
+        out[a, b] = v or 0.0
+    return out
 
 
-def _times(column: Column, m: np.ndarray) -> Column:
+def _times(column: str, m: np.ndarray) -> Column:
     """An array column, as a row vector, times a small matrix."""
-    return F.array(*[sum((column[a] * F.lit(float(m[a, b])) for a in range(m.shape[0])), F.lit(0.0)) for b in range(m.shape[1])])
+    columns = ", ".join(f"array({', '.join(f'{float(v)!r}D' for v in col)})" for col in m.T)
+    return F.expr(f"transform(array({columns}), m -> aggregate(zip_with({column}, m, (a, b) -> a * b), 0D, (s, v) -> s + v))")
 
 
 def _orthonormal(moments: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -105,11 +109,12 @@ def leading(far: DataFrame, before: DataFrame, n: int, p: int = 2, lmbda: float
     shift, last = 0.0, None
     for _ in range(rounds):
         weights = _orthonormal(moments, weights)
-        mean = moments[0] @ weights / n
-        basis = table.select("node", "x", _times(F.col("u"), weights).alias("v"))
-        v = basis.select(F.col("node").alias("dst"), "v")
-        sums = far.join(v, "dst").groupBy("src").agg(*[F.sum(F.col("d") * F.col("d") * (F.col("v")[k] - F.lit(float(mean[k])))).alias(f"s{k}") for k in range(width)])
-        rows = sums.select(F.col("src").alias("node"), F.array(*[F.lit(-0.5 * alpha) * F.col(f"s{k}") for k in range(width)]).alias("w"))
+        centred = weights.copy()
+        centred[one] -= moments[0] @ weights / n  # u begins with a 1
+        basis = table.select("node", "x", _times("u", weights).alias("v"))
+        v = table.select(F.col("node").alias("dst"), _times("u", centred).alias("v"))
+        sums = far.join(v, "dst").groupBy("src").agg(F.expr(f"array({', '.join(f'{-0.5 * alpha!r}D * sum(d * d * v[{k}])' for k in range(width))}) AS w"))
+        rows = sums.withColumnRenamed("src", "node")
         u, size = F.concat(F.array(F.lit(1.0)), "x", "v", "w"), 1 + p + 2 * width
         table = written(basis.join(rows, "node").select("node", "x", u.alias("u")), "scaling-basis")
         moments = _matrix(table, "u", "u", size)
@@ -126,14 +131,14 @@ def leading(far: DataFrame, before: DataFrame, n: int, p: int = 2, lmbda: float
         weights = image
         weights[at_v] = shift * np.eye(width)
     roots = turn[:, :p] * np.sqrt(np.maximum(values[:p], 0.0))
-    return table.select("node", _times(F.slice("u", 2 + p, width), roots).alias("x"))
+    return table.select("node", _times(f"slice(u, {2 + p}, {width})", roots).alias("x"))
 
 
 def turned(reference: DataFrame, positions: DataFrame, p: int = 2) -> DataFrame:
     """positions (node, x) turned, or mirrored, to lie nearest to the reference."""
     both = positions.join(reference.select("node", F.col("x").alias("to")), "node")
     u, _, v = np.linalg.svd(_matrix(both, "x", "to", p))
-    return positions.select("node", _times(F.col("x"), u @ v).alias("x"))
+    return positions.select("node", _times("x", u @ v).alias("x"))
 
 
 def generalised_mds(edges: DataFrame, nodes: DataFrame, p: int = 2, lmbda: float = 10.0, directed: bool = False, far: DataFrame | None = None, **first) -> DataFrame:
@@ -147,7 +152,7 @@ def generalised_mds(edges: DataFrame, nodes: DataFrame, p: int = 2, lmbda: float
     before, out = None, None
     for t in sorted(r["t"] for r in far.select("t").distinct().collect()):
         own = far.where(F.col("t") == t).select("src", "dst", "d")
-        x = smacof(own, nodes.select("node"), p, **first) if before is None else turned(before, written(leading(own, before, n, p, lmbda), "scaling"), p)
+        x = smacof(own, nodes.select("node"), p, **first) if before is None else turned(before, leading(own, before, n, p, lmbda), p)
         before = written(x, "scaling")
         step = before.select(F.lit(t).cast("int").alias("t"), "node", "x")
         out = step if out is None else out.union(step)
