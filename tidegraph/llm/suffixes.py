@@ -25,11 +25,8 @@ each other, so they take nothing from one another; every row gives one row; an e
 
 from __future__ import annotations
 
-from collections import defaultdict
-
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -38,7 +35,10 @@ from pyspark.sql import functions as F
 from . import common
 
 LENGTH = 50
-SEED = 16
+#: Of 24 bytes few are the same by chance in a corpus of billions; 16 are, the more the larger it is.
+SEED = 24
+#: Bytes of the longest stretch: its windows all have one seed inside.
+WIDEST = 2 * LENGTH - SEED
 NAMELESS = (1 << 63) - 1
 LOW = np.uint64((1 << 24) - 1)
 SIX = np.uint64((1 << 48) - 1)
@@ -64,15 +64,37 @@ def anchors(buf: np.ndarray, ends: np.ndarray, chunk: int = 1 << 19):
     return first, count, code, np.searchsorted(ends, first, side="right")
 
 
-def _anchors(buf, valid, offset):
-    n = len(buf)
-    words = np.ndarray((n - 7,), "<u8", buffer=np.ascontiguousarray(buf), strides=(1,))
-    h = words[: n - SEED + 1] * np.uint64(0x9E3779B97F4A7C15)
-    h ^= h >> np.uint64(32)
-    h += words[8 : n - SEED + 9] * np.uint64(0xC2B2AE3D27D4EB4F)
-    h ^= h >> np.uint64(29)
-    h *= np.uint64(0xBF58476D1CE4E5B9)
+def _eights(buf: np.ndarray) -> np.ndarray:
+    """The eight bytes from every place on, as a number."""
+    return np.ndarray((len(buf) - 7,), "<u8", buffer=np.ascontiguousarray(buf), strides=(1,))
+
+
+def _hashed(length: int, eight) -> np.ndarray:
+    """Hashes of strings of so many bytes; eight(k) gives the eight bytes of each from its k-th on."""
+    h = eight(0) * np.uint64(0x9E3779B97F4A7C15)
     h ^= h >> np.uint64(32)
+    for k in (*range(8, length - 8, 8), length - 8):
+        h += eight(k) * np.uint64(0xC2B2AE3D27D4EB4F)
+        h ^= h >> np.uint64(29)
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+        h ^= h >> np.uint64(32)
+    return h
+
+
+def _spread(h: np.ndarray) -> np.ndarray:
+    """Minima of hashes are small; these are even over all numbers, for they deal anchors out. One to one."""
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
+    return h ^ (h >> np.uint64(32))
+
+
+def _dealt_to(codes: np.ndarray, buckets: int) -> np.ndarray:
+    return (((codes >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
+
+
+def _anchors(buf, valid, offset):
+    words = _eights(buf)
+    h = _hashed(SEED, lambda k: words[k : k + len(buf) - SEED + 1])
     least = (h & ~LOW) | np.arange(len(h), dtype=np.uint64)
     width, most = 1, LENGTH - SEED + 1
     while width < most:  # minima of ever wider runs of seeds, the first one among equals
@@ -84,7 +106,7 @@ def _anchors(buf, valid, offset):
     new = np.ones(len(at), bool)
     new[1:] = (own[1:] != own[:-1]) | (at[1:] != at[:-1] + 1)
     begin = np.flatnonzero(new)
-    return at[begin] + offset, np.diff(np.append(begin, len(at))), h[own[begin]]
+    return at[begin] + offset, np.diff(np.append(begin, len(at))), _spread(h[own[begin]])
 
 
 def six(codes: np.ndarray) -> bytes:
@@ -148,17 +170,28 @@ class Levels:
 
     def _push(self, w, low):
         while self.levels and len(self.levels[-1][0]) <= 2 * len(w):
-            v, other = self.levels.pop()
-            both, of, same = merged(v, w)
-            low = np.concatenate([other, low])[of]
-            at = np.flatnonzero(same)
-            low[at - 1] = np.minimum(low[at - 1], low[at])
-            w, low = both[~same], low[~same]
+            w, low = self._joined(w, low)
         if len(w):
             self.levels.append((w, low))
 
+    def _joined(self, w, low):
+        v, other = self.levels.pop()
+        both, of, same = merged(v, w)
+        low = np.concatenate([other, low])[of]
+        at = np.flatnonzero(same)
+        low[at - 1] = np.minimum(low[at - 1], low[at])
+        return both[~same], low[~same]
+
+    def one(self) -> tuple[np.ndarray, np.ndarray]:
+        """All levels merged into one, which stays."""
+        w, low = self.levels.pop()
+        while self.levels:
+            w, low = self._joined(w, low)
+        self.levels.append((w, low))
+        return w, low
+
 
-def pack(docs: DataFrame, size: int = 1 << 20) -> DataFrame:
+def pack(docs: DataFrame, size: int = 8 << 20) -> DataFrame:
     """batch, ids, ends and data (compressed) of consecutive documents, up to about size bytes together."""
 
     def run(batches):
@@ -227,7 +260,7 @@ def shared_anchors(packed: DataFrame, buckets: int, hot: int) -> DataFrame:
         fresh[1:] = (code[1:] != code[:-1]) | (of[1:] != of[:-1]) | (of[1:] == NAMELESS)
         code = code[fresh]
         distinct, count = np.unique(code, return_counts=True)
-        part = ((distinct >> np.uint64(32)).astype(np.int64) * buckets) >> 32
+        part = _dealt_to(distinct, buckets)
         cuts = np.searchsorted(part, np.arange(buckets + 1))
         for b in range(buckets):
             if cuts[b] < cuts[b + 1]:
@@ -257,160 +290,159 @@ def shared_anchors(packed: DataFrame, buckets: int, hot: int) -> DataFrame:
     return dealt.groupBy("bucket").applyInArrow(meet, "batch long, codes binary, hot binary")
 
 
-def _records(row: dict, buckets: int, at_once: int = 1 << 15):
-    """The stretches of a batch that other documents may have, by bucket, so many anchors at once (a batch may be one very
-    long document): each distinct one once."""
+def _strings(buf: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Stretches as strings of one width: their bytes, zeros, and their number of windows as the last byte, so equal ones are of equal length."""
+    out = np.zeros((len(first), WIDEST + 1), np.uint8)
+    out[:, :WIDEST] = np.lib.stride_tricks.sliding_window_view(np.concatenate([buf, np.zeros(WIDEST, np.uint8)]), WIDEST)[first]
+    out[:, :WIDEST][np.arange(WIDEST) >= (count + LENGTH - 1)[:, None]] = 0
+    out[:, WIDEST] = count
+    return out.view(f"S{WIDEST + 1}").reshape(-1)
+
+
+def _windows_of(count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of every window of stretches with so many windows: its stretch's number, and its number within."""
+    of = np.repeat(np.arange(len(count)), count)
+    return of, np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
+
+
+def _records(row: dict, buckets: int, at_once: int = 1 << 18):
+    """The stretches of a batch that other documents may have, as (bucket, records), so many stretches at once (a batch may
+    be one very long document). They are sorted, and each distinct one is there once."""
     ids, ends, data = unpack(row)
-    first, count, code, doc = anchors(np.frombuffer(data, np.uint8), ends)
+    buf = np.frombuffer(data, np.uint8)
+    first, count, code, doc = anchors(buf, ends)
     known = np.sort(np.concatenate([unsix(x) for x in row["codes"]]))
     warm = np.sort(np.concatenate([unsix(x) for x in row["hot"]]))
     low = code & SIX
     among = lambda s: s[np.minimum(np.searchsorted(s, low), len(s) - 1)] == low if len(s) else np.zeros(len(low), bool)
-    kept = np.flatnonzero(among(known))
-    is_hot = among(warm)
-    kept = kept[np.lexsort((first[kept], ids[doc[kept]]))]
-    for part in np.split(kept, range(at_once, len(kept), at_once)):
-        yield from _dealt(data, buckets, zip(first[part].tolist(), count[part].tolist(), code[part].tolist(), ids[doc[part]].tolist(), is_hot[part].tolist())).items()
-
-
-def _dealt(data: bytes, buckets: int, stretches) -> dict[int, list]:
-    met: dict[tuple[int, bytes], list] = {}
-    for a, m, c, i, h in stretches:
-        cuts = [(k, data[k : k + LENGTH], None) for k in range(a, a + m)] if h else [(a, data[a : a + m + LENGTH - 1], c)]
-        for at, s, key in cuts:
-            if key is None:
-                key = xxhash.xxh3_64_intdigest(s)
-            r = met.get((key, s))
-            if r is None:
-                met[key, s] = [i, [at], []]
-            else:
-                r[1 if r[0] == i else 2].append(at)
-    by = defaultdict(list)
-    for (key, s), r in met.items():
-        by[xxhash.xxh64_intdigest(key.to_bytes(8, "little")) % buckets].append((key, s, *r))
-    return by
-
-
-def _write_records(records: list) -> bytes:
-    records.sort(key=lambda r: (r[0], r[1]))
-    n = len(records)
-    head = np.array([n], "<i8").tobytes()
-    columns = [
-        np.array([r[0] for r in records], "<u8"),
-        np.array([r[2] for r in records], "<i8"),
-        np.array([len(r[1]) for r in records], "<i4"),
-        np.array([len(r[3]) for r in records], "<i4"),
-        np.array([len(r[4]) for r in records], "<i4"),
-        np.array([x for r in records for x in (*r[3], *r[4])], "<i8"),
-    ]
-    return zstandard.compress(head + b"".join(c.tobytes() for c in columns) + b"".join(r[1] for r in records), 1)
-
-
-def _read_records(raw: bytes):
+    kept, is_hot = among(known), among(warm)
+    single, k = _windows_of(count[at := np.flatnonzero(kept & is_hot)])
+    place = first[at][single] + k
+    words = _eights(buf)
+    keys = _spread(_hashed(LENGTH, lambda k: words[place + k]))
+    whole = np.flatnonzero(kept & ~is_hot)
+    first, count, code, doc = (np.concatenate(x) for x in ((first[whole], place), (count[whole], np.ones(len(place), np.int64)), (code[whole], keys), (doc[whole], doc[at][single])))
+    order = np.lexsort((first, ids[doc]))
+    for part in np.split(order, range(at_once, len(order), at_once)):
+        if len(part):
+            yield from _sorted_records(_strings(buf, first[part], count[part]), code[part], ids[doc[part]], first[part], buckets)
+
+
+def _sorted_records(strings: np.ndarray, codes: np.ndarray, ids: np.ndarray, places: np.ndarray, buckets: int):
+    """The suffix array of a batch's stretches, which come in the order of ids, cut by bucket: distinct strings, codes, the
+    smallest id of each, and the places that this id and that larger ones have it at."""
+    part = _dealt_to(codes, buckets)
+    order = np.argsort(strings, kind="stable")
+    order = order[np.argsort(part[order], kind="stable")]
+    strings, codes, ids, places, part = strings[order], codes[order], ids[order], places[order], part[order]
+    new = np.ones(len(order), bool)
+    new[1:] = strings[1:] != strings[:-1]
+    begin = np.flatnonzero(new)
+    end = np.append(begin[1:], len(order))
+    own = np.add.reduceat(ids == ids[begin][np.cumsum(new) - 1], begin)
+    cuts = np.flatnonzero(np.diff(part[begin], prepend=-1))
+    for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(begin)]):
+        s = begin[a:b]
+        yield int(part[s[0]]), _write_records(strings[s], codes[s], ids[s], own[a:b], end[a:b] - s, places[s[0] : end[b - 1]])
+
+
+def _write_records(strings, codes, ids, own, together, places) -> bytes:
+    columns = (np.array([len(strings)], "<i8"), codes.astype("<u8"), ids.astype("<i8"), own.astype("<u4"), together.astype("<u4"), strings, places.astype("<u4"))
+    return zstandard.compress(b"".join(c.tobytes() for c in columns), 1)
+
+
+def _read_records(raw: bytes) -> tuple[np.ndarray, ...]:
     raw = zstandard.decompress(raw)
-    n, at = int(np.frombuffer(raw, "<i8", 1)[0]), 8
-    columns = []
-    for kind in ("<u8", "<i8", "<i4", "<i4", "<i4"):
+    n, at, columns = int(np.frombuffer(raw, "<i8", 1)[0]), 8, []
+    for kind in ("<u8", "<i8", "<u4", "<u4", f"S{WIDEST + 1}"):
         columns.append(np.frombuffer(raw, kind, n, at))
         at += columns[-1].nbytes
-    key, ids, length, own, other = columns
-    places = np.frombuffer(raw, "<i8", int(own.sum() + other.sum()), at)
-    at += places.nbytes
-    cuts, where = np.cumsum(length), np.cumsum(own + other)
-    for k, (c, i, m, o, e, end, p) in enumerate(zip(key.tolist(), ids.tolist(), length.tolist(), own.tolist(), other.tolist(), cuts.tolist(), where.tolist())):
-        yield c, i, raw[at + end - m : at + end], places[p - o - e : p - e], places[p - e : p]
-
-
-def _windows(stretches: list[bytes]) -> np.ndarray:
-    """All windows of all stretches as fixed-width bytes, in order."""
-    joined = np.frombuffer(b"".join(stretches), np.uint8)
-    lengths = np.array([len(s) for s in stretches])
-    n = lengths - LENGTH + 1
-    base = np.cumsum(lengths) - lengths
-    at = np.repeat(base - (np.cumsum(n) - n), n) + np.arange(n.sum())
-    rows = np.lib.stride_tricks.sliding_window_view(joined, LENGTH)[at]
-    return np.ascontiguousarray(rows).view(f"V{LENGTH}").reshape(-1).view(f"S{LENGTH}") if len(rows) else np.zeros(0, f"S{LENGTH}")
-
-
-def _through_levels(order: list[tuple[int, bytes]], together: int, flags: dict[bytes, np.ndarray]) -> None:
-    """Takes stretches in the order of ids through a family of levels; flags gets those with windows of smaller ids."""
-    index, at = Levels(), 0
-    while at < len(order):
-        upto, n = at, 0
-        while upto < len(order) and n < together:
-            n += len(order[upto][1]) - LENGTH + 1
-            upto += 1
-        part = order[at:upto]
-        sizes = np.array([len(s) - LENGTH + 1 for _, s in part])
-        hit = index.add(_windows([s for _, s in part]), np.repeat(np.array([i for i, _ in part]), sizes))
-        for (_, s), end, m in zip(part, np.cumsum(sizes).tolist(), sizes.tolist()):
-            if hit[end - m : end].any():
-                flags[s] = hit[end - m : end].copy()
-        at = upto
-
-
-def _whole(records: list, together: int) -> np.ndarray:
-    """Of each record, whether its whole stretch also starts in a smaller id: stretches, filled up to one width behind
-    their length, go through a family of levels in the order of ids, as windows do."""
-    index, found = Levels(), []
-    widest = max((len(r[3]) for r in records), default=0)
-    for at in range(0, len(records), together):
-        part = records[at : at + together]
-        strings = np.array([len(s).to_bytes(2, "big") + s.ljust(widest) + b"." for _, _, _, s, _, _ in part], f"S{widest + 3}")
-        found.append(index.add(strings, np.array([r[0] for r in part], np.int64)))
-    return np.concatenate(found) if found else np.zeros(0, bool)
+    return (*columns, np.frombuffer(raw, "<u4", offset=at))
+
+
+def _whole(index: Levels, strings: np.ndarray, ids: np.ndarray, together: int) -> np.ndarray:
+    """Of each string, whether it also starts in a smaller id: they go through the family in the order of ids, so many at once."""
+    found = np.zeros(len(strings), bool)
+    order = np.argsort(ids, kind="stable")
+    for at in range(0, len(order), together):
+        part = order[at : at + together]
+        found[part] = index.add(strings[part], ids[part])
+    return found
+
+
+def _edges(kinds: np.ndarray, least: np.ndarray, codes: np.ndarray, together: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of windows that also start in a smaller id, of distinct stretches: stretch's number, first window, number of windows.
+
+    Only the different stretches of an anchor can share windows. Of theirs, those with a hash that no other window has go
+    first; the rest goes through a family of levels."""
+    _, group, n = np.unique(codes, return_inverse=True, return_counts=True)
+    several = np.flatnonzero(n[group] > 1)
+    bytes_of = np.frombuffer(kinds[several].tobytes(), np.uint8)
+    of, k = _windows_of(bytes_of.reshape(-1, WIDEST + 1)[:, WIDEST].astype(np.int64))
+    if not len(of):
+        return of, k, k
+    place = of * (WIDEST + 1) + k
+    words = _eights(bytes_of)
+    h = _hashed(LENGTH, lambda k: words[place + k])
+    order = np.argsort(h)
+    h = h[order]
+    again = np.zeros(len(h), bool)
+    again[1:] = h[1:] == h[:-1]
+    again[:-1] |= again[1:]
+    left = np.sort(order[again])
+    windows = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(bytes_of, LENGTH)[place[left]]).view(f"S{LENGTH}").reshape(-1)
+    at = left[_whole(Levels(), windows, least[several][of[left]], together)]
+    begin = np.flatnonzero((np.diff(at, prepend=-2) != 1) | (np.diff(of[at], prepend=-1) != 0))
+    return several[of[at[begin]]], k[at[begin]], np.diff(np.append(begin, len(at)))
 
 
 def _found(table, together: int):
-    """Of all records that met in a bucket: lists of (first window, number) by batch."""
-    records = [(i, batch, c, s, own, other) for batch, raw in zip(table.column("batch").to_pylist(), table.column("records").to_pylist()) for c, i, s, own, other in _read_records(raw)]
-    records.sort(key=lambda r: r[0])
-    again = _whole(records, together)
-    kinds = defaultdict(list)  # of each anchor its distinct stretches with the smallest id of each
-    seen: set[bytes] = set()
-    for i, _, c, s, _, _ in records:
-        if s not in seen:
-            seen.add(s)
-            kinds[c].append((i, s))
-    del seen
-    flags: dict[bytes, np.ndarray] = {}
-    waiting, n = [], 0
-    for own in kinds.values():  # windows of different anchors differ, so a family of levels serves some anchors at a time
-        if len(own) > 1:
-            waiting += own
-            n += sum(len(s) - LENGTH + 1 for _, s in own)
-            if n >= 2 * together:
-                _through_levels(sorted(waiting), together, flags)
-                waiting, n = [], 0
-    _through_levels(sorted(waiting), together, flags)
-    out = defaultdict(list)
-    for (i, batch, _, s, own, other), known in zip(records, again.tolist()):
-        whole = len(s) - LENGTH + 1
-        out[batch] += [(a, whole) for a in other.tolist()]
-        if known:
-            out[batch] += [(a, whole) for a in own.tolist()]
-        elif s in flags:
-            edge = np.flatnonzero(np.diff(np.concatenate([[0], flags[s].view(np.int8), [0]])))
-            out[batch] += [(a + x, y - x) for a in own.tolist() for x, y in edge.reshape(-1, 2).tolist()]
-    return out
-
-
-def repeats(packed: DataFrame, bucket_bytes: int = 3 << 20, bucket_anchors: int = 1 << 19, hot: int = 20_000, together: int = 1 << 16) -> DataFrame:
+    """Of all records that met in a bucket: pairs of first window and number of windows, by batch."""
+    parts = [_read_records(raw) for raw in table.column("records").to_pylist()]
+    codes, ids, own, have, strings, places = (np.concatenate([p[k] for p in parts]) for k in range(6))
+    batch = np.repeat(np.array(table.column("batch").to_pylist(), np.int64), [len(p[0]) for p in parts])
+    del parts
+    index = Levels()
+    again = _whole(index, strings, ids, together)
+    kinds, least = index.one()
+    kind = np.searchsorted(kinds, strings)
+    code = np.zeros(len(kinds), np.uint64)
+    code[kind] = codes
+    of_kind, x, n = _edges(kinds, least, code, together)
+    count = np.frombuffer(strings.tobytes(), np.uint8).reshape(-1, WIDEST + 1)[:, WIDEST].astype(np.int64)
+    of, k = _windows_of(have.astype(np.int64))  # records of the places, and the number of each among its record's
+    known = (k >= own[of]) | again[of]
+    begin, runs = np.searchsorted(of_kind, np.arange(len(kinds))), np.bincount(of_kind, minlength=len(kinds))
+    rest = np.flatnonzero(~known)
+    rest = rest[runs[kind[of[rest]]] > 0]
+    which, k = _windows_of(runs[kind[of[rest]]])
+    run = begin[kind[of[rest[which]]]] + k
+    places = places.astype(np.int64)
+    start = np.concatenate([places[known], places[rest[which]] + x[run]])
+    length = np.concatenate([count[of[known]], n[run]])
+    to = np.concatenate([batch[of[known]], batch[of[rest[which]]]])
+    order = np.argsort(to, kind="stable")
+    pairs, to = np.stack([start, length], axis=1)[order], to[order]
+    cuts = np.flatnonzero(np.diff(to, prepend=-1)).tolist()
+    return [(int(to[a]), pairs[a:b].astype("<i8").tobytes()) for a, b in zip(cuts, [*cuts[1:], len(to)])]
+
+
+def repeats(packed: DataFrame, bucket_bytes: int = 8 << 20, bucket_anchors: int = 1 << 21, hot: int = 20_000, together: int = 1 << 16) -> DataFrame:
     """batch and found: (first window, number of windows) pairs of all windows that start in a document of a smaller id."""
     size = packed.agg(F.sum(F.length("data"))).first()[0] or 0
-    buckets = max(1, size // (6 * bucket_anchors))  # a byte in about 18 is an anchor; data are compressed
+    buckets = max(1, size // (5 * bucket_anchors))  # a byte in about 14 is an anchor; data are compressed
     back = common.written(shared_anchors(packed, buckets, hot), "suffix-shared")
     stretches = (back.agg(F.sum(F.length("codes"))).first()[0] or 0) // 6
-    many = max(1, stretches * (LENGTH + 18) // bucket_bytes)
+    many = max(1, stretches * WIDEST // bucket_bytes)
     asked = back.groupBy("batch").agg(F.collect_list("codes").alias("codes"), F.collect_list("hot").alias("hot"))
     joined = packed.join(asked, "batch", "left").select(*packed.columns, "codes", "hot")  # of the same shape as the join in deduplicate
 
     def deal(row):
         for bucket, records in _records(row, many) if row["codes"] else ():
-            yield {"bucket": bucket, "batch": row["batch"], "records": _write_records(records)}
+            yield {"bucket": bucket, "batch": row["batch"], "records": records}
 
     def meet(key, table):
-        out = [(b, np.array(x, "<i8").tobytes()) for b, x in _found(table, together).items() if x]
+        out = _found(table, together)
         return pa.table({"batch": pa.array([b for b, _ in out], pa.int64()), "found": pa.array([x for _, x in out], pa.binary())})
 
     dealt = _stream(joined, deal, "bucket int, batch long, records binary")
@@ -433,7 +465,7 @@ def deduplicate(docs: DataFrame, **parameters) -> DataFrame:
             pairs = np.frombuffer(raw, "<i8").reshape(-1, 2)
             np.add.at(step, pairs[:, 0], 1)
             np.add.at(step, pairs[:, 0] + pairs[:, 1] + LENGTH - 1, -1)
-        gone = np.cumsum(step[:-1]) > 0
+        gone = np.cumsum(step[:-1], dtype=np.int32) > 0
         start = 0
         for i, no_name, end in zip(ids.tolist(), nameless.tolist(), ends.tolist()):
             own = gone[start:end]
