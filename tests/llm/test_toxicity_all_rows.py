@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tests.llm.test_pii_pieces_toxicity import docs_of
 from tidegraph.llm import toxicity
 
@@ -33,6 +34,12 @@ def test_rows_beyond_any_number_are_learnt_from(spark, many):
     assert shards.agg(F.sum("n2")).first()[0] == docs.where(~toxicity.held_out(F.col("doc_id")) & (F.col("doc_id") < 8000)).count()
 
 
+def test_stage_drops_what_late_rows_teach(spark, many):
+    docs, path = many
+    left = {r["doc_id"] for r in corpus_pipeline.toxicity_stage(spark, docs, path).where("doc_id > 9000").select("doc_id").collect()}
+    assert left == {9002}
+
+
 def test_model_does_not_depend_on_partitions(spark, many, monkeypatch):
     docs, path = many
     monkeypatch.setattr(toxicity, "SHARD", 1000)
